@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import broadcast_if_small, materialize, null_safe, split_hot
+from .storage import broadcast_if_small, join_on, materialize, split_hot
 
 _CHUNK = "__chunk"
 
@@ -79,7 +79,5 @@ def running_totals(df: DataFrame, by: list[str], order: list[str], totals: dict[
     )
     local = Window.partitionBy(*by, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inner = ranged.select("*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(n) for n, c in totals.items()])
-    joined = inner.join(broadcast_if_small(offsets), null_safe(inner, offsets, [*by, _CHUNK]), "inner")
-    return joined.select(
-        *[inner[c] for c in df.columns], *[(inner[n] + offsets[f"__{n}"]).alias(n) for n in totals]
-    )
+    joined = join_on(inner, broadcast_if_small(offsets), [*by, _CHUNK])
+    return joined.select(*df.columns, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in totals])

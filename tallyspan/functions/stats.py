@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import running_totals
-from .storage import null_safe
+from .storage import join_on
 
 
 def as_column(c) -> Column:
@@ -36,9 +36,7 @@ def exact_quantiles(df: DataFrame, by: list[str], values: dict[str, Column], pro
     counted = tall.groupBy(*keys, "value").agg(F.count("*").alias("__n"))
     ranked = running_totals(counted, keys, ["value"], {"__before": "__n"})
     sizes = ranked.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    both = ranked.join(sizes, null_safe(ranked, sizes, keys), "inner").select(
-        *[ranked[c] for c in [*keys, "value", "__n", "__before"]], "__total"
-    )
+    both = join_on(ranked, sizes, keys)
     out = []
     for name, p in probs.items():
         position = (F.col("__total") - 1) * F.lit(float(p))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Entities above this row count are treated as hot and split across tasks.
@@ -71,10 +71,15 @@ def split_hot(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | No
     hot = materialize(sizes, "hot-keys")
     if hot.isEmpty():
         return df, None
-    hot = broadcast_if_small(hot)
-    condition = [df[k].eqNullSafe(hot[k]) for k in keys]
+    hot = broadcast_if_small(hot.toDF(*[f"__r_{k}" for k in keys]))
+    condition = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
     return df.join(hot, condition, "left_anti"), df.join(hot, condition, "left_semi")
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> list[Column]:
-    return [left[k].eqNullSafe(right[k]) for k in keys]
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Null-safe equi-join that keeps the left side's key columns only."""
+    renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
+    if not keys:
+        return left.crossJoin(renamed)  # callers pass a single totals row here
+    condition = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])

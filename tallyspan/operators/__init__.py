@@ -1,0 +1 @@
+"""Operators over generic roles; every function maps DataFrames to DataFrames."""

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import exact_quantiles, ratio, suppress
-from ..functions.storage import broadcast_if_small, null_safe
-from ..sources.bundle import fingerprint
+from ..functions.stats import ratio, suppress
+from ..functions.storage import broadcast_if_small
 from ..sources.contract import Contract, contract_schema
 
 CHECK = "table_name string, field string, rule string, expected long, observed long, status string"
