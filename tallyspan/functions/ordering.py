@@ -26,12 +26,14 @@ def _offset(col: Column, offset: int, window) -> Column:
     return F.lag(col, -offset).over(window) if offset < 0 else F.lead(col, offset).over(window)
 
 
-def neighbours(df: DataFrame, keys: list[str], order: list[str], spec: dict[str, tuple[Column, int]]) -> DataFrame:
+def neighbours(df: DataFrame, keys: list[str], order: list[str], spec: dict[str, tuple[Column, int]],
+               bounded: bool = False) -> DataFrame:
     """Add ``name -> value of column at row offset`` within each entity.
 
     Negative offsets look back.  ``order`` must be total within an entity.
+    ``bounded`` skips the size check when the caller already made it.
     """
-    ordinary, hot = split_hot(df, keys)
+    ordinary, hot = (df, None) if bounded else split_hot(df, keys)
     window = Window.partitionBy(*keys).orderBy(*order)
     plain = ordinary.select("*", *[_offset(c, o, window).alias(n) for n, (c, o) in spec.items()])
     if hot is None:
