@@ -88,7 +88,7 @@ def growth_flags() -> dict[str, Column]:
     }
 
 
-def _as_of(row_gap: Column, gaps: list[int], pid: str, age: str, entry: Column) -> Column:
+def as_of(row_gap: Column, gaps: list[int], pid: str, age: str, entry: Column) -> Column:
     """Latest entry at least the row's gap earlier: one range frame per distinct gap."""
     w = Window.partitionBy(pid).orderBy(age)
     out = F.when(F.lit(False), F.max(entry).over(w.rangeBetween(Window.unboundedPreceding, -gaps[0])))
@@ -124,7 +124,7 @@ def min_gap_velocity(df: DataFrame, pid: str, age: str, tie: str, specs: dict[st
         cols = {}
         for n, (value, rule) in specs.items():
             entry = F.when(F.col(value).isNotNull(), F.struct(F.col(age).alias("a"), F.col(tie).alias("t"), F.col(value).alias("v")))
-            cols[f"__p_{n}"] = F.when(F.col(value).isNotNull(), _as_of(*gap_of(rule), pid, age, entry))
+            cols[f"__p_{n}"] = F.when(F.col(value).isNotNull(), as_of(*gap_of(rule), pid, age, entry))
         return finish(rows.withColumns(cols))
 
     def by_day(rows: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def min_gap_velocity(df: DataFrame, pid: str, age: str, tie: str, specs: dict[st
             F.max(F.when(F.col(v).isNotNull(), F.struct(F.col(age).alias("a"), F.col(tie).alias("t"), F.col(v).alias("v"))))
             .alias(f"__d_{n}") for n, (v, _) in specs.items()])
         prior = days.select(pid, age, *[
-            _as_of(*gap_of(rule), pid, age, F.col(f"__d_{n}")).alias(f"__q_{n}") for n, (_, rule) in specs.items()])
+            as_of(*gap_of(rule), pid, age, F.col(f"__d_{n}")).alias(f"__q_{n}") for n, (_, rule) in specs.items()])
         both = join_on(rows, prior, [pid, age], "left")
         return finish(both.withColumns({f"__p_{n}": F.when(F.col(v).isNotNull(), F.col(f"__q_{n}")) for n, (v, _) in specs.items()})
                       .drop(*[f"__q_{n}" for n in specs]))
