@@ -230,12 +230,48 @@ def d16(t: Tables) -> DataFrame:
         "visit_id", "peak")
 
 
-@query("d17_outlier_fixpoint")
+def peak_select(source: str, keys: str, limit: str) -> str:
+    """Nested form of the peak test, for use inside a recursive query."""
+    w = f"WINDOW s AS (PARTITION BY {keys} ORDER BY age, visit_id)"
+    run = lambda a, b: f"(CASE WHEN {a} - {b} = 0 THEN 1e-3 ELSE {a} - {b} END)"
+    k1 = f"""SELECT *, (v - lag(v) OVER s) / {run('age', 'lag(age) OVER s')} AS slope, (v - lag(v, 2) OVER s) / {run('age', 'lag(age, 2) OVER s')} AS xb,
+        (lead(v, 2) OVER s - v) / {run('lead(age, 2) OVER s', 'age')} AS ay, (lead(v) OVER s - v) / {run('lead(age) OVER s', 'age')} AS nxt FROM {source} {w}"""
+    k2 = f"SELECT *, sign(slope) + coalesce(lag(sign(slope)) OVER s, 0) AS ss, ay - slope AS capd, xb - nxt AS cupd FROM ({k1}) k1 {w}"
+    k3 = f"SELECT *, lag(ss) OVER s AS pss, lead(ss) OVER s AS nss, lag(capd) OVER s AS pcap, lead(cupd) OVER s AS ncup FROM ({k2}) k2 {w}"
+    k4 = f"""SELECT *, coalesce(abs(ss) = 2 AND nss = 0, false) OR (ss IS NULL AND coalesce(nss = 0, false)) AS cap,
+        coalesce(ss = 0 AND abs(pss) = 2, false) OR (ss IS NULL AND coalesce(nss = 0, false)) AS cup FROM ({k3}) k3"""
+    return f"""SELECT {keys}, age, visit_id, v, ((cap AND cup) OR (cap AND coalesce(capd <= ncup, false)) OR (cup AND coalesce(cupd <= pcap, false))) AND {limit} AS peak FROM ({k4}) k4"""
+
+
+def fixpoint_ctes(rows: str, limit: str = "true") -> str:
+    """Pre-clean and peeling rounds of (series, age, visit_id, v) rows as a recursive query."""
+    return f"""rows AS ({rows}), pre AS (SELECT *, count(*) OVER (PARTITION BY patient_id, channel, age, v) > 1 OR coalesce((v - lag(v) OVER s) / nullif(age - lag(age) OVER s, 0) = 0, false) AS flagged
+      FROM rows WINDOW s AS (PARTITION BY patient_id, channel ORDER BY age, visit_id)),
+    kept AS (SELECT * FROM pre WHERE NOT flagged),
+    peel AS (SELECT 1 AS round, *, bool_or(peak) OVER (PARTITION BY patient_id, channel) AS touched FROM ({peak_select('kept', 'patient_id, channel', limit)}) p0
+      UNION ALL SELECT round, patient_id, channel, age, visit_id, v, peak, bool_or(peak) OVER (PARTITION BY patient_id, channel) FROM (SELECT * FROM (SELECT min(round) + 1 AS round FROM peel) n
+        CROSS JOIN ({peak_select('(SELECT patient_id, channel, age, visit_id, v FROM peel WHERE touched AND NOT peak)', 'patient_id, channel', limit)}) p1) p2 WHERE round IS NOT NULL),
+    gone AS (SELECT patient_id, channel, visit_id, 0 AS round FROM pre WHERE flagged UNION ALL SELECT patient_id, channel, visit_id, round FROM peel WHERE peak)"""
+
+
+def recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_SERIES = "SELECT patient_id, '{c}' AS channel, age_in_years AS age, visit_id, {v} AS v FROM base WHERE {v} IS NOT NULL"
+_STEPS, _LAST = outliers.WEIGHT_THRESHOLDS
+_LIMIT = ("(channel = 'h' OR coalesce(abs(slope) > CASE " + " ".join(f"WHEN age < {b} THEN {g}" for b, g in _STEPS) + f" ELSE {_LAST} END, false))")
+
+
+@query("d17_outlier_fixpoint", recursive(with_roles("SELECT visit_id, cast(round AS INT) AS round FROM gone", "visits", "patients", ctes=_ctes(
+    BASE_CTE, fixpoint_ctes(_SERIES.format(c="h", v="height_cm"))))))
 def d17(t: Tables) -> DataFrame:
     return outliers.outlier_fixpoint(base(t), ["patient_id"], "age_in_years", "height_cm", "visit_id").select("visit_id", "round")
 
 
-@query("d18_outlier_flags")
+@query("d18_outlier_flags", recursive(with_roles("""SELECT b.visit_id, CASE WHEN height_cm IS NOT NULL THEN (h.visit_id IS NOT NULL)::INT END AS height_outlier_flag, CASE WHEN weight_kg IS NOT NULL THEN (w.visit_id IS NOT NULL)::INT END AS weight_outlier_flag
+    FROM base b LEFT JOIN (SELECT visit_id FROM gone WHERE channel = 'h') h ON h.visit_id = b.visit_id LEFT JOIN (SELECT visit_id FROM gone WHERE channel = 'w') w ON w.visit_id = b.visit_id""", "visits", "patients", ctes=_ctes(
+    BASE_CTE, fixpoint_ctes(_SERIES.format(c="h", v="height_cm") + " UNION ALL " + _SERIES.format(c="w", v="weight_kg"), _LIMIT)))))
 def d18(t: Tables) -> DataFrame:
     return outliers.outlier_flags(base(t), "patient_id", "age_in_years", "visit_id", {
         "height_outlier_flag": ("height_cm", None), "weight_outlier_flag": ("weight_kg", outliers.WEIGHT_THRESHOLDS)}).select(
