@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stats import normal_cdf
-from .storage import broadcast_if_small
+from .storage import BROADCAST_ROWS
+
+MAX_SEXES = 16
 
 
 def segments(grid: DataFrame, key: str) -> DataFrame:
@@ -22,7 +24,7 @@ def segments(grid: DataFrame, key: str) -> DataFrame:
         F.col("Sex").alias("__sex"), F.col(key).cast("double").alias("__lo"), nxt(key).cast("double").alias("__hi"),
         F.lead(key).over(w).isNull().alias("__end"),
         *[F.col(c).cast("double").alias(f"__{c}0") for c in "LMS"],
-        *[nxt(c).cast("double").alias(f"__{c}1") for c in "LMS"],
+        *[F.coalesce((nxt(c) - F.col(c)) / F.nullif(nxt(key) - F.col(key), F.lit(0.0)), F.lit(0.0)).alias(f"__{c}d") for c in "LMS"],
     )
     return cut.withColumn(
         "__bucket", F.explode(F.sequence(F.floor("__lo").cast("long"), F.floor("__hi").cast("long")))
@@ -31,27 +33,32 @@ def segments(grid: DataFrame, key: str) -> DataFrame:
 
 def attach_parameters(df: DataFrame, key: Column, sex: Column, grid: DataFrame, grid_key: str,
                       clamp_high: bool = True) -> DataFrame:
-    """Join interpolated ``__L, __M, __S``; null off the grid, clamped above it if asked."""
-    limits = grid.groupBy(F.col("Sex").alias("__lsex")).agg(
-        F.min(grid_key).cast("double").alias("__kmin"), F.max(grid_key).cast("double").alias("__kmax"))
-    inside = (F.col("__key") >= F.col("__kmin")) if clamp_high else F.col("__key").between(
-        F.col("__kmin"), F.col("__kmax"))
-    keyed = (
-        df.withColumn("__key", key.cast("double")).withColumn("__s", sex)
-        .join(broadcast_if_small(limits), F.col("__s") == F.col("__lsex"), "left")
-        .withColumn("__x", F.when(inside, F.least("__key", "__kmax")))
-        .withColumn("__b", F.floor("__x").cast("long"))
-    )
-    cut = broadcast_if_small(segments(grid, grid_key))
+    """Join interpolated ``__L, __M, __S``; null off the grid, clamped above it if asked.
+
+    One small job reads the key limits and the knot count per sex.  The count
+    decides whether the segments may be broadcast; without the hint the same
+    equi-join runs shuffled.
+    """
+    limits = grid.groupBy("Sex").agg(
+        F.min(grid_key).cast("double").alias("lo"), F.max(grid_key).cast("double").alias("hi"), F.count("*").alias("n")
+    ).limit(MAX_SEXES + 1).collect()
+    if len(limits) > MAX_SEXES:
+        raise ValueError("the reference grid has too many sex codes")
+    x = F.when(F.lit(False), F.lit(0.0))
+    for r in limits:
+        inside = (key >= r.lo) if clamp_high else key.between(r.lo, r.hi)
+        x = x.when((sex == F.lit(r.Sex)) & inside, F.least(key.cast("double"), F.lit(r.hi)))
+    keyed = df.withColumn("__s", sex).withColumn("__x", x).withColumn("__b", F.floor("__x").cast("long"))
+    cut = segments(grid, grid_key)
+    span = sum((r.hi - r.lo + 2) for r in limits if r.n)
+    small = sum(r.n for r in limits) * 2 + span <= BROADCAST_ROWS
     hit = keyed.join(
-        cut,
+        F.broadcast(cut) if small else cut,
         (F.col("__s") == F.col("__sex")) & (F.col("__b") == F.col("__bucket"))
         & (F.col("__x") >= F.col("__lo")) & ((F.col("__x") < F.col("__hi")) | F.col("__end")),
         "left",
     )
-    span = F.col("__hi") - F.col("__lo")
-    t = F.when(span > 0, (F.col("__x") - F.col("__lo")) / span).otherwise(F.lit(0.0))
-    value = lambda c: F.col(f"__{c}0") + (F.col(f"__{c}1") - F.col(f"__{c}0")) * t
+    value = lambda c: F.col(f"__{c}0") + F.col(f"__{c}d") * (F.col("__x") - F.col("__lo"))
     return hit.select(*[F.col(c) for c in df.columns], *[value(c).alias(f"__{c}") for c in "LMS"])
 
 

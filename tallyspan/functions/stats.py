@@ -98,27 +98,17 @@ def stabilize(c: Column, digits: int = 8) -> Column:
     return F.format_string(f"%.{digits - 1}e", c.cast("double")).cast("double")
 
 
-# Coefficients of W. J. Cody's rational approximation of erfc.
-_ERF_P = [3.209377589138469472562e3, 3.774852376853020208137e2, 1.138641541510501556495e2,
-          3.161123743870565596947, 1.857777061846031526730e-1]
-_ERF_Q = [2.844236833439170622273e3, 1.282616526077372275645e3, 2.440246379344441733056e2,
-          2.360129095234412093499e1, 1.0]
-_ERFC_P = [1.23033935479799725272e3, 2.05107837782607146532e3, 1.71204761263407058314e3,
-           8.81952221241769090411e2, 2.98635138197400131132e2, 6.61191906371416294775e1,
-           8.88314979438837594118, 5.64188496988670089180e-1, 2.15311535474403846343e-8]
-_ERFC_Q = [1.23033935480374942043e3, 3.43936767414372163696e3, 4.36261909014324715820e3,
-           3.29079923573345962678e3, 1.62138957456669018874e3, 5.37181101862009857509e2,
-           1.17693950891312499305e2, 1.57449261107098347253e1, 1.0]
+# Rational approximation of the normal tail (Hart's algorithm 5666), highest power first.
+TAIL_P = [3.52624965998911e-2, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376]
+TAIL_Q = [8.83883476483184e-2, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752]
 
 
 def _poly(coefficients: list[float], x: Column) -> Column:
-    return reduce(lambda acc, c: acc * x + F.lit(c), reversed(coefficients[:-1]), F.lit(coefficients[-1]))
+    return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
 
 
 def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function from Column arithmetic (|error| < 1e-9)."""
-    x = F.abs(z) / F.lit(2.0 ** 0.5)
-    small = x * _poly(_ERF_P, x * x) / _poly(_ERF_Q, x * x)
-    tail = F.exp(-x * x) * _poly(_ERFC_P, x) / _poly(_ERFC_Q, x)
-    upper = F.when(x < 0.46875, (1 - small) / 2).when(x < 26.0, tail / 2).otherwise(F.lit(0.0))
-    return F.when(z.isNull() | F.isnan(z), None).when(z > 0, 1 - upper).otherwise(upper)
+    """Standard normal distribution function from Column arithmetic (|error| < 1e-12)."""
+    x = F.abs(z)
+    tail = F.when(x < 7.07, F.exp(-x * x / 2) * _poly(TAIL_P, x) / _poly(TAIL_Q, x)).otherwise(F.lit(0.0))
+    return 0.5 + F.signum(z) * (0.5 - tail)

@@ -98,13 +98,14 @@ def as_of(row_gap: Column, gaps: list[int], pid: str, age: str, entry: Column) -
 
 
 def min_gap_velocity(df: DataFrame, pid: str, age: str, tie: str, specs: dict[str, tuple[str, tuple]], year: float = 365.0,
-                     digits: int = 2) -> DataFrame:
+                     digits: int = 2, bounded: bool = False) -> DataFrame:
     """Change since the latest measurement at least a minimum gap earlier.
 
     ``specs``: name -> (value column, (age steps, default gap)).  Adds
     ``delta_<n>``, ``gap_<n>`` and ``velocity_<n>``.  Ordinary entities use
     range frames over their rows; hot ones are folded to one row per day
     first, so a window never holds more than the days of a lifetime.
+    ``bounded`` skips the size check when the caller already made it.
     """
 
     def gap_of(rule) -> tuple[Column, list[int]]:
@@ -137,7 +138,7 @@ def min_gap_velocity(df: DataFrame, pid: str, age: str, tie: str, specs: dict[st
         return finish(both.withColumns({f"__p_{n}": F.when(F.col(v).isNotNull(), F.col(f"__q_{n}")) for n, (v, _) in specs.items()})
                       .drop(*[f"__q_{n}" for n in specs]))
 
-    ordinary, hot = split_hot(df, [pid])
+    ordinary, hot = (df, None) if bounded else split_hot(df, [pid])
     return plain(ordinary) if hot is None else plain(ordinary).unionByName(by_day(hot))
 
 
@@ -155,11 +156,17 @@ def derive_visits(visits: DataFrame, patients: DataFrame, grids: dict[str, DataF
     plausibility filter, velocity after it."""
     from .outliers import WEIGHT_THRESHOLDS, outlier_flags
 
+    # No step changes the rows of an entity, so one size check serves all.
+    bounded = split_hot(visits.select("patient_id"), ["patient_id"])[1] is None
+    if bounded:
+        # The velocity window needs this partitioning anyway; shuffling the raw
+        # columns first is cheaper than shuffling the derived ones later.
+        visits = visits.repartition("patient_id")
     people = clean_categories(patients, ["ethnicity", "race_1"])
     d = attach_entity(visits.drop("bmi", "bmi_percentile"), people, "patient_id", ["sex", "ethnicity", "race_1"])
     d = add_metric_units(add_ages(d, "age_in_days"))
     d = outlier_flags(d, "patient_id", "age_in_years", "visit_id", {
-        "height_outlier_flag": ("height_cm", None), "weight_outlier_flag": ("weight_kg", WEIGHT_THRESHOLDS)})
+        "height_outlier_flag": ("height_cm", None), "weight_outlier_flag": ("weight_kg", WEIGHT_THRESHOLDS)}, bounded)
     d = lms_zscore(d, "weight_kg", "age_in_months", "sex", grids["weight_age"], "Agemos", "weight_z_score")
     if filter_errors:
         d = filter_implausible(d, "weight_kg", "weight_z_score", -5, 5)
@@ -177,6 +184,6 @@ def derive_visits(visits: DataFrame, patients: DataFrame, grids: dict[str, DataF
     d = d.withColumn("bmi_category", bin_category(F.col("bmi_percentile"), BMI_EDGES, BMI_LABELS))
     d = add_flags(d, growth_flags())
     d = min_gap_velocity(d, "patient_id", "age_in_days", "visit_id", {
-        "weight": ("weight_kg", WEIGHT_GAPS), "height": ("height_cm", HEIGHT_GAPS)})
+        "weight": ("weight_kg", WEIGHT_GAPS), "height": ("height_cm", HEIGHT_GAPS)}, bounded=bounded)
     return velocity_zscores(d, "velocity_height", "age_in_years", "sex", {
         "": grids["velocity_no"], "_ep": grids["velocity_early"], "_ap": grids["velocity_average"], "_lp": grids["velocity_late"]})

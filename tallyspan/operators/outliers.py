@@ -52,19 +52,23 @@ def find_peaks(df: DataFrame, keys: list[str], age: str, value: str, tie: str, l
     offsets = {f"__m{i}": (point, -i) for i in (1, 2, 3)} | {f"__p{i}": (point, i) for i in (1, 2)}
     near = neighbours(df, keys, [age, tie], offsets, bounded).withColumn("__p0", point)
     at = lambda i: F.col(f"__m{-i}") if i < 0 else F.col(f"__p{i}")
-    slope = lambda i: _slope(at(i), at(i - 1))
-    # Slope sign plus the previous one's; null on a series' first row.
-    sums = lambda i: F.signum(slope(i)) + F.coalesce(F.signum(slope(i - 1)), F.lit(0.0))
     true = lambda c: F.coalesce(c, F.lit(False))
+    # Stages keep each quantity a column of its own, so expressions stay small.
+    near = near.withColumns({f"__s{i + 2}": _slope(at(i), at(i - 1)) for i in (-2, -1, 0, 1, 2)} | {
+        f"__c{i + 1}": _slope(at(i + 2), at(i)) for i in (-1, 0)} | {f"__u{i}": _slope(at(i), at(i - 2)) for i in (0, 1)})
+    slope = lambda i: F.col(f"__s{i + 2}")
+    # Slope sign plus the previous one's; null on a series' first row.
+    near = near.withColumns({
+        f"__t{i + 1}": F.signum(slope(i)) + F.coalesce(F.signum(slope(i - 1)), F.lit(0.0)) for i in (-1, 0, 1)} | {
+        f"__cap{i + 1}": F.col(f"__c{i + 1}") - slope(i) for i in (-1, 0)} | {f"__cup{i}": F.col(f"__u{i}") - slope(i + 1) for i in (0, 1)})
+    sums = lambda i: F.col(f"__t{i + 1}")
     start = sums(0).isNull() & true(sums(1) == 0)
-    cap = true((F.abs(sums(0)) == 2) & (sums(1) == 0)) | start
-    cup = true((sums(0) == 0) & (F.abs(sums(-1)) == 2)) | start
-    cap_size = lambda i: _slope(at(i + 2), at(i)) - slope(i)
-    cup_size = lambda i: _slope(at(i), at(i - 2)) - slope(i + 1)
-    peak = (cap & cup) | (cap & true(cap_size(0) <= cup_size(1))) | (cup & true(cup_size(0) <= cap_size(-1)))
+    near = near.withColumns({"__cap": true((F.abs(sums(0)) == 2) & (sums(1) == 0)) | start, "__cup": true((sums(0) == 0) & (F.abs(sums(-1)) == 2)) | start})
+    cap, cup = F.col("__cap"), F.col("__cup")
+    peak = (cap & cup) | (cap & true(F.col("__cap1") <= F.col("__cup1"))) | (cup & true(F.col("__cup0") <= F.col("__cap0")))
     if limit is not None:
         peak = peak & (limit.isNull() | true(F.abs(slope(0)) > limit))
-    return near.withColumn("peak", peak).drop(*offsets, "__p0")
+    return near.select(*df.columns, peak.alias("peak"))
 
 
 def slope_limit(age: str, thresholds) -> Column:
@@ -72,7 +76,8 @@ def slope_limit(age: str, thresholds) -> Column:
     return step_value(F.col(age), thresholds[0], thresholds[1], inclusive=False)
 
 
-def outlier_fixpoint(df: DataFrame, keys: list[str], age: str, value: str, tie: str, limit: Column | None = None) -> DataFrame:
+def outlier_fixpoint(df: DataFrame, keys: list[str], age: str, value: str, tie: str, limit: Column | None = None,
+                     bounded: bool = False) -> DataFrame:
     """Rows removed by the pre-clean (round 0) and by each peeling round.
 
     Series are independent, so each round re-reads only those that lost a row
@@ -81,10 +86,12 @@ def outlier_fixpoint(df: DataFrame, keys: list[str], age: str, value: str, tie:
     at least one row.
     """
     columns = [*keys, age, tie, value]
-    cleaned = materialize(outlier_preclean(df, keys, age, value, tie), "preclean")
+    # The pre-clean reads the narrow series three times, so it is written once.
+    rows = materialize(df.where(F.col(value).isNotNull() & F.col(age).isNotNull()).select(*columns), "series")
+    cleaned = materialize(outlier_preclean(rows, keys, age, value, tie), "preclean")
     removed = cleaned.where("flagged").select(*keys, age, tie, F.lit(0).alias("round"))
     active = cleaned.where(~F.col("flagged")).select(*columns)
-    bounded = split_hot(active, keys)[1] is None
+    bounded = bounded or split_hot(active, keys)[1] is None
     number = 0
     while True:
         number += 1
@@ -97,7 +104,8 @@ def outlier_fixpoint(df: DataFrame, keys: list[str], age: str, value: str, tie:
         active = marked.where(~F.col("peak")).select(*columns).join(touched, keys, "left_semi")
 
 
-def outlier_flags(df: DataFrame, pid: str, age: str, tie: str, specs: dict[str, tuple[str, tuple | None]]) -> DataFrame:
+def outlier_flags(df: DataFrame, pid: str, age: str, tie: str, specs: dict[str, tuple[str, tuple | None]],
+                  bounded: bool = False) -> DataFrame:
     """Flag columns: null where unmeasured, 0 plausible, 1 removed by the fixpoint.
 
     All channels are peeled in the same rounds, as one tall table of
@@ -110,7 +118,7 @@ def outlier_flags(df: DataFrame, pid: str, age: str, tie: str, specs: dict[str,
     for name, (_, thresholds) in specs.items():
         if thresholds is not None:
             limit = limit.when(F.col("channel") == name, slope_limit(age, thresholds))
-    gone = outlier_fixpoint(tall, [pid, "channel"], age, "value", tie, limit).groupBy(pid, tie).agg(
+    gone = outlier_fixpoint(tall, [pid, "channel"], age, "value", tie, limit, bounded).groupBy(pid, tie).agg(
         *[F.max(F.when(F.col("channel") == n, 1)).alias(f"__{n}") for n in specs])
     out = join_on(df, gone, [pid, tie], "left")
     return out.withColumns({

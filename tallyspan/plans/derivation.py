@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.growthref import lms_value, lms_zscore, percentile_from_z
-from ..functions.stats import _ERF_P, _ERF_Q, _ERFC_P, _ERFC_Q
+from ..functions.storage import materialize
+from ..functions.stats import TAIL_P, TAIL_Q
 from ..operators import derive as op
 from ..operators import outliers
 from .registry import query
@@ -24,7 +25,9 @@ def base(t: Tables) -> DataFrame:
 
 
 def grids(t: Tables) -> dict[str, DataFrame]:
-    return {kind: grid(t, kind).cache() for kind in GRIDS}
+    """All grids from one written table of age steps (a few dozen rows)."""
+    steps = materialize(t.visits.select("age_in_days").distinct(), "steps")
+    return {kind: grid(t, kind, steps) for kind in GRIDS}
 
 
 def seg_cte(kind: str, name: str) -> str:
@@ -50,15 +53,13 @@ def z_sql(v: str) -> str:
 
 
 def _poly_sql(c: list[float], x: str) -> str:
-    return " + ".join(f"{v!r}::DOUBLE * pow({x}, {i})" for i, v in enumerate(c))
+    top = len(c) - 1
+    return " + ".join(f"{v!r}::DOUBLE * pow({x}, {top - i})" for i, v in enumerate(c))
 
 
 def phi_sql(z: str) -> str:
-    x = f"(abs({z}) / sqrt(2e0))"
-    small = f"{x} * ({_poly_sql(_ERF_P, f'({x} * {x})')}) / ({_poly_sql(_ERF_Q, f'({x} * {x})')})"
-    tail = f"exp(-{x} * {x}) * ({_poly_sql(_ERFC_P, x)}) / ({_poly_sql(_ERFC_Q, x)})"
-    up = f"CASE WHEN {x} < 0.46875 THEN (1 - {small}) / 2 WHEN {x} < 26 THEN ({tail}) / 2 ELSE 0e0 END"
-    return f"CASE WHEN {z} IS NULL THEN NULL WHEN {z} > 0 THEN 1 - ({up}) ELSE ({up}) END"
+    tail = f"(CASE WHEN abs({z}) < 707e-2 THEN exp(-{z} * {z} / 2) * ({_poly_sql(TAIL_P, f'abs({z})')}) / ({_poly_sql(TAIL_Q, f'abs({z})')}) ELSE 0e0 END)"
+    return f"CASE WHEN {z} IS NULL THEN NULL WHEN {z} > 0 THEN 1 - {tail} ELSE {tail} END"
 
 
 @query("d01_clean_categories", with_roles("""SELECT patient_id,

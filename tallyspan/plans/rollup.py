@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialize
 from ..operators import derive, rollup as op
 from .profiling import SLOT_COLS
 from .registry import query
@@ -148,6 +149,8 @@ def d31(t: Tables) -> DataFrame:
     """Both derived layers end to end: visits, then the patient roll-up."""
     from .derivation import grids
 
-    visits = derive.derive_visits(t.visits, t.patients, grids(t))
+    # Both inputs of the roll-up are read several times, so each is written once.
+    visits = materialize(derive.derive_visits(t.visits, t.patients, grids(t)), "visits")
+    tall = materialize(codes(t), "codes")
     z = [f"{c}_z_score" for c in ("weight", "height", "bmi", "head_circ", "weight_for_length", "weight_for_stature")]
-    return op.derive_patients(t.patients.drop("label", "label2", "balance"), visits, codes(t), chronic(t), z)
+    return op.derive_patients(t.patients.drop("label", "label2", "balance"), visits, tall, chronic(t), z)

@@ -183,9 +183,9 @@ def grid_sql(kind: str, div: str, visits_name: str = "visits") -> str:
         CROSS JOIN (SELECT 1 AS sx UNION ALL SELECT 2 AS sx) sexes"""
 
 
-def grid(t: Tables, kind: str) -> DataFrame:
+def grid(t: Tables, kind: str, visits: DataFrame | None = None) -> DataFrame:
     text = grid_sql(kind, "age_in_days div 91", "{visits}").replace('"', "`")
-    return references.load_lms(t.spark.sql(text, visits=t.visits), GRIDS[kind][0])
+    return references.load_lms(t.spark.sql(text, visits=t.visits if visits is None else visits), GRIDS[kind][0])
 
 
 def grid_cte(kind: str, name: str) -> str:

@@ -16,6 +16,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, name: s
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Per-call origin capture is a debugging aid that slows plan building.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

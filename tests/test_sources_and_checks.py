@@ -83,7 +83,7 @@ def test_empty_tables(spark):
     assert {r.observed for r in integrity.check_rules(empty, TINY).collect()} == {0}
     assert {r.observed for r in integrity.check_primary_key(empty, ["id"], "t").collect()} == {0}
     assert profiling.histogram(empty, "x", 0.0, 4.0, 4).agg(F.sum("n")).first()[0] == 0
-    assert explore.same_period_spread(empty, "id", "n", {"x": None}).count() == 0
+    assert explore.same_period_spread(empty.withColumnRenamed("n", "age"), "id", "age", {"x": None}).count() == 0
     assert profiling.field_profile(empty, {"x": "number"}).first().row_count == 0
 
 
