@@ -11,10 +11,6 @@ from .ordering import running_totals
 from .storage import join_on
 
 
-def as_column(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def ratio(part: Column, whole: Column) -> Column:
     """Share that is null, not an error, for an empty denominator."""
     return F.when(whole != 0, part / whole)
@@ -48,15 +44,6 @@ def exact_quantiles(df: DataFrame, by: list[str], values: dict[str, Column], pro
     return both.groupBy(*keys).agg(F.max("__total").alias("n"), *out)
 
 
-def domain_quantile(value, p: float, weight=None) -> Column:
-    """Interpolated quantile for columns over a bounded domain (ages, gaps, counts).
-
-    The aggregate keeps one counter per distinct value, so its state is bounded
-    by the domain (days of a lifetime), not by the rows of the group.
-    """
-    return F.percentile(as_column(value), p) if weight is None else F.percentile(as_column(value), p, weight)
-
-
 def rank_auc(df: DataFrame, by: list[str], label: str, score: str = "value") -> DataFrame:
     """Mid-rank AUC per group from counts per distinct score, plus separation."""
     counts = (

@@ -23,10 +23,16 @@ _fallback: dict[str, str] = {}
 
 
 def workspace(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables; a private one only if none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder for intermediate tables.
+
+    Only a local master may fall back to a private folder: on a cluster a
+    machine-local path would be lost with its machine.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="spark-tallyspan-", dir="/tmp")

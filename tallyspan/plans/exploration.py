@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import as_column
 from ..operators import derive, explore as op
 from .derivation import BASE_CTE, base, gap_sql, velocity_cte
 from .profiling import YEAR_BANDS, band_sql

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import fresh_path
 from ..sources import bundle, delimited, fhir, references
-from ..sources.contract import Contract, Field, contract_rules, contract_schema
+from ..sources.contract import Contract, Field, contract_rules
 from .registry import query
 from .roles import Tables, with_roles
 
@@ -34,9 +34,6 @@ def patients(t: Tables) -> DataFrame:
     return t.patients.select(*PATIENTS.names)
 
 
-_CELLS = """SELECT r.table_name, r.field, r.rule, r.expected, v.present FROM rules r JOIN present v USING (field)"""
-
-
 @query("a01_contract_schema", with_roles("""
     SELECT 'visits' AS table_name, r.field, r.rule, r.expected, p.present FROM (VALUES
       ('patient_id','type','string'),('patient_id','required','0'),('patient_id','link','patients'),

@@ -28,10 +28,6 @@ def part(df: DataFrame) -> DataFrame:
     return op.assign_partition(df, PID, KEY, POINTS)
 
 
-def target_sql(select: str) -> str:
-    return select
-
-
 def rounded_targets(df: DataFrame) -> DataFrame:
     return df.select(*op.COLUMNS).withColumn("value", F.round("value", 6))
 
