@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import all_bands
 from ..functions.stats import rank_auc, ratio
-from ..functions.storage import broadcast_if_small, join_on
 
 # Causal order of event phases.
 PHASES = {"latent_onset": 0, "observable_phenotype": 1, "recognition_opportunity": 2, "workup": 3, "recorded_diagnosis": 4,

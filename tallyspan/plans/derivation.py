@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.growthref import lms_value, lms_zscore, percentile_from_z
+from ..functions.growthref import lms_value, lms_zscore
 from ..functions.storage import materialize
 from ..functions.stats import TAIL_P, TAIL_Q
 from ..operators import derive as op

@@ -9,7 +9,7 @@ from ..operators import profiling as op
 from ..sources.contract import Contract, Field
 from .registry import query
 from .roles import SLOTS, Tables, with_roles
-from .sources import PATIENTS, VISITS, patients, visits
+from .sources import VISITS, patients, visits
 
 SLOT_COLS = [f"enc_diag_{i}" for i in range(1, SLOTS + 1)]
 ICD10 = r"^[A-TV-Z][0-9][0-9AB](\.?[0-9A-TV-Z]{0,4})?$"
