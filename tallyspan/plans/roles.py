@@ -27,7 +27,10 @@ class Dialect:
         return f"(({a}) div ({b}))" if self.spark else f"(({a}) // ({b}))"
 
     def seconds(self, ts: str) -> str:
-        return f"unix_seconds(cast({ts} AS TIMESTAMP))" if self.spark else f"cast(floor(epoch({ts})) AS BIGINT)"
+        # Field arithmetic, so the session time zone plays no part.
+        if self.spark:
+            return f"(datediff({ts}, DATE '1970-01-01') * 86400L + hour({ts}) * 3600 + minute({ts}) * 60 + second({ts}))"
+        return f"cast(floor(epoch({ts})) AS BIGINT)"
 
     def table(self, name: str) -> str:
         return "{" + name + "}" if self.spark else name
