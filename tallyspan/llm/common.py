@@ -7,12 +7,14 @@ and the letters that are lower-cased are ASCII.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -50,6 +52,13 @@ def held_out_column(mod: int, rest: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import the package from where the driver did (no effect where it is installed)."""
+    home, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if home not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [home, *paths]))
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """Made on the driver; the tasks get it inside their function."""
     return to_arrow_schema(StructType.fromDDL(ddl))
@@ -61,6 +70,7 @@ def map_batches(df: DataFrame, fn, ddl: str) -> DataFrame:
     The rows of a batch are worked off in slices, so one slice of very long
     texts bounds the memory of the Python side.
     """
+    reachable(df.sparkSession)
     width, schema = len(df.columns), arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
