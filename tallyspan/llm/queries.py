@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, secrets, simhash, toxicity
+from . import licenses, packing, secrets, simhash, substrings, toxicity
 from .common import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query("op1_substring_dedup", """
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+    s AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35),
+    k AS (SELECT doc_id, i, sha256(array_to_string(words[i:i + 34], ' ')) AS h FROM s),
+    r AS (SELECT doc_id, i FROM k WHERE h IN (SELECT h FROM k GROUP BY h HAVING count(*) > 1)),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM r),
+    g AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+    f AS (SELECT w.doc_id, words, coalesce(ps, []) AS ps FROM w LEFT JOIN g ON w.doc_id = g.doc_id)
+    SELECT doc_id, cast(len(words) AS BIGINT) AS n_words, cast(len(ps) AS BIGINT) AS n_removed,
+      sha256(array_to_string(list_filter(words, lambda x, p: NOT list_contains(ps, p)), ' ')) AS kept_sha256
+    FROM f""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
 @query("op2_simhash_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
