@@ -1,20 +1,51 @@
-"""Training-data pipeline: five stages over ``documents``, each written as Parquet and reread."""
+"""Training-data pipeline: five stages over ``documents``, each written as Parquet and reread.
+
+Each stage works on all that the one before it kept.  The filters return the columns
+of ``documents``; the last stage returns packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyspan.llm import toxicity
+from tallyspan.llm import decontaminate, lines, packing, simhash, toxicity
 from tallyspan.llm.common import materialize
 from tallyspan.llm.queries import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model scores under its threshold."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("toxicity", drop_toxic)]
-ORACLE_SQL = None  # the stages train models and tokenize, which SQL cannot express
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the lines that resemble an earlier line; ``n_chars`` follows the text."""
+    out = lines.dedup_lines(docs).drop("__lines", "__gone")
+    kinds = dict(docs.dtypes)
+    if "n_chars" not in kinds:
+        return out
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(kinds["n_chars"]))
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies: five-word shingles, similarity 0.8."""
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with less than a twentieth of their words in benchmark windows."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of 4096."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("near_dedup", dedup_documents),
+          ("decontamination", drop_contaminated), ("packing", pack)]
+ORACLE_SQL = None  # trained scores, fingerprints and tokens are beyond SQL; tests hold the run against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

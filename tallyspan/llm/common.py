@@ -39,8 +39,8 @@ def as_bytes(column: str = "text") -> Column:
 
 
 def text_key(column: str = "text") -> Column:
-    """16 bytes that stand for a text: equal texts share the key."""
-    return F.substring(F.unhex(F.sha2(F.col(column).cast("string").cast("binary"), 256)), 1, 16)
+    """16 bytes that stand for a text: equal texts share the key, null counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"), 256)), 1, 16)
 
 
 def held_out(doc_id: int | None, mod: int, rest: int = 1) -> bool:

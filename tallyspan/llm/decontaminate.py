@@ -28,7 +28,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_key
 
 WIDTH, PROBES = 13, 3
 BROADCAST_TERMS = 100_000
@@ -47,10 +47,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), _SEPARATORS), lambda w: w != "")
 
 
-def text_key() -> Column:
-    return F.substring(F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)), 1, 16)
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """(tid, text) of every row."""
     return docs.select(text_key().alias("tid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -33,8 +33,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .decontaminate import text_key
+from .common import materialize, text_key
 
 SIZE, THRESHOLD, BITS = 5, 0.8, 17
 BROADCAST_SETS = 1_000_000

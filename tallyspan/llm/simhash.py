@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_bytes, map_batches, materialize, space_words
+from .common import arrow_schema, as_bytes, map_batches, materialize, space_words, text_key
 from .components import components
 
 BLOCKS = ((0, 21), (21, 42), (42, 64))
@@ -138,5 +138,116 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> Dat
     return rows.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
+# Near copies at a given similarity: the same method on several short fingerprints.
+TABLES, KEY_BITS = 12, 24
+WORDS = TABLES * KEY_BITS // 64 + 1
+
+
+def wide_fingerprint(text: bytes | None, size: int) -> np.ndarray:
+    """``WORDS`` fingerprints of 64 bits, each from its own mix of the shingle hashes."""
+    h = shingle_hashes(text, size)
+    out = np.zeros(WORDS, np.uint64)
+    for i in range(WORDS if len(h) else 0):
+        x = h + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        octets = (x ^ (x >> np.uint64(31))).view(np.uint8).reshape(-1, 8)
+        bits = np.concatenate([2 * (np.bincount(octets[:, j], minlength=256) @ _BITS) > len(h) for j in range(8)])
+        out[i] = np.packbits(bits, bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def bits_apart(similarity: float) -> int:
+    """Differing bits of 128 that a pair of this Jaccard similarity has, plus one standard deviation."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(128 * share + (128 * share * (1 - share)) ** 0.5)
+
+
+def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Links (u, v) between nodes whose 128 check bits differ in at most ``radius`` places.
+
+    ``nodes`` holds ``wide``.  Each of the short fingerprints is looked up within two bits: both
+    sides emit every variant within one bit and meet in the middle.
+    """
+    schema, linked = arrow_schema("key long, a long, b long"), arrow_schema("u long, v long")
+    flips = np.concatenate(([0], 1 << np.arange(KEY_BITS))).astype(np.uint64)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                raw = b"".join(batch.column(0).slice(at, 1024).to_pylist())
+                wide = np.frombuffer(raw, np.uint64).reshape(-1, WORDS)
+                bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")[:, :TABLES * KEY_BITS].reshape(len(wide), TABLES, KEY_BITS)
+                keys = bits.astype(np.uint64) @ (np.uint64(1) << np.arange(KEY_BITS, dtype=np.uint64)) + (np.arange(TABLES, dtype=np.uint64) << np.uint64(KEY_BITS))
+                keys = (keys[:, :, None] ^ flips).reshape(len(wide), -1)
+                a, b = (np.repeat(wide[:, i], keys.shape[1]).view(np.int64) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(a), pa.array(b)], schema=schema)
+
+    dealt = nodes.select("wide").mapInArrow(emit, "key long, a long, b long").repartition("key").sortWithinPartitions("key", "a")
+
+    def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        out, root = [], np.arange(len(a))
+        for i in range(len(a) - 1):
+            far = np.bitwise_count(a[i + 1:] ^ a[i]) + np.bitwise_count(b[i + 1:] ^ b[i])
+            for j in (np.flatnonzero(far <= radius) + i + 1).tolist():
+                if root[j] != root[i]:
+                    out.append((int(a[i]), int(a[j])))
+                    root[root == root[j]] = root[i]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(k, a, b):
+            found = set()
+            if len(k):
+                starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+                sizes = np.diff(np.append(starts, len(k)))
+                step = 1
+                small = sizes <= 8
+                inside = np.repeat(small, sizes)
+                while step < 8 and len(k) > step:  # pairs of small buckets, all buckets at a time
+                    at = np.flatnonzero((k[step:] == k[:-step]) & inside[step:])
+                    ok = np.bitwise_count(a[at] ^ a[at + step]) + np.bitwise_count(b[at] ^ b[at + step]) <= radius
+                    found.update(zip(a[at[ok]].tolist(), a[at[ok] + step].tolist()))
+                    step += 1
+                for s, n in zip(starts[~small].tolist(), sizes[~small].tolist()):
+                    found.update(forest(a[s:s + n], b[s:s + n]))
+            got = np.array([p for p in found if p[0] != p[1]], np.uint64).reshape(-1, 2).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], schema=linked)
+
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+        for batch in batches:
+            own = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy().view(np.uint64)]
+            rest = [np.concatenate(x) for x in zip(rest, own)]
+            cut = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
+            yield solve(*(x[:cut] for x in rest))
+            rest = [x[cut:] for x in rest]
+        yield solve(*rest)
+
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
+def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The document with the smallest id of every group of copies and near copies, with all its columns.
+
+    Documents without an id come after all others; equal rows count as copies.
+    """
+    def run(ids, keys, texts):
+        wide = [wide_fingerprint(t, size) for t in texts]
+        return {"doc_id": ids, "tid": keys, "fp": [signed(int(w[0])) for w in wide], "wide": [w.tobytes() for w in wide]}
+
+    key = text_key()
+    rows = materialize(map_batches(docs.select(F.col("doc_id").cast("long"), key.alias("tid"), as_bytes().alias("text")), run,
+                                   "doc_id long, tid binary, fp long, wide binary"), "wide")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("wide").alias("wide")), "nodes")
+    roots = components(wide_links(nodes, bits_apart(similarity)))
+    last = F.lit((1 << 63) - 1)
+    placed = (rows.select(F.coalesce("doc_id", last).alias("id"), "tid", "fp").join(roots, F.col("fp") == F.col("node"), "left")
+              .select("id", "tid", F.coalesce("root", "fp").alias("root")))
+    stay = placed.groupBy("root").agg(F.min(F.struct("id", "tid")).alias("s")).select(F.col("s.id").alias("__id"), F.col("s.tid").alias("__tid"))
+    marked = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), last), "__k": key})
+    kept = marked.join(stay.distinct(), (F.col("__d") == F.col("__id")) & (F.col("__k") == F.col("__tid")), "left_semi")
+    return kept.dropDuplicates(["__d", "__k"]).drop("__d", "__k")
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
