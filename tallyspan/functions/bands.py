@@ -17,6 +17,11 @@ def band_label(value: Column, bands: list[tuple[str, float | None, float | None]
     return out
 
 
+def closed_bands(bands: list[tuple[str, int, int | None]]) -> list[tuple[str, int, int | None]]:
+    """Whole-number bands with both ends included, as half-open ones; an end of None stays open."""
+    return [(label, lo, None if hi is None else hi + 1) for label, lo, hi in bands]
+
+
 def with_bands(df: DataFrame, value: str, bands, name: str = "band") -> DataFrame:
     """Add the band and drop rows outside every band."""
     return df.withColumn(name, band_label(F.col(value), bands)).where(F.col(name).isNotNull())

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bands import band_label, step_value
+from ..functions.bands import band_label, closed_bands, step_value
 from ..functions.ordering import running_totals
 from ..functions.stats import exact_quantiles, ratio, suppress
 from ..functions.storage import join_on
@@ -379,14 +379,13 @@ def mechanism_accounting(hits: DataFrame, null_hits: DataFrame, rates: DataFrame
     return total.unionByName(own.select("item", "observed", (F.coalesce("__n", F.lit(0)) / F.lit(float(reps))).alias("null")))
 
 
-def gate_sensitivity(df: DataFrame, value: str, key: list[str], gate: float, n: int, relative: bool = True) -> DataFrame:
-    """Share of all digit swaps on a repeatable sample that would cross the anomaly gate."""
-    picked = df.orderBy(F.md5(F.concat_ws("|", *key)), *key).limit(n)  # the sample size is the operator's parameter
-    typed = picked.select(F.col(value).alias("__v"), typed_text(F.col(value)).alias("__text"))
+def gate_sensitivity(df: DataFrame, value: str, gate: float, relative: bool = True) -> DataFrame:
+    """Share of all digit swaps that would cross the anomaly gate, over every row."""
+    typed = df.select(F.col(value).alias("__v"), typed_text(F.col(value)).alias("__text"))
     moved = typed.select(F.col("__v").alias("v"), F.explode(F.array_distinct(
         F.transform(swaps(F.col("__text")), lambda c: c.try_cast("double")))).alias("c")).where("c > 0 and c <> v")
     gap = F.abs(F.col("c") - F.col("v")) / (F.col("v") if relative else F.lit(1.0))
-    return picked.agg(F.count("*").alias("sampled")).crossJoin(
+    return df.agg(F.count("*").alias("sampled")).crossJoin(
         moved.agg(F.count("*").alias("swaps"), F.count_if(gap > gate).alias("caught"), ratio(100.0 * F.count_if(gap > gate), F.count("*")).alias("share")))
 
 
@@ -399,9 +398,9 @@ def repeat_pairs(df: DataFrame, pid: str, age: str, value: str, carry: list[str]
     ).where("v_prev is not null").withColumns({"change": F.col("v") - F.col("v_prev"), "gap": F.col(age) - F.col("age_prev")})
 
 
-def change_by_gap(pairs: DataFrame, gaps: list[tuple[str, int, int]], by: str = "gap") -> DataFrame:
+def change_by_gap(pairs: DataFrame, gaps: list[tuple[str, int, int | None]], by: str = "gap") -> DataFrame:
     """Zero-change and decrease rates per gap band with the median loss."""
-    rows = pairs.withColumn("band", band_label(F.col(by), [(n, lo, hi + 1) for n, lo, hi in gaps])).where("band is not null")
+    rows = pairs.withColumn("band", band_label(F.col(by), closed_bands(gaps))).where("band is not null")
     agg = rows.groupBy("band").agg(
         F.count("*").alias("pairs"), (100.0 * F.count_if(F.col("change") == 0) / F.count("*")).alias("zero"),
         (100.0 * F.count_if(F.col("change") < 0) / F.count("*")).alias("decrease"))

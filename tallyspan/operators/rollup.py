@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.storage import join_on
 
 # Growth-related code prefixes.
-GROWTH_PREFIXES = """E03.9 E10 E22.0 E23.0 E23.6 E24 E30.0 E30.1 E34.3 E34.4 E72.11 K50 K51 K90.0 N18 N25.0 P04.3 P05
-P07 P70 P92.6 Q77 Q78.0 Q78.1 Q87.1 Q87.2 Q87.3 Q87.4 Q90 Q96 Q98.0 Q98.4 Q98.5""".split()
+GROWTH_PREFIXES = [
+    "E03.9", "E10", "E22.0", "E23.0", "E23.6", "E24", "E30.0", "E30.1", "E34.3", "E34.4", "E72.11", "K50", "K51", "K90.0",
+    "N18", "N25.0", "P04.3", "P05", "P07", "P70", "P92.6", "Q77", "Q78.0", "Q78.1", "Q87.1", "Q87.2", "Q87.3", "Q87.4",
+    "Q90", "Q96", "Q98.0", "Q98.4", "Q98.5",
+]
 
 
 def ever_flags(df: DataFrame, pid: str, flags: list[str]) -> DataFrame:

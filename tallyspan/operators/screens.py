@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bands import band_label
+from ..functions.bands import band_label, closed_bands
 from ..functions.stats import rank_auc, ratio, stabilize, suppress
 from ..functions.storage import join_on
 
@@ -177,11 +177,11 @@ def prior_counts(index: DataFrame, events: DataFrame, pid: str, age: str, index_
     return join_on(dated, events_before_index(events, dated, pid, age, index_age, "n_before"), [pid])
 
 
-def prior_history(prior: DataFrame, index_age: str, bands: list[tuple[str, int, int]], split: float = 2.0) -> DataFrame:
+def prior_history(prior: DataFrame, index_age: str, bands: list[tuple[str, int, int | None]], split: float = 2.0) -> DataFrame:
     """Entities by number of events before the index, for the whole and both sides of the split."""
     side = F.when(F.col(index_age) <= split, "early").otherwise("late")
     rows = prior.select(F.explode(F.array(F.lit("whole"), side)).alias("stratum"),
-                        band_label(F.col("n_before"), [(n, lo, hi + 1) for n, lo, hi in bands]).alias("band"), F.col(index_age).alias("age"))
+                        band_label(F.col("n_before"), closed_bands(bands)).alias("band"), F.col(index_age).alias("age"))
     counts = rows.groupBy("stratum", "band").agg(F.count("*").alias("entities"))
     totals = rows.groupBy("stratum").agg(F.count("*").alias("total"), F.percentile("age", 0.5).alias("median_age"))  # three rows
     return counts.join(F.broadcast(totals), "stratum").withColumn("share", 100.0 * F.col("entities") / F.col("total"))

@@ -61,25 +61,21 @@ def h03(t: Tables) -> DataFrame:
 
 
 _KINDS = ["latent_onset", "observable_phenotype", "workup", "treatment_start", "treatment_response", "unknown_kind"]
-# Later visits mostly carry later phases, so some entities follow the order.
-PHASE_SQL = """ph AS (SELECT patient_id, visit_id, age_in_days, seq, CASE WHEN k % 97 = 0 THEN 'unknown_kind' ELSE list_extract(['latent_onset', 'observable_phenotype', 'workup', 'treatment_start', 'treatment_response'], cast((CASE WHEN k % 23 = 0 THEN 1 ELSE seq END - 1) % 5 + 1 AS BIGINT)) END AS kind
-    FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY age_in_days, visit_id) AS seq FROM visits) v WHERE seq <= 5 AND cast(patient_id AS BIGINT) % 3 + 3 >= seq)"""
+# One entity per order; its lines are the events, in line order.
+PHASE_SQL = """ph AS (SELECT visit_id AS patient_id, age_in_days, slot AS seq, CASE WHEN substr(code, 1, 1) = 'Z' THEN 'unknown_kind'
+    ELSE list_extract(['latent_onset', 'observable_phenotype', 'workup', 'treatment_start', 'treatment_response'], cast((slot - 1) % 5 + 1 AS BIGINT)) END AS kind FROM visit_codes)"""
 
 
 def phased(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    seq = F.row_number().over(Window.partitionBy(PID).orderBy(AGE, VID))
-    rows = t.visits.withColumn("seq", seq).where((F.col("seq") <= 5) & (F.col(PID).cast("long") % 3 + 3 >= F.col("seq")))
-    place = (F.when(F.col("k") % 23 == 0, 1).otherwise(F.col("seq")) - 1) % 5
     kinds = F.array(*[F.lit(k) for k in _KINDS[:5]])
-    return rows.withColumn("kind", F.when(F.col("k") % 97 == 0, "unknown_kind").otherwise(F.get(kinds, place)))
+    kind = F.when(F.substring("code", 1, 1) == "Z", "unknown_kind").otherwise(F.get(kinds, (F.col("slot") - 1) % 5))
+    return t.visit_codes.select(F.col("visit_id").alias(PID), AGE, F.col("slot").alias("seq"), kind.alias("kind"))
 
 
 @query("h04_event_order", with_roles("""
     , p AS (SELECT *, CASE kind WHEN 'latent_onset' THEN 0 WHEN 'observable_phenotype' THEN 1 WHEN 'workup' THEN 3 WHEN 'treatment_start' THEN 5 WHEN 'treatment_response' THEN 6 END AS phase FROM ph),
     l AS (SELECT *, lag(phase) OVER w AS pp, lag(age_in_days) OVER w AS pa FROM p WINDOW w AS (PARTITION BY patient_id ORDER BY seq))
-    SELECT patient_id, coalesce(bool_and(phase IS NOT NULL AND (pp IS NULL OR phase > pp) AND (pa IS NULL OR age_in_days >= pa)) AND bool_or(kind = 'treatment_start') = bool_or(kind = 'treatment_response'), false) AS valid FROM l GROUP BY 1""", "visits", ctes=PHASE_SQL))
+    SELECT patient_id, coalesce(bool_and(phase IS NOT NULL AND (pp IS NULL OR phase > pp) AND (pa IS NULL OR age_in_days >= pa)) AND bool_or(kind = 'treatment_start') = bool_or(kind = 'treatment_response'), false) AS valid FROM l GROUP BY 1""", "visit_codes", ctes=PHASE_SQL))
 def h04(t: Tables) -> DataFrame:
     return op.event_order(phased(t), PID, "kind", AGE, "seq").select(PID, "valid")
 
@@ -140,7 +136,7 @@ def h08(t: Tables) -> DataFrame:
 
 @query("h09_growth_fidelity", with_roles(f"""
     , z AS (SELECT age_in_days, (height_in - 45) / 10 AS height, (weight_oz - 1300) / 800 AS weight FROM visits),
-    m AS (SELECT win, 'height' AS metric, height AS v, 1e0 AS tol FROM z JOIN win ON age_in_days >= lo AND age_in_days < hi UNION ALL SELECT win, 'weight', weight, 3e-1 FROM z JOIN win ON age_in_days >= lo AND age_in_days < hi)
+    m AS (SELECT win, 'height' AS metric, height AS v, 1e0 AS tol FROM z JOIN win ON age_in_days >= lo AND age_in_days < hi UNION ALL SELECT win, 'weight', weight, 0.3e0 FROM z JOIN win ON age_in_days >= lo AND age_in_days < hi)
     SELECT win AS "window", metric, count(v) AS support, count(*) AS denominator, CASE WHEN count(v) >= 30 THEN round(avg(v), 6) END AS observed, max(tol) AS tolerance, CASE WHEN count(v) < 30 THEN 'UNEVALUABLE' WHEN abs(avg(v)) <= max(tol) THEN 'PASS' ELSE 'FAIL' END AS status FROM m GROUP BY 1, 2""", "visits", ctes=_WINDOW_CTE))
 def h09(t: Tables) -> DataFrame:
     z = t.visits.select(AGE, ((F.col("height_in") - 45) / 10).alias("height"), ((F.col("weight_oz") - 1300) / 800).alias("weight"))
@@ -167,7 +163,7 @@ def h11(t: Tables) -> DataFrame:
                           ["Economy Brand#1", "Standard Brand#2", "Nothing"], 20, 100)
 
 
-ALT_CTE = """alt AS (SELECT visit_id, CASE WHEN k % 31 = 0 THEN weight_oz + 5e-1 ELSE weight_oz END AS weight_oz, CASE WHEN k % 37 = 0 THEN NULL ELSE height_in END AS height_in, CASE WHEN k % 41 = 0 THEN '1-URGENT' ELSE encounter_type END AS encounter_type
+ALT_CTE = """alt AS (SELECT visit_id, CASE WHEN k % 31 = 0 THEN weight_oz + 0.5e0 ELSE weight_oz END AS weight_oz, CASE WHEN k % 37 = 0 THEN NULL ELSE height_in END AS height_in, CASE WHEN k % 41 = 0 THEN '1-URGENT' ELSE encounter_type END AS encounter_type
     FROM visits WHERE k % 101 <> 0 UNION ALL SELECT 'new-' || visit_id, weight_oz, height_in, encounter_type FROM visits WHERE k % 103 = 0)"""
 
 
@@ -214,7 +210,7 @@ def h13(t: Tables) -> DataFrame:
 LAYER_CTE = f"""{BASE_CTE}, layer AS (SELECT visit_id, age_in_days, weight_oz, height_in, age_in_months, CASE WHEN k % 53 = 0 THEN age_in_years + 1 ELSE age_in_years END AS age_in_years, wz AS weight_z_score, hz AS height_z_score,
       CASE WHEN k % 59 = 0 OR wz BETWEEN -5 AND 5 THEN weight_kg END AS weight_kg, CASE WHEN hz BETWEEN -5 AND 3 THEN height_cm + CASE WHEN k % 61 = 0 THEN 1 ELSE 0 END END AS height_cm
       FROM (SELECT *, (weight_kg - 35) / 5 AS wz, (height_cm - 115) / 12 AS hz FROM base) x),
-    full_layer AS (SELECT *, CASE WHEN age_in_days / 304375e-4 >= 24 AND weight_kg > 0 AND height_cm > 0 THEN weight_kg / pow(height_cm / 100, 2) END AS bmi FROM layer)"""
+    full_layer AS (SELECT *, CASE WHEN age_in_days / 30.4375e0 >= 24 AND weight_kg > 0 AND height_cm > 0 THEN weight_kg / pow(height_cm / 100, 2) END AS bmi FROM layer)"""
 
 
 def layer(t: Tables) -> DataFrame:
@@ -240,8 +236,8 @@ _F = lambda f, want: parity_sql(f, True, f, want, "full_layer").replace("AS max_
 
 
 @query("h14_formula_parity", with_roles(" UNION ALL ".join([
-    _F("age_in_months", "round(age_in_days / 304375e-4, 2)"), _F("age_in_years", "round(age_in_days / 36525e-2, 3)"), _F("bmi", "(CASE WHEN age_in_days / 304375e-4 >= 24 AND weight_kg > 0 AND height_cm > 0 THEN weight_kg / pow(height_cm / 100, 2) END)"),
-    _unit_sql("weight_kg", "weight_z_score", "weight_oz", "round(weight_oz / 35274e-3, 3)", -5, 5), _unit_sql("height_cm", "height_z_score", "height_in", "round(height_in * 254e-2, 3)", -5, 3)]),
+    _F("age_in_months", "round(age_in_days / 30.4375e0, 2)"), _F("age_in_years", "round(age_in_days / 365.25e0, 3)"), _F("bmi", "(CASE WHEN age_in_days / 30.4375e0 >= 24 AND weight_kg > 0 AND height_cm > 0 THEN weight_kg / pow(height_cm / 100, 2) END)"),
+    _unit_sql("weight_kg", "weight_z_score", "weight_oz", "round(weight_oz / 35.274e0, 3)", -5, 5), _unit_sql("height_cm", "height_z_score", "height_in", "round(height_in * 2.54e0, 3)", -5, 3)]),
     "visits", "patients", ctes=LAYER_CTE))
 def h14(t: Tables) -> DataFrame:
     return rounded(op.formula_parity(t.visits, layer(t), VID, AGE, 0.1), "max_difference")
@@ -249,7 +245,7 @@ def h14(t: Tables) -> DataFrame:
 
 SUM_CTE = """fv AS (SELECT *, cast(coalesce(bmi_percentile >= 95, false) AS INT) AS obesity_flag, CASE WHEN k % 67 = 0 THEN 1 ELSE cast(coalesce(bmi_percentile < 5, false) AS INT) END AS underweight_flag FROM visits),
     ex AS (SELECT patient_id, count(age_in_days) AS visits_count, min(age_in_days) AS min_visit_age_days, round(avg(bmi), 4) AS mean_bmi, max(obesity_flag) AS ever_obesity_flag, max(underweight_flag) AS ever_underweight_flag FROM fv GROUP BY 1),
-    dv AS (SELECT patient_id, visits_count + CASE WHEN cast(patient_id AS BIGINT) % 71 = 0 THEN 1 ELSE 0 END AS visits_count, min_visit_age_days, mean_bmi + CASE WHEN cast(patient_id AS BIGINT) % 73 = 0 THEN 5e-1 ELSE 0 END AS mean_bmi,
+    dv AS (SELECT patient_id, visits_count + CASE WHEN cast(patient_id AS BIGINT) % 71 = 0 THEN 1 ELSE 0 END AS visits_count, min_visit_age_days, mean_bmi + CASE WHEN cast(patient_id AS BIGINT) % 73 = 0 THEN 0.5e0 ELSE 0 END AS mean_bmi,
       CASE WHEN cast(patient_id AS BIGINT) % 79 = 0 THEN 1 - ever_obesity_flag ELSE ever_obesity_flag END AS ever_obesity_flag, ever_underweight_flag FROM ex WHERE cast(patient_id AS BIGINT) % 83 <> 0)"""
 _ED = "dv a JOIN ex b USING (patient_id)"
 
@@ -319,7 +315,7 @@ def h17(t: Tables) -> DataFrame:
 
 
 BUNDLE_CTE = """lines AS (SELECT patient_id, lab_order_id, result_line_num, CASE result_line_num WHEN 1 THEN 'first' WHEN 2 THEN 'second' ELSE 'other' END AS component, CASE WHEN cast(lab_order_id AS BIGINT) % 5 = 0 THEN visit_id ELSE lab_order_id END AS visit_id,
-      order_age, CASE WHEN cast(lab_order_id AS BIGINT) % 3 = 0 THEN result_age ELSE order_age + 7 END AS result_age, order_age + cast(lab_order_id AS BIGINT) % 4 - 1 AS start_age FROM labs WHERE result_line_num <= 2 OR cast(lab_order_id AS BIGINT) % 6 = 0)"""
+      order_age, CASE WHEN cast(lab_order_id AS BIGINT) % 3 = 0 THEN result_age ELSE order_age + 7 END AS result_age, order_age + cast(lab_order_id AS BIGINT) % 4 - 1 AS start_age FROM labs)"""
 
 
 @query("h18_order_bundle_rules", with_roles("""SELECT lab_order_id, patient_id, count(DISTINCT (result_line_num, component)) FILTER (result_line_num <= 2) = 2 AND bool_and(result_line_num <= 2) AS pairs_ok,
@@ -327,7 +323,7 @@ BUNDLE_CTE = """lines AS (SELECT patient_id, lab_order_id, result_line_num, CASE
     FROM lines GROUP BY 1, 2""", "labs", ctes=BUNDLE_CTE))
 def h18(t: Tables) -> DataFrame:
     o, line = F.col("lab_order_id").cast("long"), F.col("result_line_num")
-    rows = t.labs.where((line <= 2) | (o % 6 == 0)).select(
+    rows = t.labs.select(
         PID, "lab_order_id", "result_line_num", F.when(line == 1, "first").when(line == 2, "second").otherwise("other").alias("component"),
         F.when(o % 5 == 0, F.col("visit_id")).otherwise(F.col("lab_order_id")).alias("visit_id"), "order_age",
         F.when(o % 3 == 0, F.col("result_age")).otherwise(F.col("order_age") + 7).alias("result_age"), (F.col("order_age") + o % 4 - 1).alias("start_age"))

@@ -14,8 +14,8 @@ from .registry import query
 from .roles import Tables, with_roles
 from .sources import GRIDS, grid, grid_cte
 
-BASE_CTE = """base AS (SELECT v.*, p.sex, round(age_in_days / 304375e-4, 2) AS age_in_months, round(age_in_days / 36525e-2, 3) AS age_in_years,
-    round(weight_oz / 35274e-3, 3) AS weight_kg, round(height_in * 254e-2, 3) AS height_cm
+BASE_CTE = """base AS (SELECT v.*, p.sex, round(age_in_days / 30.4375e0, 2) AS age_in_months, round(age_in_days / 365.25e0, 3) AS age_in_years,
+    round(weight_oz / 35.274e0, 3) AS weight_kg, round(height_in * 2.54e0, 3) AS height_cm
     FROM visits v LEFT JOIN patients p ON v.patient_id = p.patient_id)"""
 
 
@@ -58,7 +58,7 @@ def _poly_sql(c: list[float], x: str) -> str:
 
 
 def phi_sql(z: str) -> str:
-    tail = f"(CASE WHEN abs({z}) < 707e-2 THEN exp(-{z} * {z} / 2) * ({_poly_sql(TAIL_P, f'abs({z})')}) / ({_poly_sql(TAIL_Q, f'abs({z})')}) ELSE 0e0 END)"
+    tail = f"(CASE WHEN abs({z}) < 7.07e0 THEN exp(-{z} * {z} / 2) * ({_poly_sql(TAIL_P, f'abs({z})')}) / ({_poly_sql(TAIL_Q, f'abs({z})')}) ELSE 0e0 END)"
     return f"CASE WHEN {z} IS NULL THEN NULL WHEN {z} > 0 THEN 1 - {tail} ELSE {tail} END"
 
 
@@ -122,7 +122,7 @@ def d08(t: Tables) -> DataFrame:
     return op.add_bmi(base(t), "weight_kg", "height_cm", "age_in_months").select("visit_id", F.round("bmi", 6).alias("bmi"))
 
 
-@query("d09_conditional_zscore", with_roles(f"""SELECT visit_id, CASE WHEN height_cm BETWEEN 45 AND 1035e-1 THEN {z_sql('weight_kg')} END AS z_length FROM l""",
+@query("d09_conditional_zscore", with_roles(f"""SELECT visit_id, CASE WHEN height_cm BETWEEN 45 AND 103.5e0 THEN {z_sql('weight_kg')} END AS z_length FROM l""",
                                             "visits", "patients", ctes=_ctes(
         BASE_CTE, seg_cte("weight_length", "g"), lms_cte("base", "height_cm", "g", "l"))))
 def d09(t: Tables) -> DataFrame:
@@ -280,7 +280,7 @@ def d18(t: Tables) -> DataFrame:
 
 
 @query("d19_lms_value", with_roles("""SELECT visit_id, round(CASE WHEN abs(xl) < 1e-6 THEN xm * exp(xs * zz) WHEN 1 + xl * xs * zz > 0 THEN xm * pow(1 + xl * xs * zz, 1 / xl) END, 6) AS value
-    FROM (SELECT *, greatest(-1880793e-6, least(1880793e-6, z)) AS zz FROM l) q""", "visits", "patients", ctes=_ctes(
+    FROM (SELECT *, greatest(-1.880793e0, least(1.880793e0, z)) AS zz FROM l) q""", "visits", "patients", ctes=_ctes(
     BASE_CTE, "zed AS (SELECT *, cast(k % 600 - 300 AS DOUBLE) / 100 AS z FROM base)", seg_cte("weight_age", "w"),
     lms_cte("zed", "age_in_months", "w", "l", clamp=False))))
 def d19(t: Tables) -> DataFrame:

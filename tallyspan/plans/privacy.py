@@ -23,7 +23,7 @@ PROF_CTE = f"""per AS (SELECT patient_id, count(*) AS visit_count, count(*) FILT
 SETS_CTE = """ref AS (SELECT * FROM prof WHERE cast(patient_id AS BIGINT) % 3 = 0), held AS (SELECT * FROM prof WHERE cast(patient_id AS BIGINT) % 3 = 1),
     gen AS (SELECT * FROM prof WHERE cast(patient_id AS BIGINT) % 3 = 2 UNION ALL SELECT * REPLACE ('g' || patient_id AS patient_id) FROM prof WHERE cast(patient_id AS BIGINT) % 21 = 0)"""
 CTES = f"{PROF_CTE}, {SETS_CTE}"
-Z = "1959963984540054e-15"
+Z = "1.959963984540054e0"
 
 
 def wilson_sql(k: str, n: str, lower: str, upper: str) -> str:
@@ -85,7 +85,7 @@ def nearest_sql(source: str, prefix: str) -> str:
 
 
 @query("g04_nearest_component", sql(f"""SELECT cell, evaluated, zero_rate, unique_rate, tied_rate, heldout_evaluated, heldout_zero_rate, heldout_unique_rate, {wilson_sql('exact', 'evaluated', 'ci_lower', 'ci_upper')},
-    CASE WHEN evaluated < 50 OR coalesce(heldout_evaluated, 0) < 50 THEN 'UNEVALUABLE' WHEN zero_rate > 5e-2 OR unique_rate > 9e-1 THEN 'FAIL' ELSE 'PASS' END AS status
+    CASE WHEN evaluated < 50 OR coalesce(heldout_evaluated, 0) < 50 THEN 'UNEVALUABLE' WHEN zero_rate > 0.05e0 OR unique_rate > 0.9e0 THEN 'FAIL' ELSE 'PASS' END AS status
     FROM {nearest_sql('gen', '')} g LEFT JOIN {nearest_sql('held', 'heldout_')} h USING (cell)"""))
 def g04(t: Tables) -> DataFrame:
     ref, gen, held = sets(t)
@@ -153,7 +153,7 @@ _ATT = " + ".join(f"(q.{c} = r.{c})::INT" for c in op.COMPONENTS if c != "diagno
     a AS (SELECT count(*) AS evaluated, count(*) FILTER (guess = target) AS attack_hits, count(*) FILTER (target = r) AS rb, count(*) FILTER (target = h) AS hb FROM v, mj)
     SELECT evaluated, attack_hits, round(attack_hits / cast(evaluated AS DOUBLE), 6) AS attack_accuracy, {wilson_sql('attack_hits', 'evaluated', 'ci_lower', 'ci_upper')}, round(rb / cast(evaluated AS DOUBLE), 6) AS reference_baseline,
       round(hb / cast(evaluated AS DOUBLE), 6) AS heldout_baseline, round(greatest(0e0, round(attack_hits / cast(evaluated AS DOUBLE), 6) - round(greatest(rb, hb) / cast(evaluated AS DOUBLE), 6)), 6) AS advantage,
-      CASE WHEN greatest(0e0, round(attack_hits / cast(evaluated AS DOUBLE), 6) - round(greatest(rb, hb) / cast(evaluated AS DOUBLE), 6)) > 5e-2 THEN 'FAIL' ELSE 'PASS' END AS status FROM a"""))
+      CASE WHEN greatest(0e0, round(attack_hits / cast(evaluated AS DOUBLE), 6) - round(greatest(rb, hb) / cast(evaluated AS DOUBLE), 6)) > 0.05e0 THEN 'FAIL' ELSE 'PASS' END AS status FROM a"""))
 def g07(t: Tables) -> DataFrame:
     ref, gen, held = sets(t)
     return op.attribute_disclosure(ref, gen, held, PID, 0.05)

@@ -204,8 +204,8 @@ def c18(t: Tables) -> DataFrame:
 
 @query("c19_histogram", with_roles("""
     , v AS (SELECT height_in AS x FROM visits WHERE height_in IS NOT NULL),
-    h AS (SELECT CASE WHEN x < 15 OR x > 80 THEN -1 WHEN x < 80 THEN least(floor((x - 15) / 1625e-3), 39) END AS bin, count(*) AS n FROM v GROUP BY 1)
-    SELECT cast(i AS INT) AS bin, CASE WHEN i >= 0 THEN 15 + i * 1625e-3 END AS edge, coalesce(n, 0) AS n, cast(NULL AS VARCHAR) AS statistic, cast(NULL AS DOUBLE) AS value
+    h AS (SELECT CASE WHEN x < 15 OR x > 80 THEN -1 WHEN x < 80 THEN least(floor((x - 15) / 1.625e0), 39) END AS bin, count(*) AS n FROM v GROUP BY 1)
+    SELECT cast(i AS INT) AS bin, CASE WHEN i >= 0 THEN 15 + i * 1.625e0 END AS edge, coalesce(n, 0) AS n, cast(NULL AS VARCHAR) AS statistic, cast(NULL AS DOUBLE) AS value
       FROM range(-1, 40) r(i) LEFT JOIN h ON bin = i
     UNION ALL SELECT NULL, NULL, (SELECT count(*) FROM v), statistic, round(value, 6) FROM (UNPIVOT (SELECT min(x) AS min_value, quantile_cont(x, 0.01) AS p1,
       quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.99) AS p99, max(x) AS max_value FROM v) ON COLUMNS(*) INTO NAME statistic VALUE value) u""", "visits"))

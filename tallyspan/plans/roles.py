@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 BASE = "region nation customer supplier part orders lineitem events documents labels".split()
-SLOTS = 7
+# Room for every line of an order; the reference layout has as many.
+SLOTS = 33
 
 
 class Dialect:
@@ -102,10 +103,18 @@ def visit_codes(d: Dialect) -> str:
 
 
 def visit_slots(d: Dialect) -> str:
-    """Wide diagnosis slots, as the visit table holds them at rest."""
-    slots = ", ".join(
-        f"max(CASE WHEN slot = {i} THEN code END) AS enc_diag_{i}" for i in range(1, SLOTS + 1))
-    return f"SELECT patient_id, visit_id, age_in_days, {slots} FROM ({visit_codes(d)}) vc GROUP BY patient_id, visit_id, age_in_days"
+    """Wide diagnosis slots, as the visit table holds them at rest; repeated lines take further slots."""
+    slots = ", ".join(f"max(CASE WHEN place = {i} THEN code END) AS enc_diag_{i}" for i in range(1, SLOTS + 1))
+    return f"""SELECT patient_id, visit_id, age_in_days, {slots} FROM (
+      SELECT *, row_number() OVER (PARTITION BY patient_id, visit_id, age_in_days ORDER BY slot, code) AS place FROM ({visit_codes(d)}) vc) placed
+      GROUP BY patient_id, visit_id, age_in_days"""
+
+
+def named_codes(d: Dialect) -> str:
+    """Every line's code with the description that stands on the same line."""
+    return f"""
+    SELECT {_code(d, 'l_partkey')} AS code, p_name AS description, CASE WHEN p_size < 10 THEN 1 ELSE 0 END AS chronic
+    FROM {d.table('lineitem')} JOIN {d.table('part')} ON l_partkey = p_partkey"""
 
 
 def problem_list(d: Dialect) -> str:
@@ -116,8 +125,7 @@ def problem_list(d: Dialect) -> str:
       CASE WHEN l_quantity > 45 THEN NULL ELSE cast(3 * {days} AS BIGINT) END AS noted_age,
       CASE WHEN l_returnflag = 'R' THEN cast(3 * {days} + l_quantity - 10 AS BIGINT) END AS resolved_age,
       {_code(d, '(l_partkey + 3)')} AS pl_diag
-    FROM {d.table('lineitem')} JOIN {d.table('orders')} ON l_orderkey = o_orderkey
-    WHERE l_linenumber = 1"""
+    FROM {d.table('lineitem')} JOIN {d.table('orders')} ON l_orderkey = o_orderkey"""
 
 
 def labs(d: Dialect) -> str:
@@ -151,21 +159,19 @@ def medications(d: Dialect) -> str:
       CASE WHEN l_linestatus = 'O' THEN 'External' ELSE 'Internal' END AS record_type,
       CASE WHEN l_partkey % 5 = 0 THEN upper(p_name) WHEN l_partkey % 5 = 1 THEN replace(p_name, 'ring', 'RINg') ELSE p_name END AS generic_name
     FROM {d.table('lineitem')} JOIN {d.table('orders')} ON l_orderkey = o_orderkey
-      JOIN {d.table('part')} ON l_partkey = p_partkey
-    WHERE l_linenumber % 3 = 0"""
+      JOIN {d.table('part')} ON l_partkey = p_partkey"""
 
 
 def referrals(d: Dialect) -> str:
     return f"""
     SELECT cast(o_custkey AS VARCHAR(20)) AS patient_id,
       CASE l_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'x' || cast(l_orderkey AS VARCHAR(20)) ELSE cast(l_orderkey AS VARCHAR(20)) END AS visit_id,
-      cast(l_orderkey AS VARCHAR(20)) || '-' || cast(l_partkey AS VARCHAR(20)) AS referral_id,
+      cast(l_orderkey AS VARCHAR(20)) || '-' || cast(l_linenumber AS VARCHAR(4)) || '-' || cast(l_partkey AS VARCHAR(20)) AS referral_id,
       cast(3 * {d.days('o_orderdate')} AS BIGINT) AS referral_age,
       CASE WHEN l_quantity > 48 THEN NULL ELSE upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) || ' ' || p_brand END AS specialty,
       cast(l_quantity AS BIGINT) % 4 AS n_visits
     FROM {d.table('lineitem')} JOIN {d.table('orders')} ON l_orderkey = o_orderkey
-      JOIN {d.table('part')} ON l_partkey = p_partkey
-    WHERE l_linenumber = 5"""
+      JOIN {d.table('part')} ON l_partkey = p_partkey"""
 
 
 def stream(d: Dialect) -> str:
@@ -184,7 +190,7 @@ def scored(d: Dialect) -> str:
 
 
 ROLES = {
-    "patients": patients, "visits": visits, "visit_codes": visit_codes, "visit_slots": visit_slots,
+    "patients": patients, "visits": visits, "visit_codes": visit_codes, "visit_slots": visit_slots, "named_codes": named_codes,
     "problem_list": problem_list, "labs": labs, "medications": medications, "referrals": referrals,
     "stream": stream, "scored": scored,
 }

@@ -15,9 +15,8 @@ PID = "patient_id"
 # Prefixes that the bound code vocabulary can hold at three depths.
 PREFIXES = op.GROWTH_PREFIXES
 CHRONIC = "SELECT DISTINCT code FROM (SELECT code, slot FROM visit_codes) c WHERE substr(code, 2, 2) IN ('10', '20', '30')"
-CODES_CTE = """codes AS (SELECT patient_id, round(age_in_days / 36525e-2, 3) AS age_in_years, code FROM
-      (SELECT DISTINCT patient_id, age_in_days, visit_id, slot, max(code) OVER (PARTITION BY visit_id, slot) AS code FROM visit_codes) s
-    UNION ALL SELECT patient_id, round(noted_age / 36525e-2, 3), pl_diag FROM problem_list WHERE pl_diag IS NOT NULL)"""
+CODES_CTE = """codes AS (SELECT patient_id, round(age_in_days / 365.25e0, 3) AS age_in_years, code FROM visit_codes
+    UNION ALL SELECT patient_id, round(noted_age / 365.25e0, 3), pl_diag FROM problem_list WHERE pl_diag IS NOT NULL)"""
 FLAGS_CTE = """flagged AS (SELECT *, cast(coalesce(bmi_percentile >= 95, false) AS INT) AS obesity_flag,
       cast(coalesce(bmi_percentile < 5, false) AS INT) AS underweight_flag FROM visits)"""
 
@@ -100,7 +99,7 @@ def d27(t: Tables) -> DataFrame:
 _PRE = f"""pre AS (SELECT p.patient_id, d.dx AS dx_age_years, CASE WHEN d.dx IS NOT NULL THEN count(v.patient_id) FILTER (v.age_years < d.dx)
       WHEN count(v.patient_id) > 0 THEN count(v.patient_id) END AS visits_count_pre_dx
     FROM patients p LEFT JOIN (SELECT patient_id, {_LEAST} AS dx FROM firsts) d ON p.patient_id = d.patient_id
-    LEFT JOIN (SELECT patient_id, round(age_in_days / 36525e-2, 3) AS age_years FROM visits) v ON p.patient_id = v.patient_id GROUP BY p.patient_id, d.dx)"""
+    LEFT JOIN (SELECT patient_id, round(age_in_days / 365.25e0, 3) AS age_years FROM visits) v ON p.patient_id = v.patient_id GROUP BY p.patient_id, d.dx)"""
 
 
 @query("d28_events_before_index", with_roles("SELECT patient_id, visits_count_pre_dx FROM pre", "patients", "visits", "visit_codes", "problem_list",

@@ -12,7 +12,7 @@ from .registry import query
 from .roles import Tables, with_roles
 from .rollup import CODES_CTE, FIRST_CTE, PREFIXES, _LEAST, codes
 
-LABEL_CTE = """lab AS (SELECT patient_id, label, label2, CASE WHEN label = 1 THEN round((cast(patient_id AS BIGINT) * 37 % 6000) / 36525e-2, 3) END AS idx, balance FROM patients)"""
+LABEL_CTE = """lab AS (SELECT patient_id, label, label2, CASE WHEN label = 1 THEN round((cast(patient_id AS BIGINT) * 37 % 6000) / 365.25e0, 3) END AS idx, balance FROM patients)"""
 
 
 def labels(t: Tables) -> DataFrame:
@@ -21,13 +21,12 @@ def labels(t: Tables) -> DataFrame:
 
 
 @query("e36_slots_filled", with_roles("""SELECT cast(n AS INT) AS filled, count(*) AS rows, n * count(*) AS slots
-    FROM (SELECT count(DISTINCT slot) AS n FROM visit_codes GROUP BY visit_id) s GROUP BY n""", "visit_codes"))
+    FROM (SELECT count(*) AS n FROM visit_codes GROUP BY patient_id, visit_id) s GROUP BY n""", "visit_codes"))
 def e36(t: Tables) -> DataFrame:
     return op.slots_filled(t.visit_slots, SLOT_COLS)
 
 
-LOOKUP_CTE = """book AS (SELECT replace(code, '.', '') AS key, min(p_name) AS description FROM visit_codes
-    JOIN lineitem ON visit_id = cast(l_orderkey AS VARCHAR) AND slot = l_linenumber JOIN part ON p_partkey = l_partkey WHERE p_size > 25 GROUP BY 1)"""
+LOOKUP_CTE = """book AS (SELECT replace(code, '.', '') AS key, min(description) AS description FROM named_codes WHERE chronic = 1 GROUP BY 1)"""
 
 
 def _top_codes_sql(source: str, code: str, kind: str) -> str:
@@ -37,13 +36,12 @@ def _top_codes_sql(source: str, code: str, kind: str) -> str:
 
 @query("e37_top_codes", with_roles(" UNION ALL ".join([_top_codes_sql("visit_codes", "code", "slots"), _top_codes_sql("problem_list", "pl_diag", "problems"),
                                                        _top_codes_sql("pairs", "substr(code, 1, 3)", "categories")]),
-                                   "visit_codes", "problem_list", ctes=f"{PAIRS_CTE}, {LOOKUP_CTE}"))
+                                   "visit_codes", "problem_list", "named_codes", ctes=f"{PAIRS_CTE}, {LOOKUP_CTE}"))
 def e37(t: Tables) -> DataFrame:
     from ..sources.references import code_lookup
 
-    lines = t.lineitem.select(F.col("l_orderkey").cast("string").alias("visit_id"), F.col("l_linenumber").alias("slot"), "l_partkey")
-    named = t.visit_codes.join(lines, ["visit_id", "slot"]).join(t.part.where("p_size > 25"), F.col("p_partkey") == F.col("l_partkey"))
-    book = code_lookup(named, "code", "p_name")
+    # The book lists chronic codes only, so some codes have no description.
+    book = code_lookup(t.named_codes.where("chronic = 1"), "code", "description")
     top = lambda df, c, kind: op.top_codes(df, PID, c, book).withColumn("kind", F.lit(kind))
     return top(t.visit_codes, F.col("code"), "slots").unionByName(top(t.problem_list, F.col("pl_diag"), "problems")).unionByName(
         top(pairs(t), F.substring("code", 1, 3), "categories"))
@@ -75,7 +73,7 @@ def e40(t: Tables) -> DataFrame:
     return op.record_types(t.medications, PID, "record_type", ["start_age", "end_age"]).crossJoin(op.name_shapes(t.medications, "generic_name"))
 
 
-@query("e41_listing_with_age", with_roles(f"""(SELECT 'specialty' AS part, specialty AS item, count(*) AS n, count(DISTINCT patient_id) AS entities, round(quantile_cont(cast(referral_age AS DOUBLE), 0.5) / 36525e-2, 6) AS median_age,
+@query("e41_listing_with_age", with_roles(f"""(SELECT 'specialty' AS part, specialty AS item, count(*) AS n, count(DISTINCT patient_id) AS entities, round(quantile_cont(cast(referral_age AS DOUBLE), 0.5) / 365.25e0, 6) AS median_age,
       cast(NULL AS DOUBLE) AS specialty_missing FROM referrals WHERE trim(specialty) <> '' GROUP BY 2 ORDER BY n DESC, item LIMIT 25)
     UNION ALL SELECT 'band', band, count(*), NULL, NULL, 100e0 * count(*) FILTER (coalesce(trim(specialty), '') = '') / count(*)
       FROM (SELECT *, {band_sql('referral_age', YEAR_BANDS)} FROM referrals) b WHERE band IS NOT NULL GROUP BY band""", "referrals"))
@@ -141,7 +139,7 @@ def _family_sql(column: str, patterns: list[str]) -> str:
 
 
 @query("e46_pattern_families", with_roles(" UNION ALL ".join(
-    f"""SELECT '{n}' AS family, count(*) AS n, count(DISTINCT patient_id) AS entities, round(quantile_cont(cast(referral_age AS DOUBLE), 0.5) / 36525e-2, 6) AS median_age FROM referrals WHERE {_family_sql('specialty', p)} HAVING count(*) > 0"""
+    f"""SELECT '{n}' AS family, count(*) AS n, count(DISTINCT patient_id) AS entities, round(quantile_cont(cast(referral_age AS DOUBLE), 0.5) / 365.25e0, 6) AS median_age FROM referrals WHERE {_family_sql('specialty', p)} HAVING count(*) > 0"""
     for n, p in FAMILIES.items()) + f" UNION ALL SELECT 'all other', count(*), NULL, NULL FROM referrals WHERE NOT coalesce({_family_sql('specialty', [p for ps in FAMILIES.values() for p in ps])}, false)", "referrals"))
 def e46(t: Tables) -> DataFrame:
     return rounded(op.pattern_families(t.referrals, PID, "specialty", "referral_age", FAMILIES), "median_age")
@@ -172,9 +170,9 @@ def e47(t: Tables) -> DataFrame:
     return table.unionByName(band).unionByName(whole)
 
 
-PRIOR_CTE = """ev AS (SELECT patient_id, round(age_in_days / 36525e-2, 3) AS age_in_years FROM visits WHERE height_in IS NOT NULL),
+PRIOR_CTE = """ev AS (SELECT patient_id, round(age_in_days / 365.25e0, 3) AS age_in_years FROM visits WHERE height_in IS NOT NULL),
     prior AS (SELECT l.patient_id, l.idx, count(e.patient_id) AS n_before FROM lab l LEFT JOIN ev e ON e.patient_id = l.patient_id AND e.age_in_years < l.idx WHERE l.idx IS NOT NULL GROUP BY 1, 2)"""
-BEFORE = [("none", 0, 0), ("one", 1, 1), ("2-4", 2, 4), ("5+", 5, 100000)]
+BEFORE = [("none", 0, 0), ("one", 1, 1), ("2-4", 2, 4), ("5+", 5, None)]
 
 
 def measured(t: Tables) -> DataFrame:
@@ -239,15 +237,15 @@ def _marker_sql(table: str, column: str, age: str, markers: dict) -> str:
 @query("e53_marker_lift", with_roles(f"""
     , m AS ({_marker_sql('medications', 'generic_name', 'order_age', MARKERS)}), b AS (SELECT 100e0 * avg(label) AS base FROM lab)
     SELECT marker, CASE WHEN count(*) NOT BETWEEN 1 AND 9 THEN count(*) END AS entities, cast(sum(label) AS BIGINT) AS labelled, 100e0 * sum(label) / count(*) AS share, round(100e0 * sum(label) / count(*) / (SELECT base FROM b), 6) AS lift,
-      round(quantile_cont(cast(first_age AS DOUBLE), 0.5) / 36525e-2, 6) AS median_age FROM m JOIN lab USING (patient_id) GROUP BY 1""", "patients", "medications", ctes=LABEL_CTE))
+      round(quantile_cont(cast(first_age AS DOUBLE), 0.5) / 365.25e0, 6) AS median_age FROM m JOIN lab USING (patient_id) GROUP BY 1""", "patients", "medications", ctes=LABEL_CTE))
 def e53(t: Tables) -> DataFrame:
     first = op.first_marker(t.medications, PID, "order_age", [F.lower("generic_name")], MARKERS)
     return rounded(op.marker_lift(first, labels(t), PID, "label"), "lift", "median_age")
 
 
 @query("e54_alternative_index", with_roles("""
-    , w AS (SELECT patient_id, min(age) AS idx FROM (SELECT patient_id, round(order_age / 36525e-2, 3) AS age FROM medications WHERE lower(generic_name) LIKE '%ring%'
-        UNION ALL SELECT patient_id, round(order_age / 36525e-2, 3) FROM labs WHERE component LIKE 'small%') x GROUP BY 1),
+    , w AS (SELECT patient_id, min(age) AS idx FROM (SELECT patient_id, round(order_age / 365.25e0, 3) AS age FROM medications WHERE lower(generic_name) LIKE '%ring%'
+        UNION ALL SELECT patient_id, round(order_age / 365.25e0, 3) FROM labs WHERE component LIKE 'small%') x GROUP BY 1),
     wp AS (SELECT w.patient_id, count(e.patient_id) AS n_before FROM w LEFT JOIN ev e ON e.patient_id = w.patient_id AND e.age_in_years < w.idx GROUP BY 1)
     SELECT i AS index_name, count(*) AS entities, count(*) FILTER (n_before = 0) AS none, count(*) FILTER (n_before >= 2) AS two_or_more, quantile_cont(cast(n_before AS DOUBLE), 0.5) AS median_before
     FROM (SELECT 'work-up' AS i, n_before FROM wp UNION ALL SELECT 'code', n_before FROM prior) a GROUP BY 1""", "patients", "visits", "medications", "labs", ctes=f"{LABEL_CTE}, {PRIOR_CTE}"))
@@ -258,8 +256,8 @@ def e54(t: Tables) -> DataFrame:
 
 
 _SRC_CTE = "t AS (SELECT unnest([" + ", ".join(f"'{p}'" for p in PREFIXES) + """]) AS prefix),
-    ea AS (SELECT patient_id, prefix, min(age_in_days) / 36525e-2 AS a FROM visit_codes JOIN t ON starts_with(code, prefix) GROUP BY 1, 2),
-    pa AS (SELECT patient_id, prefix, min(noted_age) / 36525e-2 AS b FROM problem_list JOIN t ON starts_with(pl_diag, prefix) WHERE noted_age IS NOT NULL GROUP BY 1, 2),
+    ea AS (SELECT patient_id, prefix, min(age_in_days) / 365.25e0 AS a FROM visit_codes JOIN t ON starts_with(code, prefix) GROUP BY 1, 2),
+    pa AS (SELECT patient_id, prefix, min(noted_age) / 365.25e0 AS b FROM problem_list JOIN t ON starts_with(pl_diag, prefix) WHERE noted_age IS NOT NULL GROUP BY 1, 2),
     ab AS (SELECT * FROM ea FULL JOIN pa USING (patient_id, prefix))"""
 
 
@@ -270,21 +268,21 @@ def two_sources(t: Tables) -> DataFrame:
 
 
 @query("e55_two_source_compare", with_roles("""SELECT count(*) AS either, count(a + b) AS both, count(*) FILTER (b IS NULL) AS left_only, count(*) FILTER (a IS NULL) AS right_only, count(*) FILTER (b < a - 1e-2) AS right_earlier,
-    count(*) FILTER (abs(a - b) <= 1e-2) AS same, count(*) FILTER (b > a + 1e-2) AS right_later, round(quantile_cont(CASE WHEN b < a - 1e-2 THEN (a - b) * 36525e-2 END, 0.5), 4) AS lead_p50,
-    round(quantile_cont(CASE WHEN b < a - 1e-2 THEN (a - b) * 36525e-2 END, 0.9), 4) AS lead_p90, round(quantile_cont(CASE WHEN b > a + 1e-2 THEN (b - a) * 36525e-2 END, 0.5), 4) AS lag_p50,
-    round(quantile_cont(CASE WHEN b > a + 1e-2 THEN (b - a) * 36525e-2 END, 0.9), 4) AS lag_p90 FROM ab""", "visit_codes", "problem_list", ctes=_SRC_CTE))
+    count(*) FILTER (abs(a - b) <= 1e-2) AS same, count(*) FILTER (b > a + 1e-2) AS right_later, round(quantile_cont(CASE WHEN b < a - 1e-2 THEN (a - b) * 365.25e0 END, 0.5), 4) AS lead_p50,
+    round(quantile_cont(CASE WHEN b < a - 1e-2 THEN (a - b) * 365.25e0 END, 0.9), 4) AS lead_p90, round(quantile_cont(CASE WHEN b > a + 1e-2 THEN (b - a) * 365.25e0 END, 0.5), 4) AS lag_p50,
+    round(quantile_cont(CASE WHEN b > a + 1e-2 THEN (b - a) * 365.25e0 END, 0.9), 4) AS lag_p90 FROM ab""", "visit_codes", "problem_list", ctes=_SRC_CTE))
 def e55(t: Tables) -> DataFrame:
     return rounded(op.two_source_compare(two_sources(t)), "lead_p50", "lead_p90", "lag_p50", "lag_p90", digits=4)
 
 
 @query("e56_two_source_by_code", with_roles("""SELECT prefix, count(*) AS either, count(a + b) AS both, count(*) FILTER (b IS NULL) AS left_only, count(*) FILTER (a IS NULL) AS right_only,
-    round(quantile_cont((b - a) * 36525e-2, 0.5), 4) AS median_diff FROM ab GROUP BY 1 HAVING count(*) >= 10""", "visit_codes", "problem_list", ctes=_SRC_CTE))
+    round(quantile_cont((b - a) * 365.25e0, 0.5), 4) AS median_diff FROM ab GROUP BY 1 HAVING count(*) >= 10""", "visit_codes", "problem_list", ctes=_SRC_CTE))
 def e56(t: Tables) -> DataFrame:
     return rounded(op.two_source_by_code(two_sources(t), "prefix"), "median_diff", digits=4)
 
 
 _TIMING = f"""m AS ({_marker_sql('referrals', 'specialty', 'referral_age', FAMILIES)}), b AS (SELECT 100e0 * avg(label) AS base FROM lab),
-    j AS (SELECT *, first_age / 36525e-2 AS ra, (first_age / 36525e-2 - idx) * 36525e-2 AS gap FROM m JOIN lab USING (patient_id))"""
+    j AS (SELECT *, first_age / 365.25e0 AS ra, (first_age / 365.25e0 - idx) * 365.25e0 AS gap FROM m JOIN lab USING (patient_id))"""
 
 
 @query("e57_action_timing", with_roles("""SELECT marker, CASE WHEN count(*) NOT BETWEEN 1 AND 9 THEN count(*) END AS entities, cast(sum(label) AS BIGINT) AS labelled, round(100e0 * sum(label) / count(*) / (SELECT base FROM b), 6) AS lift,
@@ -353,7 +351,7 @@ def e61(t: Tables) -> DataFrame:
 _NUM_CTE = f"""gaps AS (SELECT patient_id, quantile_cont(cast(gap AS DOUBLE), 0.5) AS med_gap FROM (SELECT patient_id, age_in_days - lag(age_in_days) OVER (PARTITION BY patient_id ORDER BY age_in_days) AS gap FROM visits) g WHERE gap IS NOT NULL GROUP BY 1),
     feat AS (SELECT p.patient_id, cast(p.patient_id AS BIGINT) AS file_order, round(v.vpy, 6) AS visits_per_year, v.measured_share, v.late_measures, coalesce(r.same_day, 0) AS same_day, g.med_gap, coalesce(l.o, 0) AS lab_orders, coalesce(l.q, 0) AS lab_procs,
       coalesce(m.n, 0) AS med_orders, coalesce(b.n, 0) AS problems_all, coalesce(b.u, 0) AS problems_untracked FROM patients p
-    LEFT JOIN (SELECT patient_id, count(*) / cast(greatest(max(age_in_days) - min(age_in_days), 1) AS DOUBLE) * 36525e-2 AS vpy, count(height_in) / cast(count(*) AS DOUBLE) AS measured_share, count(*) FILTER (weight_oz IS NOT NULL AND age_in_days > 1095) AS late_measures FROM visits GROUP BY 1) v USING (patient_id)
+    LEFT JOIN (SELECT patient_id, count(*) / cast(greatest(max(age_in_days) - min(age_in_days), 1) AS DOUBLE) * 365.25e0 AS vpy, count(height_in) / cast(count(*) AS DOUBLE) AS measured_share, count(*) FILTER (weight_oz IS NOT NULL AND age_in_days > 1095) AS late_measures FROM visits GROUP BY 1) v USING (patient_id)
     LEFT JOIN (SELECT patient_id, count(*) AS same_day FROM (SELECT patient_id FROM visits WHERE height_in IS NOT NULL GROUP BY patient_id, age_in_days HAVING count(*) >= 2) d GROUP BY 1) r USING (patient_id)
     LEFT JOIN gaps g USING (patient_id) LEFT JOIN (SELECT patient_id, count(DISTINCT lab_order_id) AS o, count(DISTINCT procedure_name) AS q FROM labs GROUP BY 1) l USING (patient_id)
     LEFT JOIN (SELECT patient_id, count(*) AS n FROM medications GROUP BY 1) m USING (patient_id)

@@ -167,7 +167,7 @@ def f11(t: Tables) -> DataFrame:
 TOLERANCES = {"utilization": 30.0, "physiology": 1.5}
 _COMPARE = """compared AS (SELECT stratum, name, family, statistic, CASE WHEN ok THEN CASE WHEN diff <= tol THEN 'PASS' ELSE 'FAIL' END ELSE 'UNEVALUABLE' END AS status, CASE WHEN ok THEN a END AS left_value,
     CASE WHEN ok THEN b END AS right_value, CASE WHEN ok THEN round(diff, 6) END AS difference, CASE WHEN ok THEN round(tol, 6) END AS tolerance FROM (SELECT *, abs(a - b) AS diff,
-      CASE WHEN statistic = 'proportion' THEN greatest(2e-2, 2e0 * greatest(sqrt(a * (1 - a) / ad), sqrt(b * (1 - b) / bd))) WHEN family = 'utilization' THEN 30e0 WHEN family = 'physiology' THEN 15e-1 END AS tol,
+      CASE WHEN statistic = 'proportion' THEN greatest(0.02e0, 2e0 * greatest(sqrt(a * (1 - a) / ad), sqrt(b * (1 - b) / bd))) WHEN family = 'utilization' THEN 30e0 WHEN family = 'physiology' THEN 1.5e0 END AS tol,
       coalesce(a IS NOT NULL AND b IS NOT NULL AND asup >= 30 AND bsup >= 30, false) AS ok
     FROM (SELECT stratum, name, family, statistic, value AS a, support AS asup, denominator AS ad FROM disclosed WHERE partition = 'held_out') l
       FULL JOIN (SELECT stratum, name, family, statistic, value AS b, support AS bsup, denominator AS bd FROM disclosed WHERE partition = 'calibration') r USING (stratum, name, family, statistic)) c)"""
