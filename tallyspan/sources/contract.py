@@ -32,6 +32,7 @@ class Contract:
     delimiter: str = ","
     quote: str = '"'
     encoding: str = "UTF-8"
+    quoted_newlines: bool = True
     families: tuple[str, ...] = field(default=())
 
     @property

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from .contract import Contract
 
 INTEGER = r"^[+-]?[0-9]+$"
+DECIMAL = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+_BAD = "__bad_record"
 # Bytes 0x80-0x9F decoded by the Windows code page; undefined ones are replaced.
 _C1 = "".join(chr(i) for i in range(0x80, 0xA0))
 _CP1252 = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace")
@@ -19,7 +21,8 @@ _CP1252 = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace")
 def _options(contract: Contract) -> dict[str, str]:
     encoding = "ISO-8859-1" if contract.encoding.lower() in ("iso-8859-1", "cp1252") else contract.encoding
     return {"header": "true", "sep": contract.delimiter, "quote": contract.quote, "escape": contract.quote,
-            "encoding": encoding}
+            "encoding": encoding, "multiLine": str(contract.quoted_newlines).lower(),
+            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def _decoded(name: str, contract: Contract) -> Column:
@@ -33,7 +36,7 @@ def _typed(text: Column, kind: str) -> tuple[Column, Column]:
     if kind == "integer":
         value = F.when(text.rlike(INTEGER), text.try_cast("bigint"))
     elif kind == "number":
-        number = text.try_cast("double")
+        number = F.when(text.rlike(DECIMAL), text.try_cast("double"))
         value = F.when(~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))), number)
     else:
         return text, F.lit(False)
@@ -43,14 +46,20 @@ def _typed(text: Column, kind: str) -> tuple[Column, Column]:
 def read_typed_csv(spark: SparkSession, path: str, contract: Contract, on_error: str = "raise") -> DataFrame:
     """Scan as text, then cast strictly.
 
-    ``raise`` stops on the first bad cell and names ``table.field`` only;
-    ``quarantine`` nulls bad cells and lists their fields in ``_errors``.
+    ``raise`` stops on the first bad cell or record and names ``table.field`` only;
+    ``quarantine`` nulls bad cells and lists their fields in ``_errors``, where a record
+    with too few or too many fields is ``table: record``.  With ``quoted_newlines`` a file is
+    one split, so large tables should come in many files; without it a record that goes on
+    over a line end is a bad record.
     """
     if on_error not in ("raise", "quarantine"):
         raise ValueError("on_error must be 'raise' or 'quarantine'")
-    texts = T.StructType([T.StructField(n, T.StringType()) for n in contract.names])
-    raw = spark.read.options(**_options(contract), enforceSchema="false").schema(texts).csv(path)
-    decoded = raw.select(*[_decoded(n, contract).alias(n) for n in contract.names])
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in [*contract.names, _BAD]])
+    raw = spark.read.options(**_options(contract), enforceSchema="false", columnPruning="false", columnNameOfCorruptRecord=_BAD).schema(texts).csv(path)
+    broken = F.col(_BAD).isNotNull()
+    if on_error == "raise":
+        raw = raw.where(F.when(broken, F.raise_error(F.lit(f"{contract.name}: record with the wrong number of fields")).cast("boolean")).otherwise(True))
+    decoded = raw.select(*[_decoded(n, contract).alias(n) for n in contract.names], broken.alias(_BAD))
     values, errors = [], []
     for f in contract.fields:
         value, bad = _typed(F.col(f"`{f.name}`"), f.type)
@@ -60,28 +69,34 @@ def read_typed_csv(spark: SparkSession, path: str, contract: Contract, on_error:
         values.append(value.alias(f.name))
         errors.append(F.when(bad, F.lit(message)))
     if on_error == "quarantine":
+        errors.append(F.when(F.col(_BAD), F.lit(f"{contract.name}: record")))
         values.append(F.array_compact(F.array(*errors)).alias("_errors"))
     return decoded.select(*values)
 
 
 def preflight(spark: SparkSession, contracts: list[Contract], root: str) -> DataFrame:
-    """Header order and row count of every file, reported together."""
+    """Header order of every file and row count of every table, reported together."""
     parts = []
     for c in contracts:
-        source = spark.read.options(**_options(c)).csv(f"{root}/{c.name}")
-        header_ok = source.columns == c.names
-        parts.append(source.agg(F.count("*").alias("observed_rows")).select(
-            F.lit(c.name).alias("table_name"), F.lit(header_ok).alias("header_ok"),
-            F.lit(c.rows).cast("long").alias("expected_rows"), "observed_rows",
-            F.when(F.lit(header_ok) & (F.lit(c.rows).isNull() | (F.col("observed_rows") == F.lit(c.rows))),
-                   "PASS").otherwise("FAIL").alias("status"),
-        ))
+        lines = spark.read.option("encoding", _options(c)["encoding"]).text(f"{root}/{c.name}").select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+        # The first line of a file comes first among the rows of its first split.
+        heads = lines.where("at = 0").groupBy("file").agg(F.first("value").alias("head"))
+        wanted = c.delimiter.join(c.names)
+        header = heads.agg(F.coalesce(F.bool_and(F.replace("head", F.lit(c.quote), F.lit("")) == F.lit(wanted)), F.lit(False)).alias("header_ok"))
+        texts = T.StructType([T.StructField(n, T.StringType()) for n in c.names])
+        rows = spark.read.options(**_options(c), columnPruning="false").schema(texts).csv(f"{root}/{c.name}").agg(F.count("*").alias("observed_rows"))
+        parts.append(rows.crossJoin(header).select(  # one row each
+            F.lit(c.name).alias("table_name"), "header_ok", F.lit(c.rows).cast("long").alias("expected_rows"), "observed_rows",
+            F.when(F.col("header_ok") & (F.lit(c.rows).isNull() | (F.col("observed_rows") == F.lit(c.rows))), "PASS").otherwise("FAIL").alias("status")))
     return reduce(DataFrame.unionByName, parts)
 
 
 def write_exact_csv(df: DataFrame, contract: Contract, path: str) -> None:
     """Base-table export in contract order, header first, quotes doubled."""
-    df.select(*[F.col(f"`{n}`").cast("string").alias(n) for n in contract.names]).write.options(
+    text = lambda n: F.col(f"`{n}`").cast("string")
+    coded = (lambda n: F.translate(text(n), _CP1252, _C1)) if contract.encoding.lower() == "cp1252" else text
+    df.select(*[coded(n).alias(n) for n in contract.names]).write.options(
         **_options(contract), emptyValue="").csv(path)
 
 
