@@ -12,7 +12,6 @@ from .roles import SLOTS, Tables, with_roles
 from .sources import VISITS, patients, visits
 
 SLOT_COLS = [f"enc_diag_{i}" for i in range(1, SLOTS + 1)]
-ICD10 = r"^[A-TV-Z][0-9][0-9AB](\.?[0-9A-TV-Z]{0,4})?$"
 YEAR_BANDS = [("0-2", 0, 730), ("2-5", 730, 1826), ("5-12", 1826, 4383), ("12-20", 4383, 7305)]
 
 

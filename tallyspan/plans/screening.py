@@ -348,12 +348,13 @@ def e61(t: Tables) -> DataFrame:
     return op.leak_test(rows, "pre", "total", "label")
 
 
-_NUM_CTE = f"""gaps AS (SELECT patient_id, quantile_cont(cast(gap AS DOUBLE), 0.5) AS med_gap FROM (SELECT patient_id, age_in_days - lag(age_in_days) OVER (PARTITION BY patient_id ORDER BY age_in_days) AS gap FROM visits) g WHERE gap IS NOT NULL GROUP BY 1),
+_NUM_CTE = f"""timeline AS (SELECT patient_id, list(age_in_days ORDER BY age_in_days) AS days FROM visits GROUP BY patient_id),
+    waits AS (SELECT patient_id, median(cast(days[i + 1] - days[i] AS DOUBLE)) AS med_gap FROM (SELECT patient_id, days, unnest(range(1, len(days))) AS i FROM timeline) t GROUP BY patient_id),
     feat AS (SELECT p.patient_id, cast(p.patient_id AS BIGINT) AS file_order, round(v.vpy, 6) AS visits_per_year, v.measured_share, v.late_measures, coalesce(r.same_day, 0) AS same_day, g.med_gap, coalesce(l.o, 0) AS lab_orders, coalesce(l.q, 0) AS lab_procs,
       coalesce(m.n, 0) AS med_orders, coalesce(b.n, 0) AS problems_all, coalesce(b.u, 0) AS problems_untracked FROM patients p
     LEFT JOIN (SELECT patient_id, count(*) / cast(greatest(max(age_in_days) - min(age_in_days), 1) AS DOUBLE) * 365.25e0 AS vpy, count(height_in) / cast(count(*) AS DOUBLE) AS measured_share, count(*) FILTER (weight_oz IS NOT NULL AND age_in_days > 1095) AS late_measures FROM visits GROUP BY 1) v USING (patient_id)
     LEFT JOIN (SELECT patient_id, count(*) AS same_day FROM (SELECT patient_id FROM visits WHERE height_in IS NOT NULL GROUP BY patient_id, age_in_days HAVING count(*) >= 2) d GROUP BY 1) r USING (patient_id)
-    LEFT JOIN gaps g USING (patient_id) LEFT JOIN (SELECT patient_id, count(DISTINCT lab_order_id) AS o, count(DISTINCT procedure_name) AS q FROM labs GROUP BY 1) l USING (patient_id)
+    LEFT JOIN waits g USING (patient_id) LEFT JOIN (SELECT patient_id, count(DISTINCT lab_order_id) AS o, count(DISTINCT procedure_name) AS q FROM labs GROUP BY 1) l USING (patient_id)
     LEFT JOIN (SELECT patient_id, count(*) AS n FROM medications GROUP BY 1) m USING (patient_id)
     LEFT JOIN (SELECT patient_id, count(*) AS n, count(*) FILTER (NOT ({' OR '.join(f"starts_with(pl_diag, '{p}')" for p in _LABEL_CODES)})) AS u FROM problem_list GROUP BY 1) b USING (patient_id))"""
 
@@ -372,10 +373,14 @@ _AUC_COLS = ["file_order", "visits_per_year", "med_gap", "measured_share", "lab_
 
 
 def auc_sql(source: str, cols: list[str], label: str, restrict: str) -> str:
-    tall = " UNION ALL ".join(f"SELECT {label} AS label, 'all' AS cohort, '{c}' AS col, cast({c} AS DOUBLE) AS value FROM {source} UNION ALL SELECT {label}, 'restricted', '{c}', cast({c} AS DOUBLE) FROM {source} WHERE {restrict}" for c in cols)
-    return f"""SELECT cohort, col AS "column", cast(sum(label) AS BIGINT) AS n_pos, cast(count(*) - sum(label) AS BIGINT) AS n_neg, round(auc, 8) AS auc, round(abs(2 * auc - 1), 8) AS separation FROM (SELECT *, (sum(CASE WHEN label = 1 THEN low + (ties - 1) / 2e0 END) OVER g
-      - (sum(label) OVER g) * ((sum(label) OVER g) + 1) / 2e0) / nullif(cast((sum(label) OVER g) * (count(*) OVER g - sum(label) OVER g) AS DOUBLE), 0) AS auc FROM (SELECT *, rank() OVER (PARTITION BY cohort, col ORDER BY value) AS low,
-      count(*) OVER (PARTITION BY cohort, col, value) AS ties FROM ({tall}) t WHERE value IS NOT NULL) r WINDOW g AS (PARTITION BY cohort, col)) a GROUP BY cohort, col, auc"""
+    """Pair counting over the distinct values: a positive wins over the negatives below it and halves those beside it."""
+    cells = " UNION ALL ".join(
+        f"""SELECT '{cohort}' AS cohort, '{c}' AS col, cast({c} AS DOUBLE) AS x, sum({label}) AS p, sum(1 - {label}) AS n FROM {source}
+        WHERE {c} IS NOT NULL AND {test} GROUP BY x""" for c in cols for cohort, test in (("all", "true"), ("restricted", restrict)))
+    return f"""SELECT cohort, col AS "column", cast(sum(p) AS BIGINT) AS n_pos, cast(sum(n) AS BIGINT) AS n_neg,
+      round(sum(p * (below + n / 2e0)) / nullif(cast(sum(p) * sum(n) AS DOUBLE), 0), 8) AS auc,
+      round(abs(2 * sum(p * (below + n / 2e0)) / nullif(cast(sum(p) * sum(n) AS DOUBLE), 0) - 1), 8) AS separation
+      FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY cohort, col ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM ({cells}) c) w GROUP BY cohort, col"""
 
 
 @query("e63_auc_screen", with_roles(auc_sql("(SELECT f.*, label FROM feat f JOIN lab USING (patient_id)) q", _AUC_COLS, "label", "lab_orders >= 8"), "patients", "visits", "labs", "medications", "problem_list", ctes=f"{LABEL_CTE}, {_NUM_CTE}"))

@@ -69,11 +69,17 @@ def f03(t: Tables) -> DataFrame:
 _LAB = "(SELECT * FROM lab JOIN parts USING (patient_id)) p"
 
 
-@query("f04_outcome_targets", with_roles(" UNION ALL ".join([prop("flag_label", "outcome", "label = 1", _LAB), prop("flag_label2", "outcome", "label2 = 1", _LAB)] + [
-    stat(f"idx_{s}", "outcome", k, e, "count(idx)", _LAB) for s, k, e in [("mean", "mean", "avg(idx)"), ("q50", "quantile", "quantile_cont(idx, 0.5)"), ("q90", "quantile", "quantile_cont(idx, 0.9)")]]),
-    "patients", ctes=f"{PART_CTE}, {LABEL_CTE}"))
+OUTCOME_SQL = " UNION ALL ".join([prop("flag_label", "outcome", "label = 1", _LAB), prop("flag_label2", "outcome", "label2 = 1", _LAB)] + [
+    stat(f"idx_{s}", "outcome", k, e, "count(idx)", _LAB) for s, k, e in [("mean", "mean", "avg(idx)"), ("q50", "quantile", "quantile_cont(idx, 0.5)"), ("q90", "quantile", "quantile_cont(idx, 0.9)")]])
+
+
+def outcomes(t: Tables) -> DataFrame:
+    return op.outcome_targets(part(labels(t)), ["label", "label2"], "idx")
+
+
+@query("f04_outcome_targets", with_roles(OUTCOME_SQL, "patients", ctes=f"{PART_CTE}, {LABEL_CTE}"))
 def f04(t: Tables) -> DataFrame:
-    return rounded_targets(op.outcome_targets(part(labels(t)), ["label", "label2"], "idx"))
+    return rounded_targets(outcomes(t))
 
 
 _VIS = "(SELECT * FROM visits JOIN parts USING (patient_id)) v"
@@ -93,30 +99,50 @@ def f05(t: Tables) -> DataFrame:
     return rounded_targets(use(t))
 
 
-@query("f06_link_targets", with_roles(" UNION ALL ".join(
+LINK_SQL = " UNION ALL ".join(
     prop(f"{n}_link", "observation", "hit IS NOT NULL", f"(SELECT q.partition, v.visit_id AS hit FROM {n} x JOIN parts q USING (patient_id) LEFT JOIN visits v ON v.patient_id = x.patient_id AND v.visit_id = x.visit_id) l")
-    for n in ("labs", "medications")), "patients", "visits", "labs", "medications", ctes=PART_CTE))
+    for n in ("labs", "medications"))
+
+
+def links(t: Tables) -> DataFrame:
+    return op.link_targets({n: part(getattr(t, n)) for n in ("labs", "medications")}, t.visits, PID, VID)
+
+
+@query("f06_link_targets", with_roles(LINK_SQL, "patients", "visits", "labs", "medications", ctes=PART_CTE))
 def f06(t: Tables) -> DataFrame:
-    return rounded_targets(op.link_targets({n: part(getattr(t, n)) for n in ("labs", "medications")}, t.visits, PID, VID))
+    return rounded_targets(links(t))
 
 
 _WINDOW_CTE = "win AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {lo}, {hi})" for n, lo, hi in WINDOWS) + ") w(win, lo, hi))"
 _WVIS = "(SELECT v.*, partition, win FROM visits v JOIN parts USING (patient_id) JOIN win ON age_in_days >= lo AND age_in_days < hi) x"
 
 
-@query("f07_availability_targets", with_roles(" UNION ALL ".join(prop(f"{c}_available", "observation", f"{c} IS NOT NULL", _WVIS, "win", "partition, win") for c in ("height_in", "weight_oz", "head_circ_cm")),
-                                              "patients", "visits", ctes=f"{PART_CTE}, {_WINDOW_CTE}"))
+AVAILABLE_SQL = " UNION ALL ".join(prop(f"{c}_available", "observation", f"{c} IS NOT NULL", _WVIS, "win", "partition, win") for c in ("height_in", "weight_oz", "head_circ_cm"))
+
+
+def availability(t: Tables) -> DataFrame:
+    return op.availability_targets(part(t.visits), AGE, WINDOWS, ["height_in", "weight_oz", "head_circ_cm"])
+
+
+@query("f07_availability_targets", with_roles(AVAILABLE_SQL, "patients", "visits", ctes=f"{PART_CTE}, {_WINDOW_CTE}"))
 def f07(t: Tables) -> DataFrame:
-    return rounded_targets(op.availability_targets(part(t.visits), AGE, WINDOWS, ["height_in", "weight_oz", "head_circ_cm"]))
+    return rounded_targets(availability(t))
 
 
 _GAPS = "(SELECT partition, win, cast(gap AS DOUBLE) AS gap FROM (SELECT patient_id, age_in_days, age_in_days - lag(age_in_days) OVER (PARTITION BY patient_id ORDER BY age_in_days, visit_id) AS gap FROM visits) v JOIN parts USING (patient_id) JOIN win ON age_in_days >= lo AND age_in_days < hi WHERE gap IS NOT NULL) x"
 
 
-@query("f08_interval_targets", with_roles(" UNION ALL ".join(stat(f"interval_days_{s}", "utilization", k, e, "count(*)", _GAPS, "win", "partition, win") for s, k, e in [
-    ("mean", "mean", "avg(gap)"), ("q50", "quantile", "quantile_cont(gap, 0.5)"), ("q90", "quantile", "quantile_cont(gap, 0.9)")]), "patients", "visits", ctes=f"{PART_CTE}, {_WINDOW_CTE}"))
+INTERVAL_SQL = " UNION ALL ".join(stat(f"interval_days_{s}", "utilization", k, e, "count(*)", _GAPS, "win", "partition, win") for s, k, e in [
+    ("mean", "mean", "avg(gap)"), ("q50", "quantile", "quantile_cont(gap, 0.5)"), ("q90", "quantile", "quantile_cont(gap, 0.9)")])
+
+
+def intervals(t: Tables) -> DataFrame:
+    return op.interval_targets(part(t.visits), PID, AGE, WINDOWS)
+
+
+@query("f08_interval_targets", with_roles(INTERVAL_SQL, "patients", "visits", ctes=f"{PART_CTE}, {_WINDOW_CTE}"))
 def f08(t: Tables) -> DataFrame:
-    return rounded_targets(op.interval_targets(part(t.visits), PID, AGE, WINDOWS))
+    return rounded_targets(intervals(t))
 
 
 _METRICS = {"height_in": ["flag"], "bmi": ["flag", "flag2"]}
@@ -137,21 +163,24 @@ def f09(t: Tables) -> DataFrame:
     return rounded_targets(physiology(t))
 
 
-_ALL_SQL = f"targets AS (SELECT * FROM ({DEMO_SQL}) a UNION ALL SELECT * FROM ({USE_SQL}) b UNION ALL SELECT * FROM ({PHYS_SQL}) c)"
-_ALL_CTES = f"{PART_CTE}, {_WINDOW_CTE}, {_ALL_SQL}"
+# The seven builders, in the order of the target table.
+_BUILDERS = [DEMO_SQL, OUTCOME_SQL, USE_SQL, LINK_SQL, AVAILABLE_SQL, INTERVAL_SQL, PHYS_SQL]
+_ALL_SQL = "targets AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM ({b}) b{i}" for i, b in enumerate(_BUILDERS)) + ")"
+_ALL_CTES = f"{PART_CTE.replace('parts AS (', 'parts AS MATERIALIZED (', 1)}, {LABEL_CTE}, {_WINDOW_CTE}, {_ALL_SQL}"
+_ALL_ROLES = ("patients", "visits", "labs", "medications")
 
 
 def every(t: Tables) -> DataFrame:
-    return op.raw_targets([demographics(t), use(t), physiology(t)])
+    return op.raw_targets([f(t) for f in (demographics, outcomes, use, links, availability, intervals, physiology)])
 
 
-@query("f10_raw_targets", with_roles("SELECT *, (SELECT count(*) FROM (SELECT 1 FROM targets GROUP BY partition, stratum, name, statistic HAVING count(*) > 1) d) AS duplicates FROM targets", "patients", "visits", ctes=_ALL_CTES))
+@query("f10_raw_targets", with_roles("SELECT *, (SELECT count(*) FROM (SELECT 1 FROM targets GROUP BY partition, stratum, name, statistic HAVING count(*) > 1) d) AS duplicates FROM targets", *_ALL_ROLES, ctes=_ALL_CTES))
 def f10(t: Tables) -> DataFrame:
     rows = materialize(rounded_targets(every(t)), "targets")
     return rows.crossJoin(op.duplicate_targets(rows).agg(F.count("*").alias("duplicates")))
 
 
-_DISCLOSED = """disclosed AS (SELECT partition, stratum, name, family, statistic, CASE WHEN support >= 25 THEN round(value, 3) END AS value, CASE WHEN support >= 25 THEN support END AS support,
+_DISCLOSED = """disclosed AS MATERIALIZED (SELECT partition, stratum, name, family, statistic, CASE WHEN support >= 25 THEN round(value, 3) END AS value, CASE WHEN support >= 25 THEN support END AS support,
     CASE WHEN support >= 25 THEN denominator END AS denominator, CASE WHEN support >= 25 THEN 'released' ELSE 'suppressed' END AS status FROM targets)"""
 
 
@@ -159,15 +188,15 @@ def disclosed(t: Tables) -> DataFrame:
     return op.disclose(every(t).withColumn("value", F.round("value", 6)), 25, 3)
 
 
-@query("f11_disclose", with_roles("SELECT * FROM disclosed", "patients", "visits", ctes=f"{_ALL_CTES}, {_DISCLOSED}"))
+@query("f11_disclose", with_roles("SELECT * FROM disclosed", *_ALL_ROLES, ctes=f"{_ALL_CTES}, {_DISCLOSED}"))
 def f11(t: Tables) -> DataFrame:
     return disclosed(t)
 
 
-TOLERANCES = {"utilization": 30.0, "physiology": 1.5}
-_COMPARE = """compared AS (SELECT stratum, name, family, statistic, CASE WHEN ok THEN CASE WHEN diff <= tol THEN 'PASS' ELSE 'FAIL' END ELSE 'UNEVALUABLE' END AS status, CASE WHEN ok THEN a END AS left_value,
+TOLERANCES = {"utilization": 30.0, "physiology": 1.5, "outcome": 1.0}
+_COMPARE = """compared AS MATERIALIZED (SELECT stratum, name, family, statistic, CASE WHEN ok THEN CASE WHEN diff <= tol THEN 'PASS' ELSE 'FAIL' END ELSE 'UNEVALUABLE' END AS status, CASE WHEN ok THEN a END AS left_value,
     CASE WHEN ok THEN b END AS right_value, CASE WHEN ok THEN round(diff, 6) END AS difference, CASE WHEN ok THEN round(tol, 6) END AS tolerance FROM (SELECT *, abs(a - b) AS diff,
-      CASE WHEN statistic = 'proportion' THEN greatest(0.02e0, 2e0 * greatest(sqrt(a * (1 - a) / ad), sqrt(b * (1 - b) / bd))) WHEN family = 'utilization' THEN 30e0 WHEN family = 'physiology' THEN 1.5e0 END AS tol,
+      CASE WHEN statistic = 'proportion' THEN greatest(0.02e0, 2e0 * greatest(sqrt(a * (1 - a) / ad), sqrt(b * (1 - b) / bd))) WHEN family = 'utilization' THEN 30e0 WHEN family = 'physiology' THEN 1.5e0 WHEN family = 'outcome' THEN 1e0 END AS tol,
       coalesce(a IS NOT NULL AND b IS NOT NULL AND asup >= 30 AND bsup >= 30, false) AS ok
     FROM (SELECT stratum, name, family, statistic, value AS a, support AS asup, denominator AS ad FROM disclosed WHERE partition = 'held_out') l
       FULL JOIN (SELECT stratum, name, family, statistic, value AS b, support AS bsup, denominator AS bd FROM disclosed WHERE partition = 'calibration') r USING (stratum, name, family, statistic)) c)"""
@@ -180,7 +209,7 @@ def compared(t: Tables) -> DataFrame:
     return rounded(op.compare_targets(side("held_out"), side("calibration"), 30, 0.02, 2.0, 5.0, TOLERANCES), "difference", "tolerance")
 
 
-@query("f12_compare_targets", with_roles("SELECT * FROM compared", "patients", "visits", ctes=_CMP_CTES))
+@query("f12_compare_targets", with_roles("SELECT * FROM compared", *_ALL_ROLES, ctes=_CMP_CTES))
 def f12(t: Tables) -> DataFrame:
     return compared(t)
 
@@ -189,7 +218,7 @@ def f12(t: Tables) -> DataFrame:
     , c AS (SELECT family, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, count(*) FILTER (status = 'UNEVALUABLE') AS unevaluable FROM compared GROUP BY 1)
     SELECT *, CASE WHEN failed > 0 THEN 'FAIL' WHEN unevaluable > 0 THEN 'UNEVALUABLE' ELSE 'PASS' END AS status FROM c
     UNION ALL SELECT 'all', sum(passed)::BIGINT, sum(failed)::BIGINT, sum(unevaluable)::BIGINT, CASE WHEN sum(failed) > 0 THEN 'FAIL' WHEN sum(unevaluable) > 500 OR count(*) FILTER (family IN ('demographics', 'outcome') AND passed + failed > 0) < 2 THEN 'UNEVALUABLE' ELSE 'PASS' END FROM c""",
-    "patients", "visits", ctes=_CMP_CTES))
+    *_ALL_ROLES, ctes=_CMP_CTES))
 def f13(t: Tables) -> DataFrame:
     return op.fidelity_status(compared(t), ["demographics", "outcome"], 500)
 
@@ -203,7 +232,7 @@ def f13(t: Tables) -> DataFrame:
     SELECT stratum, name, family, statistic, min(left_value) FILTER (ok) AS held_out, min(right_value) FILTER (ok) AS generated_min, max(right_value) FILTER (ok) AS generated_max, max(difference) FILTER (ok) AS max_difference,
       round(max(difference - tolerance) FILTER (ok), 6) AS max_excess, count(*) FILTER (ok) AS evaluable, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed,
       CASE WHEN min(left_value) FILTER (ok) <> max(left_value) FILTER (ok) THEN 'INCONSISTENT' WHEN count(*) FILTER (status = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) FILTER (ok) < count(*) THEN 'UNEVALUABLE' ELSE 'PASS' END AS status
-    FROM g GROUP BY 1, 2, 3, 4""", "patients", "visits", ctes=_CMP_CTES))
+    FROM g GROUP BY 1, 2, 3, 4""", *_ALL_ROLES, ctes=_CMP_CTES))
 def f14(t: Tables) -> DataFrame:
     first = materialize(compared(t), "compared")
     moved = F.round(F.col("difference") + 0.01, 6)
