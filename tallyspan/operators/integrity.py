@@ -152,11 +152,26 @@ def check_entity_links(tables: dict[str, DataFrame], entities: DataFrame, pid: s
         check_logical_fk(df, entities, [(pid, pid)], name, 0, 0).where("rule = 'link_orphan'") for name, df in tables.items()])
 
 
-def schema_fingerprint(tables: dict[str, DataFrame]) -> DataFrame:
-    """SHA-256 over the canonical names and types, beside the measured row count."""
+def _field_text(name: str, kind: str, rule) -> str:
+    """Canonical text of a field with its constraints; ``rule`` is its declaration, if any."""
+    parts = [name, kind]
+    if rule is not None:
+        parts += ["required"] * rule.required
+        parts += [f"enum={'|'.join(rule.enum)}"] if rule.enum is not None else []
+        parts += [f"{word}={float(v)!r}" for word, v in (("min", rule.minimum), ("max", rule.maximum)) if v is not None]
+    return ":".join(parts)
+
+
+def schema_fingerprint(tables: dict[str, DataFrame], contracts: dict[str, Contract] | None = None) -> DataFrame:
+    """SHA-256 over the canonical names, types and declared constraints, beside the measured row count."""
     parts = []
     for name, df in sorted(tables.items()):
-        text = ";".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema)
+        contract = (contracts or {}).get(name)
+        rules = {f.name: f for f in contract.fields} if contract else {}
+        items = [_field_text(f.name, f.dataType.simpleString(), rules.get(f.name)) for f in df.schema]
+        if contract:
+            items += [f"key={','.join(contract.primary_key)}"] * bool(contract.primary_key) + [f"link={c}>{p}" for c, p in contract.links]
+        text = ";".join(items)
         parts.append(df.agg(F.count("*").alias("rows")).select(
             F.lit(name).alias("table_name"), F.sha2(F.lit(f"{name}({text})"), 256).alias("schema_hash"), "rows"))
     return reduce(DataFrame.unionByName, parts)

@@ -130,12 +130,12 @@ def b08(t: Tables) -> DataFrame:
 
 
 @query("b09_schema_fingerprint", with_roles("""
-    SELECT 'patients' AS table_name, sha256('patients(patient_id:string;sex:string;ethnicity:string;race_1:string;race_2:string;race_3:string)') AS schema_hash,
+    SELECT 'patients' AS table_name, sha256('patients(patient_id:string:required;sex:string:required:enum=F|M;ethnicity:string;race_1:string:required;race_2:string;race_3:string;key=patient_id)') AS schema_hash,
       count(*) AS rows FROM patients
     UNION ALL SELECT 'stream', sha256('stream(patient_id:string;event_id:bigint;kind:string;value:double;hour:bigint)'), count(*) FROM stream""",
                                                "patients", "stream"))
 def b09(t: Tables) -> DataFrame:
-    return op.schema_fingerprint({"patients": patients(t), "stream": t.stream})
+    return op.schema_fingerprint({"patients": patients(t), "stream": t.stream}, {"patients": PATIENTS})
 
 
 @query("b10_check_profile", with_roles("""

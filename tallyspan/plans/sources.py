@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import fresh_path
+from ..functions.storage import fresh_path, materialize
 from ..sources import bundle, delimited, fhir, references
 from ..sources.contract import Contract, Field, contract_rules
 from .registry import query
@@ -113,24 +115,36 @@ def a04(t: Tables) -> DataFrame:
     return delimited.preflight(t.spark, [VISITS, declared], root)
 
 
-_HASH = "sum(cast(concat('0x', substr(sha256({text}), 1, 15)) AS BIGINT))"
-_PATIENT_TEXT = " || chr(31) || ".join(f"coalesce({c}, '\\N')" for c in PATIENTS.names)
+# Contracts of the stored tables: the declared limits that the given rows keep.
+STORED = {"patients": replace(PATIENTS, fields=tuple(replace(f, enum=("F", "M", "U") if f.name == "sex" else f.enum) for f in PATIENTS.fields)),
+          "visits": replace(VISITS, fields=tuple(replace(f, minimum=None, maximum=None) for f in VISITS.fields))}
 
 
-@query("a05_fingerprint", with_roles(f"""
-    SELECT count(*) AS rows, cast(6 AS BIGINT) AS fields,
-      cast({_HASH.format(text=_PATIENT_TEXT)} AS VARCHAR) AS content_hash FROM patients""", "patients"))
-def a05(t: Tables) -> DataFrame:
-    return bundle.fingerprint(patients(t), "sha256")
+def _content_sql(table: str, names: list[str]) -> str:
+    text = " || ".join(f"coalesce(length(cast({c} AS VARCHAR)) || ':' || cast({c} AS VARCHAR), '-')" for c in names)
+    return f"""SELECT '{table}' AS table_name, count(*) AS rows, cast({len(names)} AS BIGINT) AS fields,
+      cast(sum(cast(concat('0x', substr(sha256({text}), 1, 15)) AS BIGINT)) AS VARCHAR) AS content_hash FROM {table}"""
+
 
+_BOTH = f"{_content_sql('patients', PATIENTS.names)} UNION ALL {_content_sql('visits', VISITS.names)}"
 
-@query("a06_write_bundle", with_roles("""
-    SELECT 'patients' AS table_name, count(*) AS rows, cast(6 AS BIGINT) AS fields FROM patients
-    UNION ALL SELECT 'visits', count(*), 10 FROM visits""", "patients", "visits"))
+
+@query("a05_fingerprint", with_roles(f"SELECT * EXCLUDE (table_name), true AS unchanged, false AS unchanged_after_edit FROM ({_content_sql('patients', PATIENTS.names)}) p", "patients"))
+def a05(t: Tables) -> DataFrame:
+    """Content hash of the table, and the source files' own fingerprint before and after an export and an edit."""
+    path = _csv(patients(t), PATIENTS, "source")
+    before = materialize(bundle.fingerprint_files(t.spark, path))
+    read = delimited.read_typed_csv(t.spark, path, PATIENTS)
+    delimited.write_augmented(read, fresh_path(t.spark, "export"), PATIENTS.names)
+    unchanged = bundle.same_fingerprint(before, bundle.fingerprint_files(t.spark, path))
+    delimited.write_exact_csv(patients(t).withColumn("race_1", F.lit("edited")), PATIENTS, edited := fresh_path(t.spark, "edited"))
+    return bundle.fingerprint(read, "sha256").withColumns({
+        "unchanged": F.lit(unchanged), "unchanged_after_edit": F.lit(bundle.same_fingerprint(before, bundle.fingerprint_files(t.spark, edited)))})
+
+
+@query("a06_write_bundle", with_roles(_BOTH, "patients", "visits"))
 def a06(t: Tables) -> DataFrame:
-    manifest = bundle.write_bundle({"patients": patients(t), "visits": visits(t)}, fresh_path(t.spark, "bundle"),
-                                   {"patients": PATIENTS, "visits": VISITS})
-    return manifest.select("table_name", "rows", "fields")
+    return bundle.write_bundle({"patients": patients(t), "visits": visits(t)}, fresh_path(t.spark, "bundle"), STORED)
 
 
 @query("a07_verify_bundle", with_roles("""
@@ -138,18 +152,14 @@ def a06(t: Tables) -> DataFrame:
     UNION ALL SELECT 'visits', true, count(*), true, true FROM visits""", "patients", "visits"))
 def a07(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "bundle")
-    contracts = {"patients": PATIENTS, "visits": VISITS}
-    bundle.write_bundle({"patients": patients(t), "visits": visits(t)}, path, contracts)
-    return bundle.verify_bundle(t.spark, path, contracts)
+    bundle.write_bundle({"patients": patients(t), "visits": visits(t)}, path, STORED)
+    return bundle.verify_bundle(t.spark, path, STORED)
 
 
-@query("a08_publish_tables", with_roles("""
-    SELECT 'patients' AS table_name, count(*) AS rows, cast(6 AS BIGINT) AS fields FROM patients
-    UNION ALL SELECT 'visits', count(*), 10 FROM visits""", "patients", "visits"))
+@query("a08_publish_tables", with_roles(_BOTH, "patients", "visits"))
 def a08(t: Tables) -> DataFrame:
-    stored = bundle.publish_tables({"patients": patients(t), "visits": visits(t)}, "tallyspan_store",
-                                   {"patients": PATIENTS, "visits": VISITS})
-    return stored.select("table_name", "rows", "fields")
+    path = fresh_path(t.spark, "store")
+    return bundle.publish_tables({"patients": patients(t), "visits": visits(t)}, f"tallyspan_{path.rsplit('-', 1)[-1]}", STORED, path)
 
 
 # Formula grids with the shape of published references; knots come from the

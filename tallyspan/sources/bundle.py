@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import fresh_path
+from ..operators import integrity
 from .contract import Contract, contract_schema, contract_rules
 
 
@@ -21,7 +22,9 @@ def fingerprint(df: DataFrame, method: str = "xxhash64") -> DataFrame:
     if method == "xxhash64":
         value = F.xxhash64(*df.columns).cast("decimal(38,0)")
     else:
-        text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns])
+        # Each cell carries its length and null has a form no text can take.
+        cell = lambda c: F.concat(F.length(F.col(f"`{c}`").cast("string")), F.lit(":"), F.col(f"`{c}`").cast("string"))
+        text = F.concat(*[F.coalesce(cell(c), F.lit("-")) for c in df.columns])
         value = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("rows"), F.sum(value).cast("string").alias("content_hash")).select(
         "rows", F.lit(len(df.columns)).cast("long").alias("fields"), "content_hash")
@@ -45,26 +48,57 @@ def same_fingerprint(before: DataFrame, after: DataFrame) -> bool:
 
 def _manifest(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [
-        fingerprint(df).select(F.lit(name).alias("table_name"), "*") for name, df in tables.items()])
+        fingerprint(df, "sha256").select(F.lit(name).alias("table_name"), "*") for name, df in tables.items()])
+
+
+def _broken_rules(tables: dict[str, DataFrame], contracts: dict[str, Contract]) -> list[str]:
+    """``table.field: rule`` of everything the stored tables violate."""
+    checks = []
+    for name, c in contracts.items():
+        df = tables[name]
+        checks += [integrity.check_schema(df, c), integrity.check_rules(df, c)]
+        if c.primary_key:
+            checks.append(integrity.check_primary_key(df, list(c.primary_key), name))
+        for column, parent in c.links:
+            if parent in contracts and contracts[parent].primary_key:
+                checks.append(integrity.check_foreign_key(df, tables[parent], [(column, contracts[parent].primary_key[0])], name))
+    failed = reduce(DataFrame.union, [c.where("status = 'FAIL'").select("table_name", F.coalesce("field", F.lit("rows")), "rule") for c in checks])
+    return [f"{t}.{f}: {r}" for t, f, r in failed.collect()]  # at most one row per declared rule
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(target).getParent())
+    if not files.rename(path(source), path(target)):
+        raise OSError(f"cannot publish {target}")
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str, contracts: dict[str, Contract] | None = None) -> DataFrame:
-    """Write every table as Zstandard Parquet, validate the files, then publish.
+    """Write every table as Zstandard Parquet beside its place, validate the files, then publish.
 
-    The manifest is written last and only after the re-read files match what
-    was written, so a folder without a manifest is not a bundle.
+    The files are read again and must have the schema, row count and content hash of
+    what was to be written, and keep every rule, key and link of the contracts.  Only then
+    are the tables moved to ``path``; the manifest comes last, so a folder without
+    one is not a bundle, and a failed write publishes nothing.
     """
     spark = next(iter(tables.values())).sparkSession
+    staging = f"{path.rstrip('/')}_staging_{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.option("compression", "zstd").parquet(f"{path}/{name}")
-    reread = {name: spark.read.parquet(f"{path}/{name}") for name in tables}
+        df.write.option("compression", "zstd").parquet(f"{staging}/{name}")
+    reread = {name: spark.read.parquet(f"{staging}/{name}") for name in tables}
     for name, df in reread.items():
         if [(f.name, f.dataType) for f in df.schema] != [(f.name, f.dataType) for f in tables[name].schema]:
             raise ValueError(f"schema changed while writing {name}")
-        if contracts and name in contracts and [f.name for f in df.schema] != contracts[name].names:
-            raise ValueError(f"columns of {name} differ from the contract")
-    manifest = _manifest(spark, reread)
-    manifest.write.parquet(f"{path}/_manifest_v1")
+    stored = {r.table_name: r for r in _manifest(spark, reread).collect()}
+    wanted = {r.table_name: r for r in _manifest(spark, tables).collect()}
+    if stored != wanted:
+        raise ValueError(f"content changed while writing: {sorted(n for n in wanted if stored.get(n) != wanted[n])}")
+    if contracts and (broken := _broken_rules(reread, contracts)):
+        raise ValueError(f"rules broken: {broken}")
+    _manifest(spark, reread).write.parquet(f"{staging}/_manifest_v1")
+    for name in [*tables, "_manifest_v1"]:
+        _move(spark, f"{staging}/{name}", f"{path}/{name}")
     return spark.read.parquet(f"{path}/_manifest_v1")
 
 
@@ -90,11 +124,11 @@ def _identifier(name: str) -> str:
     return f"`{name}`"
 
 
-def publish_tables(tables: dict[str, DataFrame], db: str, contracts: dict[str, Contract] | None = None) -> DataFrame:
-    """Save managed tables with resource and rule metadata tables beside them."""
+def publish_tables(tables: dict[str, DataFrame], db: str, contracts: dict[str, Contract] | None = None, location: str | None = None) -> DataFrame:
+    """Save managed tables with resource and rule metadata tables beside them, in the warehouse or at ``location``."""
     spark = next(iter(tables.values())).sparkSession
-    location = fresh_path(spark, "db")
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_identifier(db)} LOCATION '{location}'")
+    place = "" if location is None else " LOCATION '" + location.replace("'", "\\'") + "'"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_identifier(db)}{place}")
     for name, df in tables.items():
         df.write.mode("overwrite").option("compression", "zstd").saveAsTable(f"{_identifier(db)}.{_identifier(name)}")
     stored = {name: spark.table(f"{_identifier(db)}.{_identifier(name)}") for name in tables}

@@ -1,9 +1,11 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspan.functions.storage import fresh_path
 from tallyspan.operators import assurance, explore, integrity, privacy, profiling, targets
-from tallyspan.sources import bundle, delimited
+from tallyspan.sources import bundle, delimited, fhir
 from tallyspan.sources.contract import Contract, Field, contract_schema
 
 TINY = Contract("tiny", (Field("id", required=True), Field("n", "integer", minimum=0), Field("x", "number"), Field("k", enum=("a", "b"))), primary_key=("id",))
@@ -155,3 +157,84 @@ def test_decision_metrics_hand_values(spark):
     assert (r.members, r.missing, r.tp, r.fn, r.tn, r.fp) == (5, 1, 1, 1, 1, 1)
     s = {x.cell: x for x in assurance.score_metrics(df, "y", "d", "s", "sex").collect()}["overall"]
     assert s.auroc == pytest.approx(0.625) and s.brier == pytest.approx((0.01 + 0.36 + 0.16 + 0.64) / 4)
+
+
+def test_broken_bundle_is_not_published(spark):
+    import os
+
+    path = fresh_path(spark, "b")
+    df = spark.createDataFrame([("1", -1, 1.0, "a"), ("1", 2, None, "z")], "id string, n long, x double, k string")
+    with pytest.raises(ValueError, match="rules broken"):
+        bundle.write_bundle({"tiny": df}, path, {"tiny": TINY})
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_null_and_marker_texts_differ(spark):
+    hashes = [bundle.fingerprint(spark.createDataFrame([(v, "x")], "a string, b string"), "sha256").first().content_hash for v in (None, "\\N", "-", "")]
+    assert len(set(hashes)) == 4
+
+
+def _csv_file(spark, text):
+    path = fresh_path(spark, "raw")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\n").text(path)
+    return path
+
+
+@pytest.mark.parametrize("line,errors", [
+    ("1,5,2.5d,a", ["tiny.x"]), ("1,5,1f,a", ["tiny.x"]), ("1,5,0x1p3,a", ["tiny.x"]), ("1,5.0,1,a", ["tiny.n"]), ("1,5,1,a,surplus", ["tiny: record"]), ("1,5", ["tiny: record"]),
+    ('1,5,-1.5e3,"two\nlines, and ""quotes"""', []), ("1,5,.5,  kept  ", [])])
+def test_bad_record_kinds(spark, line, errors):
+    path = _csv_file(spark, f"id,n,x,k\n{line}\n2,6,1.0,b")
+    rows = delimited.read_typed_csv(spark, path, TINY, "quarantine").orderBy("id").collect()
+    assert len(rows) == 2 and list(rows[0]["_errors"]) == errors and list(rows[1]["_errors"]) == []
+    if errors:
+        with pytest.raises(Exception, match="tiny"):
+            delimited.read_typed_csv(spark, path, TINY).collect()
+    else:
+        assert rows[0].k in ('two\nlines, and "quotes"', "  kept  ")
+
+
+def test_preflight_reads_every_header(spark):
+    root = fresh_path(spark, "pre")
+    for head in ("id,n,x,k", "n,id,x,k"):
+        spark.createDataFrame([(f"{head}\n1,5,1.0,a",)], "value string").coalesce(1).write.mode("append").text(f"{root}/tiny")
+    assert delimited.preflight(spark, [TINY], root).first().header_ok is False
+
+
+def _bundle(*resources):
+    return json.dumps({"resourceType": "Bundle", "entry": [{"resource": r} for r in resources]})
+
+
+def _patient(**more):
+    return {"resourceType": "Patient", "id": "a", "gender": "female", "birthDate": "2001-01-01"} | more
+
+
+def _observation(i, code, day, value=None, **more):
+    coded = {"code": {"coding": [{"system": "http://loinc.org", "code": code}]}} if code else {}
+    return {"resourceType": "Observation", "id": i, "subject": {"reference": "Patient/a"}, "effectiveDateTime": day} | coded | (
+        {"valueQuantity": {"value": value}} if value is not None else {}) | more
+
+
+def _flat(spark, *lines):
+    path = fresh_path(spark, "fhir-in")
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
+    return fhir.flatten_fhir(spark, path)
+
+
+def test_fhir_skips_other_observations_and_keeps_all_codes(spark):
+    race = {"extension": [{"url": "http://hl7.org/fhir/us/core/StructureDefinition/us-core-race", "extension": [{"url": "text", "valueString": "White"}]}]}
+    conditions = [{"resourceType": "Condition", "id": f"c{i}", "subject": {"reference": "Patient/a"}, "code": {"coding": [{"system": fhir.ICD10, "code": f"K{i:02}"}]}} for i in range(40)]
+    flat = _flat(spark, _bundle(_patient(**race), _observation("o1", "8302-2", "2004-01-01", 100.0), _observation("o2", "85354-9", "2004-01-01", 7.0), _observation("o3", None, "2004-01-01"),
+                                _observation("o4", "8302-2", "2004-01-01"), _observation("o5", "8302-2", "2004-01-01", 1.0, subject={"reference": "https://x.example/Patient/a"}), *conditions))
+    assert [r.value for r in flat["observations"].collect()] == [100.0]
+    person = flat["patients"].first()
+    assert (list(person.races), person.ethnicity) == (["White"], "Unknown")
+    visit = fhir.fhir_to_visits(flat).first()
+    assert visit.n_codes == 40 and len(visit.codes) == 40
+
+
+def test_fhir_rejects_contradictions(spark):
+    with pytest.raises(Exception, match="share an id"):
+        _flat(spark, _bundle(_patient()), _bundle(_patient(gender="male")))["patients"].collect()
+    with pytest.raises(Exception, match="before birth"):
+        fhir.fhir_to_visits(_flat(spark, _bundle(_patient(), _observation("o", "8302-2", "2000-01-01", 50.0)))).collect()
