@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stats import normal_cdf
-from .storage import BROADCAST_ROWS
-
-MAX_SEXES = 16
 
 
 def segments(grid: DataFrame, key: str) -> DataFrame:
@@ -35,31 +32,22 @@ def attach_parameters(df: DataFrame, key: Column, sex: Column, grid: DataFrame,
                       clamp_high: bool = True) -> DataFrame:
     """Join interpolated ``__L, __M, __S``; null off the grid, clamped above it if asked.
 
-    One small job reads the key limits and the knot count per sex.  The count
-    decides whether the segments may be broadcast; without the hint the same
-    equi-join runs shuffled.
+    Both lookups are equi-joins with the grid's own size as the only guide for
+    broadcasting: one on (sex, bucket), one on sex for keys beyond the last knot.
     """
-    limits = grid.groupBy("Sex").agg(
-        F.min(grid_key).cast("double").alias("lo"), F.max(grid_key).cast("double").alias("hi"), F.count("*").alias("n")
-    ).limit(MAX_SEXES + 1).collect()
-    if len(limits) > MAX_SEXES:
-        raise ValueError("the reference grid has too many sex codes")
-    x = F.when(F.lit(False), F.lit(0.0))
-    for r in limits:
-        inside = (key >= r.lo) if clamp_high else key.between(r.lo, r.hi)
-        x = x.when((sex == F.lit(r.Sex)) & inside, F.least(key.cast("double"), F.lit(r.hi)))
-    keyed = df.withColumn("__s", sex).withColumn("__x", x).withColumn("__b", F.floor("__x").cast("long"))
     cut = segments(grid, grid_key)
-    span = sum((r.hi - r.lo + 2) for r in limits if r.n)
-    small = sum(r.n for r in limits) * 2 + span <= BROADCAST_ROWS
+    tail = cut.where("__end").groupBy("__sex").agg(
+        F.max("__lo").alias("__top"), *[F.max_by(f"__{c}0", "__lo").alias(f"__{c}t") for c in "LMS"]).withColumnRenamed("__sex", "__tsex")
+    x = F.when(~F.isnan(key.cast("double")), key.cast("double"))
+    keyed = df.withColumn("__s", sex).withColumn("__k", key.cast("double")).withColumn("__x", x).withColumn("__b", F.floor("__x"))
     hit = keyed.join(
-        F.broadcast(cut) if small else cut,
-        (F.col("__s") == F.col("__sex")) & (F.col("__b") == F.col("__bucket"))
-        & (F.col("__x") >= F.col("__lo")) & ((F.col("__x") < F.col("__hi")) | F.col("__end")),
-        "left",
-    )
+        cut, (F.col("__s") == F.col("__sex")) & (F.col("__b") == F.col("__bucket"))
+        & (F.col("__x") >= F.col("__lo")) & ((F.col("__x") < F.col("__hi")) | (F.col("__end") & (F.col("__x") == F.col("__lo")))), "left")
     value = lambda c: F.col(f"__{c}0") + F.col(f"__{c}d") * (F.col("__x") - F.col("__lo"))
-    return hit.select(*[F.col(c) for c in df.columns], *[value(c).alias(f"__{c}") for c in "LMS"])
+    if not clamp_high:
+        return hit.select(*[F.col(c) for c in df.columns], *[value(c).alias(f"__{c}") for c in "LMS"])
+    hit = hit.join(tail, (F.col("__s") == F.col("__tsex")) & (F.col("__k") > F.col("__top")), "left")
+    return hit.select(*[F.col(c) for c in df.columns], *[F.coalesce(value(c), F.col(f"__{c}t")).alias(f"__{c}") for c in "LMS"])
 
 
 def z_from_parameters(v: Column) -> Column:

@@ -25,9 +25,7 @@ def base(t: Tables) -> DataFrame:
 
 
 def grids(t: Tables) -> dict[str, DataFrame]:
-    """All grids from one written table of age steps (a few dozen rows)."""
-    steps = materialize(t.visits.select("age_in_days").distinct(), "steps")
-    return {kind: grid(t, kind, steps) for kind in GRIDS}
+    return {kind: grid(t, kind) for kind in GRIDS}
 
 
 def seg_cte(kind: str, name: str) -> str:

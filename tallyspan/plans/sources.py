@@ -162,8 +162,8 @@ def a08(t: Tables) -> DataFrame:
     return bundle.publish_tables({"patients": patients(t), "visits": visits(t)}, f"tallyspan_{path.rsplit('-', 1)[-1]}", STORED, path)
 
 
-# Formula grids with the shape of published references; knots come from the
-# distinct age steps of the visit table.  kind -> (key column, key, M, S, L).
+# Formula grids with the shape of published references over a fixed range of steps;
+# only A09 takes the steps from the visit table.  kind -> (key column, key, M, S, L).
 GRIDS = {
     "weight_age": ("Agemos", "i * 3e0", "3.4e0 + 0.276e0 * i * 3e0", "0.12e0", "(i - 33e0) / 33e0"),
     "height_age": ("Agemos", "i * 3e0", "49.5e0 + 0.541e0 * i * 3e0", "0.04e0", "1e0"),
@@ -178,28 +178,33 @@ GRIDS = {
 }
 
 
-def grid_sql(kind: str, div: str, visits_name: str = "visits") -> str:
+STEPS = 81
+
+
+def grid_sql(kind: str, steps: str) -> str:
     key, k, m, s, l = GRIDS[kind]
     return f"""SELECT sx AS "Sex", {k} AS "{key}", {l} AS "L", ({m}) * (1e0 + sx * 1e-2) AS "M", {s} AS "S"
-        FROM (SELECT DISTINCT {div} AS i FROM {visits_name}) steps
+        FROM ({steps}) steps
         CROSS JOIN (SELECT 1 AS sx UNION ALL SELECT 2 AS sx) sexes"""
 
 
-def grid(t: Tables, kind: str, visits: DataFrame | None = None) -> DataFrame:
-    text = grid_sql(kind, "age_in_days div 91", "{visits}").replace('"', "`")
-    return references.load_lms(t.spark.sql(text, visits=t.visits if visits is None else visits), GRIDS[kind][0])
+def grid(t: Tables, kind: str, observed: bool = False) -> DataFrame:
+    steps = "SELECT DISTINCT age_in_days div 91 AS i FROM {visits}" if observed else f"SELECT id AS i FROM range(0, {STEPS})"
+    given = {"visits": t.visits} if observed else {}
+    return references.load_lms(t.spark.sql(grid_sql(kind, steps).replace('"', "`"), **given), GRIDS[kind][0])
 
 
-def grid_cte(kind: str, name: str) -> str:
+def grid_cte(kind: str, name: str, observed: bool = False) -> str:
     key = GRIDS[kind][0]
+    steps = "SELECT DISTINCT age_in_days // 91 AS i FROM visits" if observed else f"SELECT unnest(range(0, {STEPS})) AS i"
     return (f"""{name} AS (SELECT CASE "Sex" WHEN 1 THEN 'M' ELSE 'F' END AS "Sex", "{key}", "L", "M", "S" """
-            f"""FROM ({grid_sql(kind, "age_in_days // 91")}) g)""")
+            f"""FROM ({grid_sql(kind, steps)}) g)""")
 
 
 @query("a09_load_lms", with_roles("""SELECT "Sex" AS sex, "Agemos" AS knot, round("L", 8) AS l, round("M", 8) AS m,
-    round("S", 8) AS s FROM g""", "visits", ctes=grid_cte("weight_age", "g")))
+    round("S", 8) AS s FROM g""", "visits", ctes=grid_cte("weight_age", "g", True)))
 def a09(t: Tables) -> DataFrame:
-    return grid(t, "weight_age").select(
+    return grid(t, "weight_age", True).select(
         F.col("Sex").alias("sex"), F.col("Agemos").alias("knot"),
         *[F.round(F.col(c), 8).alias(c.lower()) for c in "LMS"])
 
