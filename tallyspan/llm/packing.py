@@ -17,8 +17,9 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
+import string
 import zlib
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,9 @@ from .common import as_bytes, map_batches, materialize
 
 END = 1
 SHARD_ROWS = 25_000
-_MEMO_WORDS = 300_000
+_PUNCTUATION = string.punctuation.encode()
+_END_BYTES = np.array([END], "<u4").tobytes()
+_MEMO_WORDS = 400_000
 _memo: dict[str, dict] = {}
 
 
@@ -43,14 +46,19 @@ class WordIds:
     """Ids of a text by way of its white-space separated parts.
 
     The tokenizer lower-cases, drops white space and never merges across it, so
-    the ids of a text are those of its parts in turn.  A bounded memo keeps
-    the parts already seen by this worker.
+    the ids of a text are those of its parts in turn; nor does it merge letters
+    with the punctuation behind them, so most parts are a known word and a known
+    ending.  Bounded memos hold the packed ids of parts this worker has seen.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a task per core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.parts, self.cores = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -58,17 +66,49 @@ class WordIds:
             _memo[path] = cls(path)
         return _memo[path]
 
+    def encode(self, part: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def words(self, new: list[bytes]) -> None:
+        """Fill the memo of words; words of letters alone are encoded as one text and cut at word-end tokens."""
+        if len(self.cores) > _MEMO_WORDS:
+            self.cores.clear()
+        ids = np.array(self.tokenizer.encode(b" ".join(new).decode(), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(new) and (not len(ids) or ends[-1] == len(ids)):
+            raw, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
+            self.cores.update(zip(new, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
+        else:
+            self.cores.update((w, self.encode(w)) for w in new)
+
+    def learn(self, parts: set[bytes]) -> None:
+        split, other = [], []
+        for p in parts:
+            word = p.rstrip(_PUNCTUATION)
+            if word and word.decode().isalpha():  # letters, then perhaps an ending
+                split.append((p, word.lower(), p[len(word):]))
+            else:
+                other.append(p)
+        cores = self.cores
+        self.words(list({w for _, w, _ in split if w not in cores}))
+        for _, _, end in split:
+            if end not in cores:
+                cores[end] = self.encode(end) if end else b""
+        for p, word, end in split:
+            if word not in cores:
+                self.words([word])
+            self.parts[p] = cores[word] + cores[end] if end else cores[word]
+        for p in other:
+            self.parts[p] = self.encode(p)
+
     def __call__(self, text: bytes | None) -> np.ndarray:
-        parts = text.split() if text else []
-        memo = self.memo
-        new = [p for p in set(parts) if p not in memo]
+        parts, memo = text.split() if text else [], self.parts
+        if len(memo) > _MEMO_WORDS:
+            memo.clear()
+        new = set(parts).difference(memo)
         if new:
-            if len(memo) > _MEMO_WORDS:
-                memo.clear()
-                new = list(set(parts))
-            for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-                memo[p] = tuple(e.ids)
-        return np.fromiter(chain(chain.from_iterable(map(memo.__getitem__, parts)), (END,)), "<u4")
+            self.learn(new)
+        return np.frombuffer(b"".join(map(memo.__getitem__, parts)) + _END_BYTES, "<u4")
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096) -> DataFrame:
