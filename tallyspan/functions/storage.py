@@ -20,6 +20,7 @@ HOT_ROWS_DEFAULT = 2_000_000
 BROADCAST_ROWS = 200_000
 
 _fallback: dict[str, str] = {}
+_made: list[str] = []
 
 
 def workspace(spark: SparkSession) -> str:
@@ -40,7 +41,18 @@ def workspace(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{workspace(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{workspace(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete every intermediate this process has written; call it when no frame built on them is needed any more."""
+    done = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:

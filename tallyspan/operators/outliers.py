@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import step_value
 from ..functions.ordering import neighbours
-from ..functions.storage import join_on, materialize, split_hot
+from ..functions.storage import fresh_path, join_on, materialize, split_hot
 
 # Largest plausible slope (kg per year) below each age in years.
 WEIGHT_THRESHOLDS = ([(3, 3.0), (4, 3.3), (5, 3.7), (6, 4.0), (7, 4.4), (8, 5.2), (9, 6.0), (10, 6.8), (11, 7.3),
@@ -76,32 +76,54 @@ def slope_limit(age: str, thresholds) -> Column:
     return step_value(F.col(age), thresholds[0], thresholds[1], inclusive=False)
 
 
+# Peeling rounds in one plan; they share one shuffle and one written table.
+ROUNDS = 4
+
+
+def _peel(df: DataFrame, keys: list[str], age: str, value: str, tie: str, limit: Column | None, bounded: bool, number: int) -> DataFrame:
+    """One round: the peaks among the rows still alive get the round's number.
+
+    Removed rows stay in the frame under a series of their own, so the rows keep
+    the partitioning by ``keys`` and no round shuffles again.
+    """
+    gone = F.col("round").isNotNull()
+    marked = find_peaks(df.withColumn("__gone", gone), [*keys, "__gone"], age, value, tie, limit, bounded)
+    hit = F.col("peak") & ~F.col("__gone")
+    return marked.withColumns({"round": F.when(hit, F.lit(number)).otherwise(F.col("round")), "again": hit}).drop("peak", "__gone")
+
+
 def outlier_fixpoint(df: DataFrame, keys: list[str], age: str, value: str, tie: str, limit: Column | None = None,
                      bounded: bool = False) -> DataFrame:
     """Rows removed by the pre-clean (round 0) and by each peeling round.
 
-    Series are independent, so each round re-reads only those that lost a row
-    in the round before.  Every round is one written table: the loop keeps no
+    Series are independent, so only those that lost a row in the last round are
+    read again.  A few rounds make one written table: the loop keeps no
     lineage and survives lost executors.  It ends because each round removes
     at least one row.
     """
-    columns = [*keys, age, tie, value]
+    spark, columns = df.sparkSession, [*keys, age, tie, value]
     # The pre-clean reads the narrow series three times, so it is written once.
     rows = materialize(df.where(F.col(value).isNotNull() & F.col(age).isNotNull()).select(*columns), "series")
     cleaned = materialize(outlier_preclean(rows, keys, age, value, tie), "preclean")
-    removed = cleaned.where("flagged").select(*keys, age, tie, F.lit(0).alias("round"))
     active = cleaned.where(~F.col("flagged")).select(*columns)
     bounded = bounded or split_hot(active, keys)[1] is None
-    number = 0
+    root, number, batch = fresh_path(spark, "peeling"), 0, 0
     while True:
-        number += 1
-        marked = materialize(find_peaks(active, keys, age, value, tie, limit, bounded), "peaks")
-        peaks = marked.where("peak")
-        if peaks.isEmpty():
-            return removed
-        removed = removed.unionByName(peaks.select(*keys, age, tie, F.lit(number).alias("round")))
-        touched = peaks.select(*keys).distinct()
-        active = marked.where(~F.col("peak")).select(*columns).join(touched, keys, "left_semi")
+        state = active.withColumn("round", F.lit(None).cast("int"))
+        for _ in range(ROUNDS if bounded else 1):
+            number += 1
+            state = _peel(state, keys, age, value, tie, limit, bounded, number)
+        if bounded:  # the window is over the partitioning the rows already have
+            state = state.withColumn("again", F.max("again").over(Window.partitionBy(*keys)))
+        else:
+            state = join_on(state.drop("again"), state.where("again").select(*keys).distinct().withColumn("again", F.lit(True)), keys, "left").fillna(False, ["again"])
+        state.select(*columns, "round", "again").write.parquet(f"{root}/batch={batch}")
+        stored = spark.read.schema(state.select(*columns, "round", "again").schema).parquet(f"{root}/batch={batch}")
+        if stored.where("again").isEmpty():
+            peeled = spark.read.schema(stored.schema).parquet(*[f"{root}/batch={b}" for b in range(batch + 1)]).where("round is not null")
+            first = cleaned.where("flagged").select(*keys, age, tie, F.lit(0).alias("round"))
+            return first.unionByName(peeled.select(*keys, age, tie, "round"))
+        active, batch = stored.where("again and round is null").select(*columns), batch + 1
 
 
 def outlier_flags(df: DataFrame, pid: str, age: str, tie: str, specs: dict[str, tuple[str, tuple | None]],

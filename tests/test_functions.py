@@ -148,3 +148,14 @@ def test_materialize_keeps_schema_and_rows(spark):
     df = spark.range(5).withColumn("x", F.lit(None).cast("double"))
     again = materialize(df)
     assert [f.dataType for f in again.schema] == [f.dataType for f in df.schema] and again.count() == 5
+
+
+def test_cleanup_deletes_what_was_written(spark, tmp_path):
+    from tallyspan.functions import storage
+
+    kept, storage._made[:] = list(storage._made), []
+    try:
+        stored = storage.materialize(spark.range(5))
+        assert stored.count() == 5 and storage.cleanup(spark) == 1 and storage._made == []
+    finally:
+        storage._made[:] = kept
