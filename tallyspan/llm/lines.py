@@ -45,14 +45,27 @@ def _words(line: Column) -> Column:
     return F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def line_shingles(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, tid, line, place, hs): the lines long enough, with their distinct shingle hashes."""
+def _place() -> Column:
+    """Order of a line over the whole table; rows without an id come last."""
+    doc = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).cast("decimal(20,0)")
+    return (doc * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line")).cast("decimal(38,0)")
+
+
+def raw_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, tid, line, place, raw) of every line."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tid"),
                         F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line", "raw"))
-    words = lines.select("doc_id", "tid", "line", _words(F.col("raw")).alias("w")).where(F.size("w") >= size)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.xxhash64(F.slice("w", i, size)).bitwiseAND(F.lit(_LOW)))
-    place = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line")
-    return words.select("doc_id", "tid", "line", place.cast("decimal(38,0)").alias("place"), F.array_distinct(grams).alias("hs"))
+    return lines.withColumn("place", _place())
+
+
+def line_shingles(lines: DataFrame, size: int) -> DataFrame:
+    """The lines long enough, with ``hs``, their distinct shingle hashes, in place of the text."""
+    keep = [c for c in lines.columns if c != "raw"]
+    # The generator keeps the word hashes as a column; as an expression they would be worked out for every shingle anew.
+    hashed = lines.select(*keep, F.explode(F.array(F.transform(_words(F.col("raw")), lambda w: F.xxhash64(w)))).alias("w")).where(F.size("w") >= size)
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: F.xxhash64(
+        *[F.get(F.col("w"), (i + k).cast("int")) for k in range(size)]).bitwiseAND(F.lit(_LOW)))
+    return hashed.select(*keep, F.array_distinct(grams).alias("hs"))
 
 
 def frequency_classes(lines: DataFrame, bits: int) -> list[int]:
@@ -67,9 +80,9 @@ def frequency_classes(lines: DataFrame, bits: int) -> list[int]:
 def ordered_sets(lines: DataFrame, classes: list[int], bits: int) -> DataFrame:
     """Lines with ``ids``, their shingles in order of rarity, and ``s1, s2``, the key of the set."""
     table = F.from_json(F.lit(str(classes)), "array<tinyint>")  # folded into one constant of fixed size
-    ids = F.array_sort(F.transform("hs", lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(1 << bits)).cast("int")).cast("long"), 56).bitwiseOR(h)))
-    return lines.select("doc_id", "tid", "line", "place", ids.alias("ids")).withColumns(
-        {"s1": F.xxhash64("ids"), "s2": F.xxhash64(F.reverse("ids"))})
+    ids = F.sort_array(F.transform("hs", lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(1 << bits)).cast("int")).cast("long"), 56).bitwiseOR(h)))
+    kept = lines.select(*[c for c in lines.columns if c != "hs"], F.explode(F.array(ids)).alias("ids"))
+    return kept.withColumns({"s1": F.xxhash64("ids"), "s2": F.xxhash64(F.reverse("ids"))})
 
 
 def _bitmap(ids: Column) -> Column:
@@ -83,14 +96,20 @@ def _needed(a: Column, b: Column, threshold: float) -> Column:
     return F.ceil(F.lit(threshold) * (a + b) / F.lit(1 + threshold) - 1e-9)
 
 
-def first_matches(sets: DataFrame, threshold: float) -> DataFrame:
-    """(s1, s2, first): the earliest place of a line whose set equals or resembles the set."""
+def indexed_lines(sets: DataFrame, threshold: float) -> DataFrame:
+    """Per line what the index needs: set key, size, parity bitmap and prefix."""
     n = F.size("ids")
     prefix = F.slice("ids", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
-    folded = materialize(
-        sets.select("s1", "s2", "place", n.alias("n"), _bitmap(F.col("ids")).alias("map"), prefix.alias("prefix"))
-        .groupBy("s1", "s2").agg(F.min("place").alias("first"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("prefix").alias("prefix")),
-        "line-sets")
+    return sets.select("doc_id", "tid", "line", "place", "s1", "s2", n.alias("n"), _bitmap(F.col("ids")).alias("map"), prefix.alias("prefix"))
+
+
+def first_matches(indexed: DataFrame, threshold: float, whole_sets) -> DataFrame:
+    """(s1, s2, first): the earliest place of a line whose set equals or resembles the set.
+
+    ``whole_sets(places)`` gives (s1, s2, ids) of the lines at the given places.
+    """
+    folded = materialize(indexed.groupBy("s1", "s2").agg(
+        F.min("place").alias("first"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("prefix").alias("prefix")), "line-sets")
     index = folded.select("s1", "s2", "n", "map", F.posexplode("prefix").alias("at", "token"))
     a, b = index.alias("a"), index.alias("b")
     col = F.col
@@ -102,10 +121,12 @@ def first_matches(sets: DataFrame, threshold: float) -> DataFrame:
             & (F.bit_count(col("a.map").bitwiseXOR(col("b.map"))) <= col("a.n") + col("b.n") - 2 * need))  # difference
     pairs = materialize(a.join(b, rule).select(col("a.s1").alias("a1"), col("a.s2").alias("a2"), col("b.s1").alias("b1"), col("b.s2").alias("b2"))
                         .distinct(), "line-pairs")
-    wanted = materialize(pairs.select(col("a1").alias("s1"), col("a2").alias("s2")).union(pairs.select("b1", "b2")).distinct(), "line-wanted")
-    if wanted.count() <= BROADCAST_SETS:
-        wanted = F.broadcast(wanted)
-    whole = materialize(sets.select("s1", "s2", "ids").join(wanted, ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.first("ids").alias("ids")), "line-whole")
+    wanted = pairs.select(col("a1").alias("s1"), col("a2").alias("s2")).union(pairs.select("b1", "b2")).distinct()
+    wanted = materialize(folded.select("s1", "s2", "first").join(wanted, ["s1", "s2"], "left_semi"), "line-wanted")
+    small = wanted.count() <= BROADCAST_SETS
+    keys = wanted.select("s1", "s2")
+    whole = whole_sets(F.broadcast(wanted.select("first")) if small else wanted.select("first"))
+    whole = materialize(whole.join(F.broadcast(keys) if small else keys, ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.first("ids").alias("ids")), "line-whole")
     both = (pairs.join(whole.toDF("a1", "a2", "x"), ["a1", "a2"]).join(whole.toDF("b1", "b2", "y"), ["b1", "b2"])
             .where(F.size(F.array_intersect("x", "y")) >= _needed(F.size("x"), F.size("y"), threshold)))
     links = materialize(both.select("a1", "a2", "b1", "b2"), "line-links")
@@ -117,10 +138,14 @@ def first_matches(sets: DataFrame, threshold: float) -> DataFrame:
 
 def removed_lines(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
     """(doc_id, tid, gone): the numbers of the lines to remove, for texts that have any."""
-    lines = line_shingles(docs, size)
-    sets = ordered_sets(lines, frequency_classes(lines, bits), bits)
-    first = first_matches(sets, threshold)
-    late = sets.select("doc_id", "tid", "line", "place", "s1", "s2").join(first, ["s1", "s2"]).where("place > first")
+    lines = raw_lines(docs)
+    classes = frequency_classes(line_shingles(lines.select("raw"), size), bits)
+    sets = lambda rows: ordered_sets(line_shingles(rows, size), classes, bits)
+    indexed = materialize(indexed_lines(sets(lines), threshold), "lines")
+    # Only lines that take part in a pair are read a second time.
+    first = first_matches(indexed, threshold, lambda places: sets(
+        lines.select("place", "raw").join(places, F.col("place") == F.col("first"), "left_semi")).select("s1", "s2", "ids"))
+    late = indexed.select("doc_id", "tid", "line", "place", "s1", "s2").join(first, ["s1", "s2"]).where("place > first")
     return late.groupBy("doc_id", "tid").agg(F.collect_set("line").alias("gone"))
 
 
