@@ -7,7 +7,8 @@
 4. Every row is indexed in its most probable part.  A query visits its most
    probable parts until they hold ``mass`` of the probability, at least ``probes``
    of them, and in any case until they hold enough rows for a full answer; all rows there are
-   scored exactly on the original vectors.
+   scored exactly on the original vectors.  The first part's k-th score is the floor
+   for the others, so they return only rows that can still enter the answer.
 
 Large parts are cut into blocks of rows, and their visitors into blocks of
 queries, so no group grows with the input.  Each block returns at most ``k`` rows for a query.
@@ -162,10 +163,10 @@ def search(vectors: DataFrame, is_query, k: int = 20, probes: int = 4, mass: flo
             visit = (before < mass) | (np.arange(parts) < probes) | (found <= k)
             i, j = np.nonzero(visit)
             out = df.iloc[i][["vec_id", "v"]].reset_index(drop=True)
-            out["part"] = order[i, j]
-            yield out[["part", "vec_id", "v"]]
+            out["part"], out["turn"] = order[i, j], j
+            yield out[["part", "turn", "vec_id", "v"]]
 
-    asked = materialize(rows.where(is_query).mapInPandas(route, f"part long, vec_id long, v {kind}"), "asked")
+    asked = materialize(rows.where(is_query).mapInPandas(route, f"part long, turn long, vec_id long, v {kind}"), "asked")
     visitors = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect()}
     groups = np.array([max(1, -(-visitors.get(p, 0) // query_rows)) for p in range(parts)])
     lookup = lambda values: F.get(F.array(*[F.lit(int(v)) for v in values]), F.col("part").cast("int"))
@@ -181,19 +182,26 @@ def search(vectors: DataFrame, is_query, k: int = 20, probes: int = 4, mass: flo
             ids, x = b["vec_id"].to_numpy(), np.stack(b["v"].to_numpy()).astype(float)
             for at in range(0, len(q), 256):
                 some = q.iloc[at:at + 256]
-                y = np.stack(some["v"].to_numpy()).astype(float)
+                y, floor = np.stack(some["v"].to_numpy()).astype(float), some["floor"].fillna(-np.inf).to_numpy()
                 rough = y @ x.T
                 size = np.abs(y) @ np.abs(x).max(axis=0) * 1e-12
-                for own, vec, line, slack in zip(some["vec_id"], y, rough, size):
+                for own, vec, line, slack, known in zip(some["vec_id"], y, rough, size, floor):
                     line[ids == own] = -np.inf
-                    low = np.partition(line, -k)[-k] if len(line) > k else -np.inf
+                    low = max(known, np.partition(line, -k)[-k] if len(line) > k else -np.inf)
                     near = np.flatnonzero((line >= low - slack) & (line > -np.inf))
                     exact = (x[near] * vec).sum(axis=1)  # same order of sums for every row, so ties are ties
                     top = np.lexsort((ids[near], -exact))[:k]
                     out.append(pd.DataFrame({"query_id": own, "vec_id": ids[near][top], "score": exact[top]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    near = base.groupBy("part", "block", "ask").cogroup(ask.groupBy("part", "block", "ask")).applyInPandas(
-        best, "query_id long, vec_id long, score double")
+    def visits(some: DataFrame) -> DataFrame:
+        return base.groupBy("part", "block", "ask").cogroup(some.groupBy("part", "block", "ask")).applyInPandas(best, "query_id long, vec_id long, score double")
+
+    # The most probable part comes first; the others return only what its k-th score does not beat.
+    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    home = materialize(visits(ask.where("turn = 0").withColumn("floor", F.lit(None).cast("double"))).distinct()
+                       .withColumn("r", ranked).where(F.col("r") <= k), "home")
+    floors = home.where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    near = home.select("query_id", "vec_id", "score").union(visits(ask.where("turn > 0").join(floors, "vec_id", "left")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
