@@ -18,6 +18,7 @@ group has no other id; repeated rows repeat; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -138,14 +139,14 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> Dat
     return rows.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-# Near copies at a given similarity: the same method on several short fingerprints.
+# Near copies at a given similarity: the same method on several short fingerprints, then exact Jaccard.
 TABLES, KEY_BITS = 12, 24
 WORDS = TABLES * KEY_BITS // 64 + 1
+SMALL = 8  # buckets of up to so many rows give all their pairs at once
 
 
-def wide_fingerprint(text: bytes | None, size: int) -> np.ndarray:
-    """``WORDS`` fingerprints of 64 bits, each from its own mix of the shingle hashes."""
-    h = shingle_hashes(text, size)
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """``WORDS`` fingerprints of 64 bits of a set of shingle hashes, each from its own mix; every shingle votes once."""
     out = np.zeros(WORDS, np.uint64)
     for i in range(WORDS if len(h) else 0):
         x = h + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) % (1 << 64))
@@ -158,18 +159,20 @@ def wide_fingerprint(text: bytes | None, size: int) -> np.ndarray:
 
 
 def bits_apart(similarity: float) -> int:
-    """Differing bits of 128 that a pair of this Jaccard similarity has, plus one standard deviation."""
+    """Differing bits of 128 that a pair of this Jaccard similarity has, plus three standard deviations; only for candidates."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(128 * share + (128 * share * (1 - share)) ** 0.5)
+    return int(128 * share + 3 * (128 * share * (1 - share)) ** 0.5)
 
 
-def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Links (u, v) between nodes whose 128 check bits differ in at most ``radius`` places.
+def wide_links(nodes: DataFrame, radius: int, every: bool = False) -> DataFrame:
+    """Candidate links (u, v) between nodes whose 128 check bits differ in at most ``radius`` places.
 
-    ``nodes`` holds ``wide``.  Each of the short fingerprints is looked up within two bits: both
-    sides emit every variant within one bit and meet in the middle.
+    ``nodes`` holds (node, wide, root).  Each of the short fingerprints is looked up within two bits: both
+    sides emit every variant within one bit and meet in the middle.  Nodes of one root are not linked.
+    A crowded bucket gives a spanning forest, and (u, null) for every node whose pairs it leaves out;
+    with ``every`` it gives all pairs.
     """
-    schema, linked = arrow_schema("key long, a long, b long"), arrow_schema("u long, v long")
+    schema, linked = arrow_schema("key long, node long, root long, a long, b long"), arrow_schema("u long, v long")
     flips = np.concatenate(([0], 1 << np.arange(KEY_BITS))).astype(np.uint64)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,70 +183,138 @@ def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
                 bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")[:, :TABLES * KEY_BITS].reshape(len(wide), TABLES, KEY_BITS)
                 keys = bits.astype(np.uint64) @ (np.uint64(1) << np.arange(KEY_BITS, dtype=np.uint64)) + (np.arange(TABLES, dtype=np.uint64) << np.uint64(KEY_BITS))
                 keys = (keys[:, :, None] ^ flips).reshape(len(wide), -1)
-                a, b = (np.repeat(wide[:, i], keys.shape[1]).view(np.int64) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(a), pa.array(b)], schema=schema)
-
-    dealt = nodes.select("wide").mapInArrow(emit, "key long, a long, b long").repartition("key").sortWithinPartitions("key", "a")
-
-    def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-        out, root = [], np.arange(len(a))
-        for i in range(len(a) - 1):
-            far = np.bitwise_count(a[i + 1:] ^ a[i]) + np.bitwise_count(b[i + 1:] ^ b[i])
-            for j in (np.flatnonzero(far <= radius) + i + 1).tolist():
-                if root[j] != root[i]:
-                    out.append((int(a[i]), int(a[j])))
-                    root[root == root[j]] = root[i]
-        return out
+                n = keys.shape[1]
+                own = [np.repeat(batch.column(i).slice(at, 1024).to_numpy(), n) for i in (1, 2)]
+                own += [np.repeat(wide[:, i], n).view(np.int64) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys.ravel().view(np.int64), *own)], schema=schema)
+
+    dealt = nodes.select("wide", "node", "root").mapInArrow(emit, "key long, node long, root long, a long, b long")
+    if not every:  # every node is its own root, so the column need not travel
+        dealt = dealt.drop("root")
+    dealt = dealt.repartition("key").sortWithinPartitions("key", "node")
+
+    def crowded(node, root, a, b) -> Iterator[list[tuple[int, int | None]]]:
+        tree, left_out = np.unique(root, return_inverse=True)[1], np.zeros(len(node), bool)
+        for i in range(len(node) - 1 if tree.any() else 0):
+            near = np.flatnonzero(np.bitwise_count(a[i + 1:] ^ a[i]) + np.bitwise_count(b[i + 1:] ^ b[i]) <= radius) + i + 1
+            fresh = near[tree[near] != tree[i]]
+            if every:
+                yield [(int(node[i]), int(j)) for j in node[fresh]]
+                continue
+            out, tied = [], near[tree[near] == tree[i]]
+            while len(fresh):  # one edge for each other tree
+                j = int(fresh[0])
+                out.append((int(node[i]), int(node[j])))
+                same = tree[fresh] == tree[j]
+                tied = np.concatenate((tied, fresh[same][1:]))
+                tree[tree == tree[j]] = tree[i]
+                fresh = fresh[~same]
+            if len(tied):
+                left_out[i] = left_out[tied] = True
+            yield out
+        yield [(int(x), None) for x in node[left_out]]
+
+    def record(pairs) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], schema=linked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(k, a, b):
+        def solve(k, node, *more):
+            root, a, b = more if every else (node, *more)
+            a, b = a.view(np.uint64), b.view(np.uint64)
             found = set()
             if len(k):
                 starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
                 sizes = np.diff(np.append(starts, len(k)))
-                step = 1
-                small = sizes <= 8
+                small = sizes <= SMALL
                 inside = np.repeat(small, sizes)
-                while step < 8 and len(k) > step:  # pairs of small buckets, all buckets at a time
-                    at = np.flatnonzero((k[step:] == k[:-step]) & inside[step:])
+                for step in range(1, min(SMALL, len(k))):  # pairs of small buckets, all buckets at a time
+                    at = np.flatnonzero((k[step:] == k[:-step]) & inside[step:] & (root[step:] != root[:-step]))
                     ok = np.bitwise_count(a[at] ^ a[at + step]) + np.bitwise_count(b[at] ^ b[at + step]) <= radius
-                    found.update(zip(a[at[ok]].tolist(), a[at[ok] + step].tolist()))
-                    step += 1
+                    found.update(zip(node[at[ok]].tolist(), node[at[ok] + step].tolist()))
                 for s, n in zip(starts[~small].tolist(), sizes[~small].tolist()):
-                    found.update(forest(a[s:s + n], b[s:s + n]))
-            got = np.array([p for p in found if p[0] != p[1]], np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], schema=linked)
-
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+                    for pairs in crowded(*(x[s:s + n] for x in (node, root, a, b))):
+                        found.update(pairs)
+                        if len(found) > 200_000:
+                            yield record(found)
+                            found = set()
+            yield record(found)
+
+        rest = [np.zeros(0, np.int64)] * (5 if every else 4)
         for batch in batches:
-            own = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy().view(np.uint64)]
-            rest = [np.concatenate(x) for x in zip(rest, own)]
+            rest = [np.concatenate((x, c.to_numpy())) for x, c in zip(rest, batch.columns)]
             cut = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
-            yield solve(*(x[:cut] for x in rest))
+            yield from solve(*(x[:cut] for x in rest))
             rest = [x[cut:] for x in rest]
-        yield solve(*rest)
+        yield from solve(*rest)
 
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
+def verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The links (u, v) whose shingle sets have at least this Jaccard similarity; sets are made anew for linked texts only."""
+
+    def sets(nodes, texts):
+        return {"node": nodes, "hs": [np.unique(shingle_hashes(t, size)).tobytes() for t in texts]}
+
+    def alike(us, vs, xs, ys):
+        out = {"u": [], "v": []}
+        for u, v, x, y in zip(us, vs, xs, ys):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if common >= similarity * (len(x) + len(y) - common) - 1e-9:
+                out["u"].append(u)
+                out["v"].append(v)
+        return out
+
+    ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+    wanted = nodes.select("node", "tid").join(ends, "node")
+    texts = docs.select(text_key().alias("tid"), as_bytes().alias("text")).join(wanted.select("tid"), "tid", "left_semi").dropDuplicates(["tid"])
+    whole = materialize(map_batches(texts.join(wanted, "tid").select("node", "text"), sets, "node long, hs binary"), "shingle-sets")
+    both = links.join(whole.toDF("u", "x"), "u").join(whole.toDF("v", "y"), "v").select("u", "v", "x", "y")
+    return map_batches(both, alike, "u long, v long")
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Verified links (u, v) between nodes.
+
+    A forest of candidates says nothing about the pairs it leaves out once one of its links fails, so
+    nodes of crowded buckets are dealt a second time: all their pairs that verified links have not joined yet.
+    """
+    radius = bits_apart(similarity)
+    found = materialize(wide_links(nodes.withColumn("root", F.col("node")), radius), "candidates")
+    tried = found.where("v IS NOT NULL")
+    good = materialize(verified(tried, nodes, docs, size, similarity), "verified")
+    crowd = found.where("v IS NULL").select(F.col("u").alias("node"))
+    if crowd.isEmpty():
+        return good
+    again = nodes.join(crowd, "node", "left_semi").join(components(good), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = wide_links(again, radius, every=True).join(tried, ["u", "v"], "left_anti")
+    return good.union(verified(materialize(more, "candidates"), nodes, docs, size, similarity))
+
+
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The document with the smallest id of every group of copies and near copies, with all its columns.
 
-    Documents without an id come after all others; equal rows count as copies.
+    Near copies are linked by the exact Jaccard similarity of their shingle sets; fingerprints only find
+    candidates.  Documents without an id come after all others; equal rows, and texts with equal sets, count as copies.
     """
     def run(ids, keys, texts):
-        wide = [wide_fingerprint(t, size) for t in texts]
-        return {"doc_id": ids, "tid": keys, "fp": [signed(int(w[0])) for w in wide], "wide": [w.tobytes() for w in wide]}
+        sets = [np.unique(shingle_hashes(t, size)) for t in texts]
+        return {"doc_id": ids, "tid": keys, "sid": [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets],
+                "wide": [wide_fingerprint(h).tobytes() for h in sets]}
 
     key = text_key()
     rows = materialize(map_batches(docs.select(F.col("doc_id").cast("long"), key.alias("tid"), as_bytes().alias("text")), run,
-                                   "doc_id long, tid binary, fp long, wide binary"), "wide")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("wide").alias("wide")), "nodes")
-    roots = components(wide_links(nodes, bits_apart(similarity)))
+                                   "doc_id long, tid binary, sid binary, wide binary"), "wide")
+    # Written once, so the numbers stay as they are.
+    nodes = materialize(rows.groupBy("sid").agg(F.min("tid").alias("tid"), F.min("wide").alias("wide"))
+                        .withColumn("node", F.monotonically_increasing_id()), "nodes")
+    roots = components(near_links(docs, nodes, size, similarity))
+    groups = nodes.select("sid", "node").join(roots, "node", "left").select("sid", F.coalesce("root", "node").alias("root"))
     last = F.lit((1 << 63) - 1)
-    placed = (rows.select(F.coalesce("doc_id", last).alias("id"), "tid", "fp").join(roots, F.col("fp") == F.col("node"), "left")
-              .select("id", "tid", F.coalesce("root", "fp").alias("root")))
-    stay = placed.groupBy("root").agg(F.min(F.struct("id", "tid")).alias("s")).select(F.col("s.id").alias("__id"), F.col("s.tid").alias("__tid"))
+    # Copies fold to one row per set before the join.
+    placed = rows.groupBy("sid").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "tid")).alias("s")).join(groups, "sid")
+    stay = placed.groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.id").alias("__id"), F.col("s.tid").alias("__tid"))
     marked = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), last), "__k": key})
     kept = marked.join(stay.distinct(), (F.col("__d") == F.col("__id")) & (F.col("__k") == F.col("__tid")), "left_semi")
     return kept.dropDuplicates(["__d", "__k"]).drop("__d", "__k")
