@@ -65,9 +65,13 @@ class Notice:
             else:
                 merged.append([a, b])
                 end = b
-        for a, b in merged:
-            for m in self.pattern.finditer(text, a, min(b, len(text))):
+        rest = [(a, min(b, len(text))) for a, b in merged]
+        while rest:
+            a, b = rest.pop()
+            if m := self.pattern.search(text, a, b):
                 found.add((m.start(), m.end(), sum(m.fuzzy_counts)))
+                # The best match of all comes first: weaker ones may stand on either side, apart by the space before it.
+                rest += [(a, m.start() - 1)] * (a < m.start() - 1) + [(m.end(), b)] * (m.end() < b)
         return sorted(found)
 
 

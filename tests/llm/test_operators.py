@@ -222,6 +222,14 @@ def test_licenses(spark):
     assert out[7].labels == ""
 
 
+def test_edited_notices_side_by_side(spark):
+    texts = ["mit licence a mit licence b mit license c", "mozilla publc license or mozilla public license", "apache licens, apache license, mit licens; apache licence"]
+    rows = {r.doc_id: [(s.label, s.first_word, s.errors) for s in r.fuzzy] for r in licenses.scan(table(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)])).collect()}
+    assert rows[0] == [("mit", 0, 1), ("mit", 3, 1), ("mit", 6, 0)]
+    assert rows[1] == [("mpl", 0, 1), ("mpl", 4, 0)]
+    assert rows[2] == [("apache", 0, 1), ("apache", 2, 0), ("mit", 4, 1), ("apache", 6, 1)]
+
+
 # ---- 5
 
 def brute_lines(rows, size, threshold):
