@@ -31,6 +31,12 @@ def slots_filled(df: DataFrame, slots: list[str]) -> DataFrame:
     return counts.withColumn("slots", F.col("filled") * F.col("rows"))
 
 
+def lines_filled(lines: DataFrame, by: list[str]) -> DataFrame:
+    """The same over a tall table with one row per filled slot."""
+    counts = lines.groupBy(*by).agg(F.count("*").cast("int").alias("filled")).groupBy("filled").agg(F.count("*").alias("rows"))
+    return counts.withColumn("slots", F.col("filled") * F.col("rows"))
+
+
 def top_codes(codes: DataFrame, pid: str, code: Column, lookup: DataFrame, k: int = 25) -> DataFrame:
     """Most frequent codes with descriptions; the limit precedes the dictionary join."""
     top = codes.select(pid, code.alias("code")).where(F.trim("code") != "").groupBy("code").agg(

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import profiling as op
 from ..sources.contract import Contract, Field
 from .registry import query
-from .roles import SLOTS, Tables, with_roles
+from .roles import Tables, with_roles
 from .sources import VISITS, patients, visits
 
-SLOT_COLS = [f"enc_diag_{i}" for i in range(1, SLOTS + 1)]
 YEAR_BANDS = [("0-2", 0, 730), ("2-5", 730, 1826), ("5-12", 1826, 4383), ("12-20", 4383, 7305)]
 
 
@@ -49,7 +48,7 @@ def c03(t: Tables) -> DataFrame:
 
 @query("c04_distinct_slot_codes", with_roles("SELECT count(DISTINCT code) AS distinct_codes FROM visit_codes", "visit_codes"))
 def c04(t: Tables) -> DataFrame:
-    return op.distinct_slot_codes(t.visit_slots, SLOT_COLS)
+    return op.distinct_slot_codes(t.visit_codes, ["code"])
 
 
 @query("c05_category_range", with_roles("""SELECT encounter_type, count(*) AS n, min(bmi_percentile) AS min_value,

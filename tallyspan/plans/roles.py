@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 BASE = "region nation customer supplier part orders lineitem events documents labels".split()
-# Room for every line of an order; the reference layout has as many.
+# Columns of the wide layout at rest, as the reference has them; nothing is derived from it.
 SLOTS = 33
 
 
@@ -103,9 +103,12 @@ def visit_codes(d: Dialect) -> str:
 
 
 def visit_slots(d: Dialect) -> str:
-    """Wide diagnosis slots, as the visit table holds them at rest; repeated lines take further slots."""
+    """Wide diagnosis slots, as the visit table holds them at rest; repeated lines take further slots.
+
+    A sink only: ``overflow`` counts the codes of the visit that found no slot.
+    """
     slots = ", ".join(f"max(CASE WHEN place = {i} THEN code END) AS enc_diag_{i}" for i in range(1, SLOTS + 1))
-    return f"""SELECT patient_id, visit_id, age_in_days, {slots} FROM (
+    return f"""SELECT patient_id, visit_id, age_in_days, {slots}, count(CASE WHEN place > {SLOTS} THEN 1 END) AS overflow FROM (
       SELECT *, row_number() OVER (PARTITION BY patient_id, visit_id, age_in_days ORDER BY slot, code) AS place FROM ({visit_codes(d)}) vc) placed
       GROUP BY patient_id, visit_id, age_in_days"""
 

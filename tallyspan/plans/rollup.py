@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import materialize
 from ..operators import derive, rollup as op
-from .profiling import SLOT_COLS
 from .registry import query
 from .roles import Tables, with_roles
 
@@ -22,8 +21,8 @@ FLAGS_CTE = """flagged AS (SELECT *, cast(coalesce(bmi_percentile >= 95, false)
 
 
 def codes(t: Tables) -> DataFrame:
-    slots = t.visit_slots.withColumn("age_in_years", F.round(F.col("age_in_days") / 365.25, 3))
-    return op.all_codes(slots, PID, "age_in_years", SLOT_COLS, t.problem_list, "noted_age", "pl_diag")
+    lines = t.visit_codes.withColumn("age_in_years", F.round(F.col("age_in_days") / 365.25, 3))
+    return op.all_codes(lines, PID, "age_in_years", ["code"], t.problem_list, "noted_age", "pl_diag")
 
 
 def chronic(t: Tables) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import derive, explore, rollup, screens as op
 from .exploration import AGE, PAIRS_CTE, PID, pairs, rounded
-from .profiling import SLOT_COLS, YEAR_BANDS, band_sql
+from .profiling import YEAR_BANDS, band_sql
 from .registry import query
 from .roles import Tables, with_roles
 from .rollup import CODES_CTE, FIRST_CTE, PREFIXES, _LEAST, codes
@@ -23,7 +23,7 @@ def labels(t: Tables) -> DataFrame:
 @query("e36_slots_filled", with_roles("""SELECT cast(n AS INT) AS filled, count(*) AS rows, n * count(*) AS slots
     FROM (SELECT count(*) AS n FROM visit_codes GROUP BY patient_id, visit_id) s GROUP BY n""", "visit_codes"))
 def e36(t: Tables) -> DataFrame:
-    return op.slots_filled(t.visit_slots, SLOT_COLS)
+    return op.lines_filled(t.visit_codes, [PID, "visit_id"])
 
 
 LOOKUP_CTE = """book AS (SELECT replace(code, '.', '') AS key, min(description) AS description FROM named_codes WHERE chronic = 1 GROUP BY 1)"""

@@ -188,3 +188,23 @@ def test_patient_summary_defaults(spark):
     assert got == {"a": 1, "b": 0, "c": None}
     flags = spark.createDataFrame([(0, 0), (0, None), (1, 0)], "x int, y int")
     assert sorted(r.healthy_flag for r in rollup.all_clear_flag(flags, ["x", "y"]).collect()) == [0, 0, 1]
+
+
+def test_visits_with_more_lines_than_slots_keep_all_codes(spark, tmp_path):
+    from tallyspan.plans import load_all
+    from tallyspan.plans.registry import QUERIES
+    from tallyspan.plans.roles import Tables
+    from tallyspan.plans.rollup import codes
+
+    load_all()
+    spark.range(40).selectExpr("id % 2 AS l_orderkey", "id * 8 AS l_partkey", "cast(id AS INT) AS l_linenumber").where("l_orderkey = 0 OR l_partkey < 32").unionByName(
+        spark.range(20, 40).selectExpr("0L AS l_orderkey", "id * 80 + 8 AS l_partkey", "cast(id + 40 AS INT) AS l_linenumber")).selectExpr(
+        "*", "1L AS l_suppkey", "'N' AS l_returnflag", "60D AS l_quantity", "DATE '1996-01-01' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(2).selectExpr("id AS o_orderkey", "1L AS o_custkey", "DATE '1996-01-01' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    t = Tables(spark, str(tmp_path))
+    n = t.lineitem.count()
+    assert n == 42 and t.visit_codes.count() == n
+    assert codes(t).where("age_in_years IS NOT NULL").count() == n
+    assert QUERIES["c04_distinct_slot_codes"](spark, str(tmp_path)).first()[0] == t.visit_codes.select("code").distinct().count()
+    assert sorted(tuple(r) for r in QUERIES["e36_slots_filled"](spark, str(tmp_path)).collect()) == [(2, 1, 2), (40, 1, 40)]
+    assert sorted(r.overflow for r in t.visit_slots.collect()) == [0, 7]
