@@ -99,7 +99,7 @@ class Search:
         index = materialize(found.join(_small(chosen, n_terms + 1), "term").select("term", "tid", "place").distinct(), "index")
         self.lengths = index.where(F.col("term") == _END).select("tid", F.col("place").cast("long").alias("n_words"))
         self.index = index.where(F.col("term") != _END)
-        self.windows, self.probe = windows, probe
+        self.windows, self.probe, self.probes = windows, probe, probes
 
     def candidates(self) -> DataFrame:
         """(tid, window, start): starts on which the rarest terms of the window agree."""
@@ -124,16 +124,18 @@ class Search:
     def proximity(self, slop: int) -> DataFrame:
         """(tid, window, first, last): the rarest terms of a window within ``slop`` words of each other, in any order.
 
-        Places are cut into cells of ``slop`` words; each posting enters its own
-        cell and the one before, so every close set meets in one cell.
+        Every posting is tried as the first of a set: it is taken with the nearest posting
+        at or after it of each other term, so repeated terms hide nothing.
         """
-        hits = self.index.join(self.probe.select("window", "term", "wanted").distinct(), "term")
-        terms = self.probe.groupBy("window").agg(F.countDistinct("term").alias("need"))
-        own = F.floor(F.col("place") / slop)
-        cells = hits.select("tid", "window", "term", "place", F.explode(F.array(own, own - 1)).alias("cell"))
-        near = cells.groupBy("tid", "window", "cell").agg(F.countDistinct("term").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"))
-        return near.join(terms, "window").where((F.col("n") == F.col("need")) & (F.col("last") - F.col("first") <= slop)).select(
-            "tid", "window", "first", "last").distinct()
+        terms = self.probe.select("window", "term").distinct()
+        terms = terms.withColumns({"no": F.row_number().over(Window.partitionBy("window").orderBy("term")),
+                                   "need": F.count("*").over(Window.partitionBy("window"))})  # at most ``probes`` rows
+        hits = self.index.join(terms, "term").select("tid", "window", "no", "need", F.col("place").alias("first"))
+        # Backwards, so that the last value seen is the nearest one that follows.
+        onward = Window.partitionBy("tid", "window").orderBy(F.desc("first")).rowsBetween(Window.unboundedPreceding, 0)
+        after = F.array(*[F.last(F.when(F.col("no") == k, F.col("first")), ignorenulls=True).over(onward) for k in range(1, self.probes + 1)])
+        near = hits.withColumn("after", F.array_compact(after)).where(F.size("after") == F.col("need"))
+        return near.select("tid", "window", "first", F.array_max("after").alias("last")).where(F.col("last") - F.col("first") <= slop)
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, probes: int = PROBES) -> DataFrame:

@@ -201,6 +201,25 @@ def test_proximity(spark):
     assert search.phrases().count() == 0
 
 
+def test_proximity_with_repeated_terms(spark):
+    rng = random.Random(17)
+    texts = ["aa x aa " + "x " * 8 + "bb", "bb aa bb aa cc", "aa " * 5 + "bb cc " + "x " * 3 + "aa bb cc"]
+    texts += [" ".join(rng.choice(["aa", "bb", "cc", "x", "x", "x"]) for _ in range(40)) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    search = decontaminate.Search(docs, spark.createDataFrame([(1, "aa bb"), (2, "cc bb aa")], "item_id long, text string"))
+    key = lambda t: hashlib.sha256(t.encode()).digest()[:16]
+    want = set()
+    for t in texts:
+        w = t.split()
+        for item in ("aa bb", "cc bb aa"):
+            for i in [i for i, x in enumerate(w) if x in item.split()]:
+                if set(item.split()) <= set(w[i:i + 11]):
+                    want.add((key(t), hashlib.sha256(item.encode()).hexdigest(), i, max(w.index(x, i) for x in item.split())))
+    found = [(bytes(r.tid), r.window, r["first"], r["last"]) for r in search.proximity(10).collect()]
+    assert (key(texts[0]), hashlib.sha256(b"aa bb").hexdigest(), 2, 11) in found
+    assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_native_plans(spark):
     docs = table(spark, corpus(n=8))
     for df in (decontaminate.report(docs, spark.createDataFrame([(1, "w1 w2")], "item_id long, text string")), lines.digest(docs)):
