@@ -314,6 +314,27 @@ def test_network_learns_held_out_findings():
     assert np.mean(p == np.array([y for _, y in rows[400:]])) > 0.95
 
 
+def test_threshold_is_the_recall_quantile():
+    rng = random.Random(10)
+    key = lambda: "".join(rng.choice("0123456789abcdefXYZ") for _ in range(24))
+    word = lambda: "".join(rng.choice(["er", "th", "an", "on", "ing"]) for _ in range(9))
+    rows = [(key(), 1) for _ in range(320)] + [(word(), 1) for _ in range(80)] + [(word(), 0) for _ in range(400)]  # a fifth of the findings look like words
+    net = secrets.fit([(secrets.windows(x, 0, len(x))[0], y) for x, y in rows], epochs=4)
+    p = net.probability(net.logits([secrets.windows(x, 0, len(x))[0] for x, y in rows if y]))
+    assert net.threshold < 0.5 and (p >= net.threshold).mean() >= 0.95
+
+
+def test_runs_with_and_without_digits_are_scanned(spark):
+    text = "one QwRtZpLkJhGfDsXyVb two extraordinarily-long-words 9fK2mQx7Lr4TzW8pBn end 2024-01-01-some-slug"
+    docs = table(spark, [(1, text, "", "", 0)])
+    net = secrets.fit([])
+    net.threshold = 0.0
+    spans = [text[s.start:s.end] for s in secrets.scan(docs, net).first().spans]
+    assert spans == ["QwRtZpLkJhGfDsXyVb", "extraordinarily-long-words", "9fK2mQx7Lr4TzW8pBn", "2024-01-01-some-slug"]
+    views = [r.view for r in secrets.labelled_views(docs).collect()]
+    assert views and not any("9fK2mQx7Lr4TzW8pBn" in v[secrets.BEFORE:-secrets.AFTER] for v in views)
+
+
 # ---- 7
 
 def test_toxicity(spark):
