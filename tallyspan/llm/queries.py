@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_model, licenses, lines, neighbours, packing, secrets, simhash, substrings, toxicity
+from . import conversations, decontaminate, language_model, licenses, lines, neighbours, packing, quality, secrets, simhash, spelling, substrings, toxicity
 from .common import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,109 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+_COUNT = "cast(length(t) - length(regexp_replace(t, '[{}]', '', 'g')) AS DOUBLE)"
+_CLASS_SQL = ", ".join(_COUNT.format(c) for c in (
+    "a-z", "A-Z", "0-9", "\\x20\\x09-\\x0D", ".,;:!?''\"()\\-", "\\x23-\\x26\\x2A\\x2B/<=>@\\[\\\\\\]^_`{|}~\\x{80}-\\x{BF}",
+    "\\x{C0}-\\x{27F}", "\\x{280}-\\x{FFFF}", "\\x{10000}-\\x{10FFFF}", "\\x00-\\x08\\x0E-\\x1F\\x7F"))
+
+
+def _distance_sql(mine: str) -> str:
+    """Jensen-Shannon distance of each text's cells from its language's, by row number; ``mine`` holds (r, n, m)."""
+    return f"""SELECT r, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS dist
+      FROM (SELECT r, n / sum(n) OVER (PARTITION BY r) AS p, m / sum(m) OVER (PARTITION BY r) AS q FROM {mine}) GROUP BY r"""
+
+
+@query("op11_quality_rules", f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT r, doc_id, lang, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls,
+      {_WORDS.replace("coalesce(text, '')", "t")} AS aw, [{_CLASS_SQL}] AS cs FROM d),
+    runs AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) > 8)),
+    again AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT runs.r, unnest(range(i, i + 8)) AS p FROM runs
+      JOIN (SELECT r, g FROM runs GROUP BY r, g HAVING count(*) > 1) x ON runs.r = x.r AND runs.g = x.g) GROUP BY r),
+    long AS (SELECT * FROM w WHERE len(aw) >= 50),
+    counted AS (SELECT lang, word, count(*) AS m FROM (SELECT lang, unnest(aw) AS word FROM long) GROUP BY lang, word),
+    known AS (SELECT lang, sum(m) AS total FROM counted GROUP BY lang HAVING sum(m) >= 2000),
+    top AS (SELECT counted.lang, word, m FROM counted JOIN known ON counted.lang IS NOT DISTINCT FROM known.lang
+      QUALIFY row_number() OVER (PARTITION BY counted.lang ORDER BY m DESC, word) <= 100),
+    cells AS (SELECT lang, word, cast(m AS DOUBLE) AS m FROM top
+      UNION ALL SELECT known.lang, NULL, cast(any_value(total) - sum(m) AS DOUBLE) FROM known JOIN top ON known.lang IS NOT DISTINCT FROM top.lang GROUP BY known.lang),
+    mine AS (SELECT r, word, cast(count(*) AS DOUBLE) AS n FROM (SELECT x.r, top.word AS word FROM (SELECT r, lang, unnest(aw) AS word FROM long) x
+      LEFT JOIN top ON x.lang IS NOT DISTINCT FROM top.lang AND x.word = top.word) GROUP BY r, word),
+    by_word AS ({_distance_sql("(SELECT long.r, coalesce(n, 0) AS n, m FROM long JOIN cells ON long.lang IS NOT DISTINCT FROM cells.lang LEFT JOIN mine ON mine.r = long.r AND mine.word IS NOT DISTINCT FROM cells.word)")}),
+    class AS (SELECT lang, k, sum(cs[k]) AS m FROM (SELECT lang, cs, unnest(range(1, 11)) AS k FROM long) GROUP BY lang, k),
+    by_class AS ({_distance_sql("(SELECT x.r, cs[x.k] AS n, m FROM (SELECT r, lang, cs, unnest(range(1, 11)) AS k FROM w WHERE length(t) >= 200) x JOIN known ON x.lang IS NOT DISTINCT FROM known.lang JOIN class ON class.lang IS NOT DISTINCT FROM x.lang AND class.k = x.k)")})
+    SELECT doc_id, cast(len(ws) AS BIGINT) AS n_words, cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+      length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, cast(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+      coalesce(again.n, 0) AS n_repeat_words, len(ws) < 20 OR 100 * coalesce(again.n, 0) > 30 * len(ws) AS base_failed,
+      NOT (len(ws) < 20 OR 100 * coalesce(again.n, 0) > 30 * len(ws)) AND coalesce(by_word.dist, 0) <= 0.55 AND coalesce(by_class.dist, 0) <= 0.3 AS kept
+    FROM w LEFT JOIN again ON w.r = again.r LEFT JOIN by_word ON w.r = by_word.r LEFT JOIN by_class ON w.r = by_class.r""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents")).drop("word_distance", "class_distance")
+
+
+# crc32 of a text, from the table of its 256 one-byte steps.
+_CRC_TABLE = """SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS steps FROM range(256) x(b)"""
+
+
+def _crc_sql(text: str) -> str:
+    octets = f"list_transform(range(1, cast(octet_length(encode({text})) AS BIGINT) + 1), lambda i: cast('0x' || substr(hex(encode({text})), 2 * i - 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+@query("op12_conversation_repair", f"""
+    WITH RECURSIVE crc AS ({_CRC_TABLE}),
+    hashed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, key FROM (SELECT *,
+      coalesce(cast(conv_id AS VARCHAR), ' ') || ':' || coalesce(cast(turn AS VARCHAR), ' ') AS key FROM conversations)),
+    damaged AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+      CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+      FROM (SELECT hashed.*, {_crc_sql("key")} % 20 AS h FROM hashed, crc)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+      row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM damaged),
+    faults AS (SELECT *, substr(role, 1, 1) AS x, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS px FROM placed),
+    summary AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+      count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+      count(*) FILTER (px IS NOT NULL AND px || x NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faults GROUP BY conv_id),
+    edits(q, fix, x, e, c, q2, said) AS (VALUES ('', 0, '', 'D', 4, '', ''), ('s', 0, '', 'D', 4, 's', ''), ('u', 0, '', 'D', 4, 'u', ''), ('a', 0, '', 'D', 4, 'a', ''),
+      ('', 1, 's', 'K', 0, 's', ''), ('', 1, 'u', 'K', 0, 'u', ''), ('s', 1, 'u', 'K', 0, 'u', ''), ('u', 1, 'a', 'K', 0, 'a', ''), ('a', 1, 'u', 'K', 0, 'u', ''),
+      ('', 1, '', 'R', 3, 'u', 'user'), ('s', 1, '', 'R', 3, 'u', 'user'), ('u', 1, '', 'R', 3, 'a', 'assistant'), ('a', 1, '', 'R', 3, 'u', 'user')),
+    put(q, q2, e, lines) AS (VALUES ('', '', '', ['']), ('s', 's', '', ['']), ('u', 'u', '', ['']), ('a', 'a', '', ['']), ('', 'u', 'I', ['user:']), ('s', 'u', 'I', ['user:']), ('u', 'a', 'I', ['assistant:']), ('a', 'u', 'I', ['user:']),
+      ('', 'a', 'II', ['user:', 'assistant:']), ('s', 'a', 'II', ['user:', 'assistant:']), ('u', 'u', 'II', ['assistant:', 'user:']), ('a', 'a', 'II', ['user:', 'assistant:'])),
+    walk AS (SELECT conv_id, cast(0 AS BIGINT) AS i, '' AS q, cast(0 AS BIGINT) AS cost, '' AS audit, cast([] AS VARCHAR[]) AS lines FROM summary
+      UNION ALL SELECT conv_id, i, q2, b.cost, b.audit, b.lines FROM (
+        SELECT walk.conv_id, faults.i, edits.q2, min({{'cost': cast(walk.cost + 3 * length(put.e) + edits.c + CASE WHEN edits.e <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS BIGINT),
+          'audit': walk.audit || put.e || edits.e, 'lines': list_concat(walk.lines, list_filter(put.lines, lambda l: l <> ''),
+            CASE edits.e WHEN 'D' THEN cast([] AS VARCHAR[]) WHEN 'K' THEN [faults.role || ':' || faults.text] ELSE [said || ':' || faults.text] END)}}) AS b
+        FROM walk JOIN faults ON faults.conv_id IS NOT DISTINCT FROM walk.conv_id AND faults.i = walk.i + 1 JOIN put ON put.q = walk.q
+          JOIN edits ON edits.q = put.q2 AND (edits.e = 'D' OR fault NOT IN ('blank', 'duplicate')) AND (edits.e <> 'K' OR edits.x = faults.x)
+        GROUP BY walk.conv_id, faults.i, edits.q2)),
+    ends AS (SELECT walk.conv_id, min({{'cost': walk.cost + 3 * length(put.e), 'audit': walk.audit || put.e, 'lines': list_concat(walk.lines, list_filter(put.lines, lambda l: l <> ''))}}) AS b
+      FROM walk JOIN summary ON summary.conv_id IS NOT DISTINCT FROM walk.conv_id AND walk.i = summary.n JOIN put ON put.q = walk.q AND put.q2 IN ('', 'a') GROUP BY walk.conv_id)
+    SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+      coalesce(illegal, 0) AS illegal, coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit, sha256(array_to_string(coalesce(b.lines, []), chr(10))) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN summary ON summary.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM c.conv_id""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_spelling_variants", f"""
+    WITH RECURSIVE crc AS ({_CRC_TABLE}),
+    runs AS (SELECT d, run, count(*) AS k FROM (SELECT coalesce(cast(doc_id AS VARCHAR), '') AS d,
+      unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) GROUP BY d, run),
+    hashed AS (SELECT run, k, {_crc_sql("d || ':' || run")} AS h FROM runs, crc WHERE length(run) >= 5),
+    words AS (SELECT word, cast(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 97 = 0 THEN substr(run, 1, cast(h % length(run) AS BIGINT)) || substr(run, cast(h % length(run) AS BIGINT) + 2) ELSE run END AS word
+      FROM hashed) WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+    cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    pairs AS (SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT cut.word, words.word FROM cut JOIN words ON cut.rest = words.word UNION SELECT words.word, cut.word FROM cut JOIN words ON cut.rest = words.word),
+    near AS (SELECT a, count(*) AS n_near, min({{'m': -n, 'w': b}}) AS best FROM pairs JOIN words ON words.word = b GROUP BY a),
+    formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 2 * n THEN best.w END AS form, CASE WHEN -best.m >= 2 * n THEN -best.m END AS form_n
+      FROM words LEFT JOIN near ON a = word),
+    chain AS (SELECT word, word AS root FROM formed UNION ALL SELECT chain.word, form FROM chain JOIN formed ON formed.word = chain.root WHERE form IS NOT NULL),
+    ended AS (SELECT chain.word, root FROM chain JOIN formed ON formed.word = root WHERE form IS NULL)
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN ended USING (word)""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(table(spark, sf_dir, "documents"))
