@@ -81,3 +81,13 @@ def map_batches(df: DataFrame, fn, ddl: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     return df.mapInArrow(run, ddl)
+
+
+def unused(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that the frame does not have."""
+    taken, out, k = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if (name := f"__c{k}") not in taken:
+            out.append(name)
+        k += 1
+    return out

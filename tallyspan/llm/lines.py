@@ -1,28 +1,26 @@
 """Line dedup by an exact set-similarity join; only DataFrame functions are used.
 
-A line is the set of its shingles of ``size`` words.  A line goes if an earlier
-line (smaller doc_id, then line number) has an equal set or one with a Jaccard
-similarity of ``threshold`` or more, whether or not that one stays itself.
+A line is the set of its words, A-Z lower-cased.  A line goes if an earlier line (smaller doc_id, then line
+number) has an equal set or one with a Jaccard similarity of ``threshold`` or more, whether or not that
+one stays itself.
 
-1. Shingles get an order by rarity: a table of ``2**bits`` counters over all
-   lines (collected, so of fixed size whatever the input) puts each into a
-   frequency class; within a class the hash decides.  The join is exact under any
+1. Words get an order by rarity: ``2**bits`` counters over all texts (collected, so of fixed size whatever the
+   input) put each into a frequency class; within a class the hash decides.  The join is exact under any
    order; a good one keeps the lists short.
 2. Equal sets are folded, with the place of their first line.
-3. Each set enters the index under its prefix, the rarest shingles, as many as
-   the threshold asks for.  Pairs that meet are tested in the join itself: length
-   filter, positional filter, and a parity bitmap whose differing bits bound
-   the sets' difference from below.  Failing pairs never leave the join.
-4. The remaining pairs are verified on whole sets.  Shingles are compared by a
-   56-bit hash.
-
-Folding and counts are combined before each shuffle, so a line that stands
-everywhere is one row per task.
-
-Defined results: null texts have no lines; lines of fewer than ``size`` words
-always stay; rows that share a doc_id (or have none: last in order) tie and do
-not remove each other's line of the same number; repeated rows fare alike; an
-empty table gives an empty result; clashing extra columns are carried untouched.
+3. Each set enters the index under its prefix, the rarest words, as many as the threshold asks for.  Sets
+   of so few words that only an equal one is similar need no index.
+4. A set goes as soon as *one* earlier set is similar, so no family of similar lines is listed pair by pair.  In
+   each list a set first meets the first set of the list and the one before it: two candidates a list, however long it is.  Only sets
+   that these do not settle meet the rest of their lists, by size classes.
+5. Candidates must pass the length and the positional filter and a parity bitmap whose differing bits bound
+   the sets' difference from below.  What passes is verified on the words themselves.
+
+Folding and counts are combined before each shuffle, so a line that stands everywhere is one row per task.
+
+Defined results: null texts have no lines; lines without a word always stay; rows that share a doc_id (or have
+none: last in order) tie and do not remove each other's line of the same number; repeated rows fare alike; an empty
+table gives an empty result; extra columns are carried untouched, whatever they are called.
 """
 
 from __future__ import annotations
@@ -30,19 +28,19 @@ from __future__ import annotations
 import math
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_key
+from .common import materialize, text_key, unused
 
-SIZE, THRESHOLD, BITS = 5, 0.8, 17
-BROADCAST_SETS = 1_000_000
+THRESHOLD, BITS = 0.8, 13
+BROADCAST_DOCUMENTS = 100_000  # keys of 16 bytes: a few megabytes
 _LOW = (1 << 56) - 1
+_FOLD = (string.ascii_uppercase + "\t\v\f\r", string.ascii_lowercase + " " * 4)
 
 
 def _words(line: Column) -> Column:
-    low = F.translate(line, string.ascii_uppercase, string.ascii_lowercase)
-    return F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(line, *_FOLD), " "), "")
 
 
 def _place() -> Column:
@@ -58,19 +56,10 @@ def raw_lines(docs: DataFrame) -> DataFrame:
     return lines.withColumn("place", _place())
 
 
-def line_shingles(lines: DataFrame, size: int) -> DataFrame:
-    """The lines long enough, with ``hs``, their distinct shingle hashes, in place of the text."""
-    keep = [c for c in lines.columns if c != "raw"]
-    # The generator keeps the word hashes as a column; as an expression they would be worked out for every shingle anew.
-    hashed = lines.select(*keep, F.explode(F.array(F.transform(_words(F.col("raw")), lambda w: F.xxhash64(w)))).alias("w")).where(F.size("w") >= size)
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: F.xxhash64(
-        *[F.get(F.col("w"), (i + k).cast("int")) for k in range(size)]).bitwiseAND(F.lit(_LOW)))
-    return hashed.select(*keep, F.array_distinct(grams).alias("hs"))
-
-
-def frequency_classes(lines: DataFrame, bits: int) -> list[int]:
-    """Frequency class (0-126, four steps to a doubling) of each of ``2**bits`` counters."""
-    rows = lines.select(F.explode("hs").alias("h")).groupBy(F.pmod("h", F.lit(1 << bits)).alias("b")).count().collect()
+def frequency_classes(docs: DataFrame, bits: int) -> list[int]:
+    """Frequency class (0-126, four steps to a doubling) of each of ``2**bits`` counters of words."""
+    words = docs.select(F.explode(F.split(F.translate(F.col("text").cast("string"), _FOLD[0] + "\n", _FOLD[1] + " "), " ")).alias("w")).where("w <> ''")
+    rows = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(1 << bits)).alias("b")).count().collect()
     out = [0] * (1 << bits)
     for r in rows:
         out[r["b"]] = min(126, round(4 * math.log2(1 + r["count"])))
@@ -78,15 +67,17 @@ def frequency_classes(lines: DataFrame, bits: int) -> list[int]:
 
 
 def ordered_sets(lines: DataFrame, classes: list[int], bits: int) -> DataFrame:
-    """Lines with ``ids``, their shingles in order of rarity, and ``s1, s2``, the key of the set."""
+    """Lines that have a word, with ``ids``, the hashes of their words in order of rarity, in place of the text."""
+    keep = [c for c in lines.columns if c != "raw"]
     table = F.from_json(F.lit(str(classes)), "array<tinyint>")  # folded into one constant of fixed size
-    ids = F.sort_array(F.transform("hs", lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(1 << bits)).cast("int")).cast("long"), 56).bitwiseOR(h)))
-    kept = lines.select(*[c for c in lines.columns if c != "hs"], F.explode(F.array(ids)).alias("ids"))
-    return kept.withColumns({"s1": F.xxhash64("ids"), "s2": F.xxhash64(F.reverse("ids"))})
+    # The generators keep arrays as columns; as expressions they would be worked out anew by each use.
+    hashed = lines.select(*keep, F.explode(F.array(F.array_distinct(F.transform(_words(F.col("raw")), lambda w: F.xxhash64(w))))).alias("hs")).where(F.size("hs") > 0)
+    ids = F.sort_array(F.transform("hs", lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(1 << bits)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))))
+    return hashed.select(*keep, F.explode(F.array(ids)).alias("ids"))
 
 
 def _bitmap(ids: Column) -> Column:
-    """Bit b is the parity of the number of shingles that fall on b."""
+    """Bit b is the parity of the number of words that fall on b."""
     ones = F.array(*[F.lit((1 << b) - (1 << 64) * (b == 63)) for b in range(64)])
     return F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.element_at(ones, (F.pmod(x, F.lit(64)) + 1).cast("int"))))
 
@@ -96,72 +87,103 @@ def _needed(a: Column, b: Column, threshold: float) -> Column:
     return F.ceil(F.lit(threshold) * (a + b) / F.lit(1 + threshold) - 1e-9)
 
 
-def indexed_lines(sets: DataFrame, threshold: float) -> DataFrame:
-    """Per line what the index needs: set key, size, parity bitmap and prefix."""
-    n = F.size("ids")
-    prefix = F.slice("ids", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
-    return sets.select("doc_id", "tid", "line", "place", "s1", "s2", n.alias("n"), _bitmap(F.col("ids")).alias("map"), prefix.alias("prefix"))
+def _smallest_with_others(threshold: float) -> int:
+    """The least size at which a set of another kind can be similar: below, only equal sets are."""
+    n = 1
+    while n / (n + 1) < threshold - 1e-9:  # n words within n + 1 are the closest pair of different sets
+        n += 1
+    return n
 
 
-def first_matches(indexed: DataFrame, threshold: float, whole_sets) -> DataFrame:
-    """(s1, s2, first): the earliest place of a line whose set equals or resembles the set.
-
-    ``whole_sets(places)`` gives (s1, s2, ids) of the lines at the given places.
-    """
-    folded = materialize(indexed.groupBy("s1", "s2").agg(
-        F.min("place").alias("first"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("prefix").alias("prefix")), "line-sets")
-    index = folded.select("s1", "s2", "n", "map", F.posexplode("prefix").alias("at", "token"))
-    a, b = index.alias("a"), index.alias("b")
+def indexed_lines(sets: DataFrame, threshold: float) -> DataFrame:
+    """Per line what the index needs: set key, size, parity bitmap and prefix (none where only equal sets are similar)."""
+    n, few = F.size("ids"), _smallest_with_others(threshold)
+    prefix = F.slice("ids", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
+    return sets.select("doc_id", "tid", "line", "place", F.xxhash64("ids").alias("s1"), F.xxhash64(F.reverse("ids")).alias("s2"), n.alias("n"),
+                       F.when(n >= few, _bitmap(F.col("ids"))).alias("map"), F.when(n >= few, prefix).alias("prefix"))
+
+
+def _compatible(x: str, y: str, threshold: float) -> Column:
+    """The filters on two postings, given by the prefixes of their columns."""
+    c = lambda side, name: F.col(side + name)
+    need = _needed(c(x, "n"), c(y, "n"), threshold)
+    return ((F.least(c(x, "n"), c(y, "n")) >= F.lit(threshold) * F.greatest(c(x, "n"), c(y, "n")) - 1e-9)  # length
+            & (F.least(c(x, "n") - c(x, "at"), c(y, "n") - c(y, "at")) >= need)  # position
+            & (F.bit_count(c(x, "map").bitwiseXOR(c(y, "map"))) <= c(x, "n") + c(y, "n") - 2 * need))  # difference
+
+
+def _size_class(n: Column, threshold: float) -> Column:
+    """Sizes within the threshold of each other lie in the same class or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / -math.log(threshold) + 1e-9).cast("int")
+
+
+def similar_sets(pairs: DataFrame, folded: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(s1, s2) of the pairs (s1, s2, o1, o2) that are similar, each verified on the words of a line of either set."""
+    pairs = materialize(pairs.distinct(), "line-pairs")
+    ends = pairs.select("s1", "s2").union(pairs.select("o1", "o2")).distinct()
+    wanted = materialize(folded.select("s1", "s2", "first", "tid").join(ends, ["s1", "s2"], "left_semi"), "line-wanted")
+    last = F.lit((1 << 63) - 1)
+    owners = wanted.select(F.floor(F.col("first") / F.lit(1 << 31)).cast("long").alias("owner")).distinct()
+    few = owners.limit(BROADCAST_DOCUMENTS + 1).count() <= BROADCAST_DOCUMENTS
+    id_of = F.coalesce(F.col("doc_id").cast("long"), last)
+    chosen = docs.join(F.broadcast(owners) if few else owners, id_of == F.col("owner"), "left_semi")
+    # Rows of one id tie in place; the text tells which of them is meant.
+    lines = raw_lines(chosen).select("place", "raw", "tid").join(wanted.withColumnRenamed("first", "place"), ["place", "tid"])
+    whole = lines.select("s1", "s2", F.explode(F.array(F.array_distinct(_words(F.col("raw"))))).alias("ws"))
+    whole = materialize(whole, "line-words")
     col = F.col
-    need = _needed(col("a.n"), col("b.n"), threshold)
-    rule = ((col("a.token") == col("b.token"))
-            & ((col("a.n") < col("b.n")) | ((col("a.n") == col("b.n")) & ((col("a.s1") < col("b.s1")) | ((col("a.s1") == col("b.s1")) & (col("a.s2") < col("b.s2"))))))
-            & (col("a.n") >= F.lit(threshold) * col("b.n") - 1e-9)  # length
-            & (F.least(col("a.n") - col("a.at"), col("b.n") - col("b.at")) >= need)  # position
-            & (F.bit_count(col("a.map").bitwiseXOR(col("b.map"))) <= col("a.n") + col("b.n") - 2 * need))  # difference
-    pairs = materialize(a.join(b, rule).select(col("a.s1").alias("a1"), col("a.s2").alias("a2"), col("b.s1").alias("b1"), col("b.s2").alias("b2"))
-                        .distinct(), "line-pairs")
-    wanted = pairs.select(col("a1").alias("s1"), col("a2").alias("s2")).union(pairs.select("b1", "b2")).distinct()
-    wanted = materialize(folded.select("s1", "s2", "first").join(wanted, ["s1", "s2"], "left_semi"), "line-wanted")
-    small = wanted.count() <= BROADCAST_SETS
-    keys = wanted.select("s1", "s2")
-    whole = whole_sets(F.broadcast(wanted.select("first")) if small else wanted.select("first"))
-    whole = materialize(whole.join(F.broadcast(keys) if small else keys, ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.first("ids").alias("ids")), "line-whole")
-    both = (pairs.join(whole.toDF("a1", "a2", "x"), ["a1", "a2"]).join(whole.toDF("b1", "b2", "y"), ["b1", "b2"])
-            .where(F.size(F.array_intersect("x", "y")) >= _needed(F.size("x"), F.size("y"), threshold)))
-    links = materialize(both.select("a1", "a2", "b1", "b2"), "line-links")
-    links = links.union(links.select("b1", "b2", "a1", "a2"))
-    place = folded.select("s1", "s2", "first")
-    other = (links.join(place.toDF("b1", "b2", "first"), ["b1", "b2"]).groupBy(col("a1").alias("s1"), col("a2").alias("s2")).agg(F.min("first").alias("first")))
-    return place.union(other).groupBy("s1", "s2").agg(F.min("first").alias("first"))
-
-
-def removed_lines(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
+    both = pairs.join(whole.select("s1", "s2", col("ws").alias("x")), ["s1", "s2"]).join(whole.select(col("s1").alias("o1"), col("s2").alias("o2"), col("ws").alias("y")), ["o1", "o2"])
+    return materialize(both.where(F.size(F.array_intersect("x", "y")) >= _needed(F.size("x"), F.size("y"), threshold)).select("s1", "s2").distinct(), "line-similar")
+
+
+def covered_sets(folded: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(s1, s2) of the sets that resemble a set with an earlier first line."""
+    postings = folded.where("prefix IS NOT NULL").select("s1", "s2", "first", "n", "map", F.posexplode("prefix").alias("at", "token"))
+    mine = F.struct("s1", "s2", "n", "map", "at")
+    # Sets of one place (equal ids) are no reason for each other; they are sorted out below by ``first``.
+    by_place = Window.partitionBy("token").orderBy("first", "s1", "s2")
+    seen = materialize(postings.withColumns({
+        "nth": F.row_number().over(by_place), "head": F.first(F.struct("first", mine.alias("set"))).over(by_place),
+        "prior": F.lag(F.struct("first", mine.alias("set"))).over(by_place)}).where("nth > 1"), "line-postings")
+    met = []
+    for side in ("head", "prior"):
+        o = seen.select("s1", "s2", "first", "n", "map", "at", F.col(f"{side}.first").alias("o_first"), *[F.col(f"{side}.set.{c}").alias(f"o_{c}") for c in ("s1", "s2", "n", "map", "at")])
+        met.append(o.where((F.col("o_first") < F.col("first")) & _compatible("", "o_", threshold)).select("s1", "s2", F.col("o_s1").alias("o1"), F.col("o_s2").alias("o2")))
+    settled = similar_sets(met[0].union(met[1]), folded, docs, threshold)
+    # The rest looks through its whole lists; a set that is second in a list has met all of it.
+    open_ = seen.where("nth > 2").select("s1", "s2", "first", "n", "map", "at", "token").join(settled, ["s1", "s2"], "left_anti")
+    low, high = F.ceil(F.col("n") * F.lit(threshold) - 1e-9), F.floor(F.col("n") / F.lit(threshold) + 1e-9)
+    asked = open_.withColumn("size", F.explode(F.sequence(_size_class(low, threshold), _size_class(high, threshold))))
+    index = postings.select(*[F.col(c).alias(f"o_{c}") for c in ("s1", "s2", "first", "n", "map", "at", "token")], _size_class(F.col("n"), threshold).alias("o_size"))
+    more = asked.join(index, (F.col("token") == F.col("o_token")) & (F.col("size") == F.col("o_size")) & (F.col("o_first") < F.col("first")) & _compatible("", "o_", threshold))
+    return settled.union(similar_sets(more.select("s1", "s2", F.col("o_s1").alias("o1"), F.col("o_s2").alias("o2")), folded, docs, threshold))
+
+
+def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
     """(doc_id, tid, gone): the numbers of the lines to remove, for texts that have any."""
-    lines = raw_lines(docs)
-    classes = frequency_classes(line_shingles(lines.select("raw"), size), bits)
-    sets = lambda rows: ordered_sets(line_shingles(rows, size), classes, bits)
-    indexed = materialize(indexed_lines(sets(lines), threshold), "lines")
-    # Only lines that take part in a pair are read a second time.
-    first = first_matches(indexed, threshold, lambda places: sets(
-        lines.select("place", "raw").join(places, F.col("place") == F.col("first"), "left_semi")).select("s1", "s2", "ids"))
-    late = indexed.select("doc_id", "tid", "line", "place", "s1", "s2").join(first, ["s1", "s2"]).where("place > first")
+    docs = docs.select("doc_id", "text")
+    indexed = materialize(indexed_lines(ordered_sets(raw_lines(docs), frequency_classes(docs, bits), bits), threshold), "lines")
+    folded = materialize(indexed.groupBy("s1", "s2").agg(
+        F.min(F.struct("place", "tid")).alias("f"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("prefix").alias("prefix")).select(
+        "s1", "s2", F.col("f.place").alias("first"), F.col("f.tid").alias("tid"), "n", "map", "prefix"), "line-sets")
+    covered = covered_sets(folded, docs, threshold).withColumn("covered", F.lit(True))
+    first = folded.select("s1", "s2", "first").join(covered, ["s1", "s2"], "left")
+    late = indexed.select("doc_id", "tid", "line", "place", "s1", "s2").join(first, ["s1", "s2"]).where("covered OR place > first")
     return late.groupBy("doc_id", "tid").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
-    """All rows and columns, with ``text`` cut to the lines that stay, and (__lines, __gone) counts."""
-    gone = removed_lines(docs, size, threshold, bits).toDF("__d", "__t", "__g")
-    marked = docs.withColumn("__k", text_key()).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__t")), "left")
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BITS, counts: tuple[str, str] | None = None) -> DataFrame:
+    """All rows and columns, with ``text`` cut to the lines that stay; ``counts`` names two more columns for the lines and the removed ones."""
+    d, t, g, k = unused(docs, 4)
+    gone = removed_lines(docs, threshold, bits).toDF(d, t, g)
+    marked = docs.withColumn(k, text_key()).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(k) == F.col(t)), "left")
     parts = F.split(F.col("text").cast("string"), "\n", -1)
-    kept = F.when(F.col("__g").isNull(), F.col("text").cast("string")).otherwise(
-        F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__g", i)), "\n"))
-    counts = {"__lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)), "__gone": F.coalesce(F.size("__g"), F.lit(0))}
+    kept = F.when(F.col(g).isNull(), F.col("text").cast("string")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(g, i)), "\n"))
+    numbers = (F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)), F.coalesce(F.size(g), F.lit(0)))
     return marked.select(*[kept.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-                         *[v.cast("long").alias(k) for k, v in counts.items()])
+                         *[v.cast("long").alias(name) for name, v in zip(counts or (), numbers)])
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
-    out = dedup_lines(docs.select("doc_id", "text"), **options)
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"),
-                      F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    out = dedup_lines(docs.select("doc_id", "text"), counts=("n_lines", "n_removed"), **options)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

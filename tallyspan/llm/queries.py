@@ -77,17 +77,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_line_dedup", """
     WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
-    w AS (SELECT doc_id, line, list_filter(regexp_split_to_array(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM l),
-    g AS (SELECT doc_id, line, list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS hs
-      FROM w WHERE len(ws) >= 5),
-    s AS (SELECT hs, row_number() OVER (ORDER BY hs) AS sid, first FROM (SELECT hs, min((doc_id, line)) AS first FROM g GROUP BY hs)),
-    e AS (SELECT sid, first, len(hs) AS n, unnest(hs) AS h FROM s),
+    g AS (SELECT doc_id, line, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS ws FROM l),
+    s AS (SELECT ws, row_number() OVER (ORDER BY ws) AS sid, first FROM (SELECT ws, min((doc_id, line)) AS first FROM g WHERE len(ws) > 0 GROUP BY ws)),
+    e AS (SELECT sid, first, len(ws) AS n, unnest(ws) AS w FROM s WHERE len(ws) >= 4),
     o AS (SELECT a.sid AS sid, b.first AS other, count(*) AS k, any_value(a.n) AS an, any_value(b.n) AS bn
-      FROM e a JOIN e b ON a.h = b.h AND a.sid <> b.sid GROUP BY a.sid, b.sid, b.first),
+      FROM e a JOIN e b ON a.w = b.w AND a.sid <> b.sid AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY a.sid, b.sid, b.first),
     best AS (SELECT sid, min(other) AS other FROM o WHERE k >= 0.8 * (an + bn - k) - 1e-9 GROUP BY sid),
-    m AS (SELECT hs, least(first, coalesce(other, first)) AS first FROM s LEFT JOIN best ON s.sid = best.sid),
-    gone AS (SELECT g.doc_id, list(g.line) AS ls FROM g JOIN m ON g.hs = m.hs WHERE (g.doc_id, g.line) > m.first GROUP BY g.doc_id)
+    m AS (SELECT ws, least(first, coalesce(other, first)) AS first FROM s LEFT JOIN best ON s.sid = best.sid),
+    gone AS (SELECT g.doc_id, list(g.line) AS ls FROM g JOIN m ON g.ws = m.ws WHERE (g.doc_id, g.line) > m.first GROUP BY g.doc_id)
     SELECT d.doc_id, cast(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, cast(coalesce(len(ls), 0) AS BIGINT) AS n_removed,
       sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(coalesce(ls, []), i - 1)), chr(10))) AS kept_sha256
     FROM documents d LEFT JOIN gone ON d.doc_id = gone.doc_id""")

@@ -251,31 +251,31 @@ def test_edited_notices_side_by_side(spark):
 
 # ---- 5
 
-def brute_lines(rows, size, threshold):
+def brute_lines(rows, threshold):
     sets = []
     for r in rows:
         for n, line in enumerate((r[1] or "").split("\n") if r[1] is not None else []):
-            w = words(line, lower=True)
-            if len(w) >= size:
-                place = (2**63 - 1 if r[0] is None else r[0]) * 2**31 + n
-                sets.append((place, r[0], n, frozenset(tuple(w[i:i + size]) for i in range(len(w) - size + 1))))
-    return {(d, n) for p, d, n, s in sets if any(q < p and len(s & t) >= threshold * len(s | t) - 1e-9 for q, _, _, t in sets)}
+            w = frozenset(words(line, lower=True))
+            if w:
+                sets.append(((2**63 - 1 if r[0] is None else r[0]) * 2**31 + n, (r[0], r[1], n), w))
+    return {at for p, at, s in sets if any(q < p and len(s & t) >= threshold * len(s | t) - 1e-9 for q, _, t in sets)}
 
 
-@pytest.mark.parametrize("size,bits", [(5, 17), (1, 4), (2, 17)])
-def test_lines(spark, size, bits):
-    rng = random.Random(size)
+@pytest.mark.parametrize("seed,bits,threshold", [(5, 13, 0.8), (1, 4, 0.8), (2, 13, 0.6), (3, 8, 0.9)])
+def test_lines(spark, seed, bits, threshold):
+    rng = random.Random(seed)
     base = [[f"k{rng.randrange(30)}" for _ in range(rng.randrange(1, 14))] for _ in range(25)]
     line = lambda: " ".join(w if rng.random() > 0.04 else "Changed" for w in rng.choice(base))
     rows = [(i, "\n".join(line() for _ in range(rng.randrange(5))), "en", "s", 0) for i in range(50)] + [(90, None, "", "", 0), (91, "", "", "", 0), (None, line(), "", "", 0)]
     rows += [(92, "\n".join([line()] * 3) + "\n", "en", "s", 0), (7, rows[7][1], "en", "s", 0)]
-    gone = brute_lines(rows, size, 0.8)
+    rows += [(7, "another text of a shared id, its own line", "en", "s", 0), (93, "end\nend of it\nEND", "en", "s", 0)]
+    gone = brute_lines(rows, threshold)
     want = []
     for r in rows:
         parts = r[1].split("\n") if r[1] is not None else []
-        kept = "\n".join(p for n, p in enumerate(parts) if (r[0], n) not in gone)
-        want.append((r[0], len(parts), sum((r[0], n) in gone for n in range(len(parts))), hashlib.sha256(kept.encode()).hexdigest()))
-    assert got(lines.digest(table(spark, rows), size=size, bits=bits), "doc_id", "n_lines", "n_removed", "kept_sha256") == sorted(want, key=repr)
+        kept = "\n".join(p for n, p in enumerate(parts) if (*r[:2], n) not in gone)
+        want.append((r[0], len(parts), sum((*r[:2], n) in gone for n in range(len(parts))), hashlib.sha256(kept.encode()).hexdigest()))
+    assert got(lines.digest(table(spark, rows), threshold=threshold, bits=bits), "doc_id", "n_lines", "n_removed", "kept_sha256") == sorted(want, key=repr)
 
 
 # ---- 6
