@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import string
+import unicodedata
 import zlib
 
 import numpy as np
@@ -32,7 +33,7 @@ END = 1
 SHARD_ROWS = 25_000
 _PUNCTUATION = string.punctuation.encode()
 _END_BYTES = np.array([END], "<u4").tobytes()
-_MEMO_WORDS = 400_000
+_MEMO_WORDS, _MEMO_PARTS = 1_000_000, 300_000
 _memo: dict[str, dict] = {}
 
 
@@ -42,20 +43,26 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def stays_letters(word: bytes) -> bool:
+    return word.isalpha() or (not word.isascii() and word.decode().isalpha() and unicodedata.normalize("NFC", word.decode()).lower().isalpha())
+
+
 class WordIds:
     """Ids of a text by way of its white-space separated parts.
 
-    The tokenizer lower-cases, drops white space and never merges across it, so
+    The tokenizer composes and lower-cases, drops white space and never merges across it, so
     the ids of a text are those of its parts in turn; nor does it merge letters
     with the punctuation behind them, so most parts are a known word and a known
-    ending.  Bounded memos hold the packed ids of parts this worker has seen.
+    ending.  A word counts as letters only if it still is after both changes: capital I with dot
+    becomes two signs, the second of which would join the punctuation.
+    Bounded memos hold the packed ids of parts this worker has seen.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a task per core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.parts, self.cores = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.parts, self.older, self.cores = Tokenizer.from_file(path), {}, {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -85,7 +92,7 @@ class WordIds:
         split, other = [], []
         for p in parts:
             word = p.rstrip(_PUNCTUATION)
-            if word and word.decode().isalpha():  # letters, then perhaps an ending
+            if word and stays_letters(word):  # letters, then perhaps an ending
                 split.append((p, word.lower(), p[len(word):]))
             else:
                 other.append(p)
@@ -102,11 +109,16 @@ class WordIds:
             self.parts[p] = self.encode(p)
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        parts, memo = text.split() if text else [], self.parts
-        if len(memo) > _MEMO_WORDS:
-            memo.clear()
+        parts = text.split() if text else []
+        if len(self.parts) > _MEMO_PARTS:  # parts in use move on from the older memo, the others go with it
+            self.older, self.parts = self.parts, {}
+        memo, older = self.parts, self.older
         new = set(parts).difference(memo)
         if new:
+            if older:
+                seen = {p: older[p] for p in new if p in older}
+                memo.update(seen)
+                new.difference_update(seen)
             self.learn(new)
         return np.frombuffer(b"".join(map(memo.__getitem__, parts)) + _END_BYTES, "<u4")
 
@@ -137,28 +149,39 @@ def best_fit(items: np.ndarray, capacity: np.ndarray, weights: np.ndarray, measu
     """
     share = items / capacity
     order = np.lexsort((np.arange(len(items)), -share.max(axis=1), -share[:, 0]))
-    left = np.empty((max(16, len(items)), items.shape[1]))
     which, before, used = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64), np.zeros(len(items) + 1, np.int64)
     smallest = np.minimum.accumulate(share[order][::-1], axis=0)[::-1] if len(items) else share
-    live = np.zeros(0, np.int64)
-    made = 0
+    # One array for each capacity holds what is left in the open sequences, in the order they were opened.
+    left, ids = [np.empty(1024) for _ in range(items.shape[1])], np.empty(1024, np.int64)
+    live = made = 0
     for k, i in enumerate(order):
         v = share[i]
         if k % 256 == 0:  # sequences that nothing to come can enter
-            live = live[(left[live] + 1e-12 >= smallest[k]).all(axis=1)]
-        room = left[live]
-        fits = (room + 1e-12 >= v).all(axis=1)
-        at = -1
-        if fits.any():
-            value = (((room - v) ** 2) * weights).sum(axis=1) if measure == "norm" else -((room * v) * weights).sum(axis=1)
-            at = live[np.argmin(np.where(fits, value, np.inf))]
+            stay = np.ones(live, bool)
+            for room, least in zip(left, smallest[k]):
+                stay &= room[:live] + 1e-12 >= least
+            for x in (*left, ids):
+                x[:stay.sum()] = x[:live][stay]
+            live = int(stay.sum())
+        fits = left[0][:live] + 1e-12 >= v[0]
+        for room, x in zip(left[1:], v[1:]):
+            fits &= room[:live] + 1e-12 >= x
+        able = np.flatnonzero(fits)
+        if len(able):
+            rooms = [room[able] for room in left]
+            value = sum(w * (room - x) ** 2 if measure == "norm" else -w * room * x for w, room, x in zip(weights, rooms, v))
+            at = able[np.argmin(value)]
         else:
-            at, made = made, made + 1
-            left[at] = 1.0
-            live = np.append(live, at)
-        left[at] -= v
-        which[i], before[i] = at, used[at]
-        used[at] += int(items[i, 0])
+            if live == len(ids):
+                left, ids = [np.concatenate((x, np.empty(live))) for x in left], np.concatenate((ids, np.empty(live, np.int64)))
+            at, ids[live] = live, made
+            for room in left:
+                room[live] = 1.0
+            live, made = live + 1, made + 1
+        for room, x in zip(left, v):
+            room[at] -= x
+        which[i], before[i] = ids[at], used[ids[at]]
+        used[ids[at]] += int(items[i, 0])
     return which, before
 
 

@@ -71,10 +71,9 @@ def repeated_words(words: list[bytes], size: int = REPEAT) -> int:
         return 0
     ids: dict[bytes, int] = {}
     rank, width = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)), 1
-    while True:
+    count = np.bincount(rank)
+    while width < size:
         step = min(width, size - width)  # windows of width + step words, as two runs that may overlap
-        if step == 0:
-            break
         pairs = rank[:-step] * (int(rank.max()) + 1) + rank[step:]
         _, rank, count = np.unique(pairs, return_inverse=True, return_counts=True)
         width += step

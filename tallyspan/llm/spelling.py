@@ -76,26 +76,26 @@ def count_words(docs: DataFrame, min_length: int = 5, min_count: int = 3, diviso
 
 
 def block_of(word: str, groups: int = GROUPS) -> str:
-    """How many letters of each class, as one character each."""
+    """How many letters of each class."""
     counts = [0] * groups
     for c in word:
         at = LETTERS.find(c)
         counts[(at if at >= 0 else ord(c)) % groups] += 1
-    return "".join(map(chr, counts))
+    return ",".join(map(str, counts))
 
 
 def next_blocks(block: str) -> list[str]:
     """The block itself, blocks of one letter more, and blocks where one letter changed class, each pair of blocks named once."""
-    counts, out = [ord(c) for c in block], [block]
+    counts, out = [int(n) for n in block.split(",")], [block]
     for i in range(len(counts)):
         more = counts.copy()
         more[i] += 1
-        out.append("".join(map(chr, more)))
+        out.append(",".join(map(str, more)))
         for j in range(i + 1, len(counts)):
             if counts[j]:
                 moved = more.copy()
                 moved[j] -= 1
-                out.append("".join(map(chr, moved)))
+                out.append(",".join(map(str, moved)))
     return out
 
 
@@ -122,16 +122,17 @@ def close_pairs(left: list[str], right: list[str], same: bool) -> tuple[np.ndarr
     a, b = _letters(left), _letters(right)
     kinds, column = np.unique(np.concatenate([a.ravel(), b.ravel()]), return_inverse=True)
     column, width = column.ravel(), len(kinds)
+    exact = np.float32 if b.shape[1] <= 4096 else np.float64  # every sum is at most the square of the length, a whole number under 2**24 or 2**53
 
     def counts(letters: np.ndarray, columns: np.ndarray) -> np.ndarray:
         rows = np.repeat(np.arange(len(letters)), letters.shape[1])
-        return np.bincount(rows * width + columns, minlength=len(letters) * width).reshape(-1, width).astype(np.float32)
+        return np.bincount(rows * width + columns, minlength=len(letters) * width).reshape(-1, width).astype(exact)
 
     ca, cb = counts(a, column[:a.size]), counts(b, column[a.size:])
     gram = ca @ cb.T
     squared = (ca * ca).sum(1)[:, None] + (cb * cb).sum(1)[None, :] - 2 * gram
     equal = a.shape[1] == b.shape[1]
-    i, j = np.nonzero(squared == (2 if equal else 1))  # whole numbers under 2**24 are exact in float32
+    i, j = np.nonzero(squared == (2 if equal else 1))
     if same:
         i, j = i[i < j], j[i < j]
     keep = np.zeros(len(i), bool)

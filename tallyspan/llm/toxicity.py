@@ -41,6 +41,11 @@ def features(text: bytes | None, bits: int) -> np.ndarray:
     return (every >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def row_features(text: bytes | None, bits: int) -> np.ndarray:
+    """Distinct features of a text, as four bytes each."""
+    return np.unique(features(text, bits)).astype(np.int32)
+
+
 @dataclass
 class Model:
     """Sparse weights, and the two numbers that turn a margin into a probability."""
@@ -66,9 +71,9 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.scale * margin + self.shift, -30, 30))))
 
 
-def fit_rows(rows: list[tuple[bytes | None, int]], bits: int = 20, alpha: float = 0.3, beta: float = 1.0,
+def fit_rows(rows: list[tuple[np.ndarray, int]], bits: int = 20, alpha: float = 0.3, beta: float = 1.0,
              l1: float | None = None, l2: float = 0.1, epochs: int = 5) -> Model:
-    """FTRL-proximal over the rows; a fifth of them is kept back for Platt scaling.
+    """FTRL-proximal over (distinct features, label); a fifth of the rows is kept back for Platt scaling.
 
     ``l1`` defaults to an eighth of the root of the row count, because the summed
     gradient of a feature that says nothing wanders by about that root.
@@ -76,9 +81,8 @@ def fit_rows(rows: list[tuple[bytes | None, int]], bits: int = 20, alpha: float
     l1 = max(1.0, len(rows) ** 0.5 / 8) if l1 is None else l1
     fit, kept = [r for i, r in enumerate(rows) if i % 5], [r for i, r in enumerate(rows) if i % 5 == 0]
     z, n, b, bn = np.zeros(1 << bits), np.zeros(1 << bits), 0.0, 1.0
-    data = [(np.unique(features(t, bits)).astype(np.int32), y) for t, y in fit]
     for _ in range(epochs if len({y for _, y in fit}) == 2 else 0):
-        for x, y in data:
+        for x, y in fit:
             zx, nx = z[x], n[x]
             w = np.where(np.abs(zx) > l1, -(zx - np.sign(zx) * l1) / ((beta + np.sqrt(nx)) / alpha + l2), 0.0)
             p = 1 / (1 + np.exp(-np.clip(w.sum() + b, -30, 30)))
@@ -92,7 +96,7 @@ def fit_rows(rows: list[tuple[bytes | None, int]], bits: int = 20, alpha: float
     model = Model(bits, index, w[index].astype(np.float32), b)
     if len({y for _, y in kept}) == 2 and len(index):
         dense = model.dense()
-        m, y = np.array([model.margin(t, dense) for t, _ in kept]), np.array([y for _, y in kept], float)
+        m, y = np.array([model.bias + float(dense[x].astype(np.float64).sum()) for x, _ in kept]), np.array([y for _, y in kept], float)
         target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
         a, c = 1.0, 0.0
         for _ in range(100):  # Newton steps on two numbers
@@ -123,9 +127,10 @@ def labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
             .orderBy(F.xxhash64("doc_id"), "doc_id", F.md5("text")).limit(max_rows).select("text", "y"))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, **options) -> Model:
-    """Fit on at most ``max_rows`` labelled documents."""
-    return fit_rows([(r.text, r.y) for r in labelled(docs, labels, max_rows).toLocalIterator()], **options)
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, bits: int = 20, **options) -> Model:
+    """Fit on at most ``max_rows`` labelled documents; the driver gets their feature numbers, not their texts."""
+    rows = map_batches(labelled(docs, labels, max_rows), lambda texts, ys: {"x": [row_features(t, bits).tobytes() for t in texts], "y": ys}, "x binary, y int")
+    return fit_rows([(np.frombuffer(r.x, np.int32), r.y) for r in rows.toLocalIterator()], bits, **options)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

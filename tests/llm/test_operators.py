@@ -443,6 +443,17 @@ def test_packing(spark):
         assert g.offset.tolist() == np.concatenate(([0], np.cumsum(g.length)[:-1])).tolist() and g.length.sum() <= 64
 
 
+def test_word_ids_are_those_of_the_tokenizer():
+    rng = random.Random(12)
+    encode = packing.WordIds.of(packing.default_tokenizer())
+    signs = list("abcXYZéÀßİıΣσς") + ["\u0307", "\u0301", "\u093c", "\u0958", "\u212b", "Å", "ﬁ", "ǅ", "\u00a0", "\u0085", "\u200b", "😀", "中", "٣", "Ⅷ", "ª"] + list(".,!?'\"-$# \n\t") + ["'s", "'LL"]
+    texts = ["TÜRKİYE CUMHURİYETİ. BELEDİYESİ, ANKARA İ!", "ΟΔΟΣ. ΣΑΣ, Σ"]
+    texts += ["".join(rng.choice(signs) if rng.random() > 0.2 else chr(rng.choice([rng.randrange(0x20, 0x250), rng.randrange(0x300, 0x3000), rng.randrange(0xA000, 0xD7FF)]))
+                      for _ in range(rng.randrange(1, 60))) for _ in range(4000)]
+    for t in texts:
+        assert encode(t.encode()).tolist() == encode.tokenizer.encode(t, add_special_tokens=False).ids + [packing.END], t
+
+
 @pytest.mark.parametrize("measure", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(measure):
     rng = np.random.default_rng(2)
