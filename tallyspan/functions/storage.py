@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,10 +48,20 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def cleanup(spark: SparkSession) -> int:
-    """Delete every intermediate this process has written; call it when no frame built on them is needed any more."""
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, on leaving, the intermediates written inside; nothing read after it may build on them."""
+    start = len(_made)
+    try:
+        yield
+    finally:
+        cleanup(spark, start)
+
+
+def cleanup(spark: SparkSession, start: int = 0) -> int:
+    """Delete every intermediate this process has written (from the ``start``-th on); call it when no frame built on them is needed any more."""
     done = 0
-    while _made:
+    while len(_made) > start:
         path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
         done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return done
