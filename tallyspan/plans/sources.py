@@ -129,17 +129,20 @@ def _content_sql(table: str, names: list[str]) -> str:
 _BOTH = f"{_content_sql('patients', PATIENTS.names)} UNION ALL {_content_sql('visits', VISITS.names)}"
 
 
-@query("a05_fingerprint", with_roles(f"SELECT * EXCLUDE (table_name), true AS unchanged, false AS unchanged_after_edit FROM ({_content_sql('patients', PATIENTS.names)}) p", "patients"))
+@query("a05_fingerprint", with_roles(f"""SELECT * EXCLUDE (table_name), true AS unchanged, false AS unchanged_after_edit, false AS unchanged_after_move, rows AS source_lines
+    FROM ({_content_sql('patients', PATIENTS.names)}) p""", "patients"))
 def a05(t: Tables) -> DataFrame:
-    """Content hash of the table, and the source files' own fingerprint before and after an export and an edit."""
-    path = _csv(patients(t), PATIENTS, "source")
+    """Content hash of the table, and the source lines' own fingerprint before and after an export, an edit and another order."""
+    path = _csv(patients(t).orderBy("patient_id"), PATIENTS, "source")
     before = materialize(bundle.fingerprint_files(t.spark, path))
     read = delimited.read_typed_csv(t.spark, path, PATIENTS)
     delimited.write_augmented(read, fresh_path(t.spark, "export"), PATIENTS.names)
     unchanged = bundle.same_fingerprint(before, bundle.fingerprint_files(t.spark, path))
-    delimited.write_exact_csv(patients(t).withColumn("race_1", F.lit("edited")), PATIENTS, edited := fresh_path(t.spark, "edited"))
+    edited = _csv(patients(t).withColumn("race_1", F.lit("edited")).orderBy("patient_id"), PATIENTS, "edited")
+    moved = _csv(patients(t).orderBy(F.desc("patient_id")), PATIENTS, "moved")
     return bundle.fingerprint(read, "sha256").withColumns({
-        "unchanged": F.lit(unchanged), "unchanged_after_edit": F.lit(bundle.same_fingerprint(before, bundle.fingerprint_files(t.spark, edited)))})
+        "unchanged": F.lit(unchanged), "unchanged_after_edit": F.lit(bundle.same_fingerprint(before, bundle.fingerprint_files(t.spark, edited))),
+        "unchanged_after_move": F.lit(bundle.same_fingerprint(before, bundle.fingerprint_files(t.spark, moved))), "source_lines": F.lit(before.first()["lines"] - before.first()["files"])})  # each file has its header
 
 
 @query("a06_write_bundle", with_roles(_BOTH, "patients", "visits"))
@@ -156,10 +159,31 @@ def a07(t: Tables) -> DataFrame:
     return bundle.verify_bundle(t.spark, path, STORED)
 
 
-@query("a08_publish_tables", with_roles(_BOTH, "patients", "visits"))
+_RULES_OF = {c.name: sum(1 + f.required + (f.enum is not None) + (f.minimum is not None) + (f.maximum is not None) for f in c.fields) + bool(c.primary_key) + len(c.links) for c in STORED.values()}
+_CHECKS_OF = {c.name: 1 + sum(f.required + (f.enum is not None) + (f.minimum is not None) + (f.maximum is not None) for f in c.fields) + 2 * bool(c.primary_key) + len(c.links) for c in STORED.values()}
+
+
+def _stored_sql(name: str) -> str:
+    c = STORED[name]
+    return (f"SELECT *, {len(c.fields)}::BIGINT AS described, {sum(f.required for f in c.fields)}::BIGINT AS required, {_RULES_OF[name]}::BIGINT AS rules, "
+            f"{_CHECKS_OF[name]}::BIGINT AS checks, 0::BIGINT AS failed, (SELECT count(*) FROM patients) + (SELECT count(*) FROM visits) AS built_rows, "
+            f"cast(rows AS VARCHAR) AS property_rows FROM ({_content_sql(name, c.names)})")
+
+
+@query("a08_publish_tables", with_roles(f"{_stored_sql('patients')} UNION ALL {_stored_sql('visits')}", "patients", "visits"))
 def a08(t: Tables) -> DataFrame:
+    """What the catalog holds of the published tables: each metadata table and the table properties are read back."""
     path = fresh_path(t.spark, "store")
-    return bundle.publish_tables({"patients": patients(t), "visits": visits(t)}, f"tallyspan_{path.rsplit('-', 1)[-1]}", STORED, path)
+    db = f"tallyspan_{path.rsplit('-', 1)[-1]}"
+    resources = bundle.publish_tables({"patients": patients(t), "visits": visits(t)}, db, STORED, path)
+    meta = lambda name: t.spark.table(f"{db}.{name}")
+    described = meta("meta_descriptor").groupBy("table_name").agg(F.count("*").alias("described"), F.count_if("required").alias("required"))
+    rules = meta("meta_rules").groupBy("table_name").agg(F.count("*").alias("rules"))
+    checks = meta("meta_validations").groupBy("table_name").agg(F.count("*").alias("checks"), F.count_if(F.col("status") == "FAIL").alias("failed"))
+    build = meta("meta_build").select(F.col("rows").alias("built_rows"))
+    properties = [(n, r["value"]) for n in STORED for r in t.spark.sql(f"SHOW TBLPROPERTIES {db}.{n}").collect() if r["key"] == "rows"]
+    stored = t.spark.createDataFrame(properties, "table_name string, property_rows string")
+    return resources.join(described, "table_name").join(rules, "table_name").join(checks, "table_name").join(stored, "table_name").crossJoin(build)  # one row
 
 
 # Formula grids with the shape of published references over a fixed range of steps;

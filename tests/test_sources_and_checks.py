@@ -169,6 +169,94 @@ def test_broken_bundle_is_not_published(spark):
     assert not os.path.exists(path.removeprefix("file:"))
 
 
+def test_bundle_evaluates_its_source_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    plain = spark.createDataFrame([(str(i), i, float(i), "a") for i in range(90)], "id string, n long, x double, k string").repartition(3)
+    bundle.write_bundle({"tiny": plain.mapInPandas(count, plain.schema)}, fresh_path(spark, "b"), {"tiny": TINY})
+    assert seen.value == 90
+
+
+CHILD = Contract("child", (Field("a"), Field("b", "integer"), Field("id")), primary_key=("a", "b"), links=(("id", "tiny"),))
+
+
+@pytest.mark.parametrize("tiny,child,broken", [
+    ([("1", 1), ("2", 2)], [("x", 1, "1"), ("x", 2, "1"), ("y", 1, None)], []),
+    ([("1", 1), ("1", 2)], [("x", 1, "1")], ["tiny.id: key_unique"]),
+    ([("1", 1)], [("x", 1, "1"), ("x", 1, "1"), ("x1", 1, "9")], ["child.a,b: key_unique", "child.id: foreign_key"]),
+    ([(None, -1)], [("x", None, None)], ["tiny.id: required", "tiny.n: minimum", "tiny.id: key_complete", "child.a,b: key_complete"]),
+    ([], [], []),
+])
+def test_bundle_names_what_is_broken(spark, tiny, child, broken):
+    tables = {"tiny": spark.createDataFrame([(*r, 1.0, "a") for r in tiny], "id string, n long, x double, k string"), "child": spark.createDataFrame(child, "a string, b long, id string")}
+    write = lambda: bundle.write_bundle(tables, fresh_path(spark, "b"), {"tiny": TINY, "child": CHILD})
+    if not broken:
+        got = {r.table_name: r for r in write().collect()}
+        assert {n: r.rows for n, r in got.items()} == {"tiny": len(tiny), "child": len(child)}
+        assert got["child"].content_hash == bundle.fingerprint(tables["child"], "sha256").first().content_hash
+    else:
+        with pytest.raises(ValueError) as error:
+            write()
+        assert all(x in str(error.value) for x in broken) and str(error.value).count(": ") == len(broken) + 1
+
+
+def _file(spark, *contents):
+    import os
+
+    path = fresh_path(spark, "files")
+    os.makedirs(path)
+    for i, c in enumerate(contents):
+        with open(f"{path}/{i}.txt", "wb") as f:
+            f.write(c)
+    return path
+
+
+def test_file_fingerprint_is_true_to_order_and_bytes(spark):
+    lines = [b"line %d \xff" % i for i in range(10_000)]
+    whole = b"\n".join(lines) + b"\n"
+    print_of = lambda *contents: bundle.fingerprint_files(spark, _file(spark, *contents)).first()
+    base = print_of(whole)
+    assert (base.lines, base.bytes, base.files) == (10_000, len(whole), 1) and print_of(whole) == base
+    swapped, moved = lines[:], lines[1:] + lines[:1]
+    swapped[4095], swapped[4096] = swapped[4096], swapped[4095]
+    for other in (b"\n".join(swapped) + b"\n", b"\n".join(moved) + b"\n", whole.replace(b"\n", b"\r\n"), whole[:-1], whole.replace(b"\xff", b"\xfe", 1)):
+        assert print_of(other) != base
+    assert print_of(lines[0] + b"\n", b"\n".join(lines[1:]) + b"\n") != base
+    assert print_of(b"a\n", b"b\n") != print_of(b"b\n", b"a\n")
+    empty = print_of(b"")
+    assert (empty.lines, empty.bytes, empty.files) == (0, 0, 0)
+
+
+def test_file_fingerprint_does_not_depend_on_splits(spark):
+    path = _file(spark, b"".join(b"row %d\n" % i for i in range(9_000)), b"", b"tail")
+    want, blocks = bundle.fingerprint_files(spark, path).first(), bundle.file_blocks(spark, path).where("lines = 4096").count()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        assert bundle.fingerprint_files(spark, path).first() == want and blocks == 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_published_tables_carry_their_metadata(spark):
+    path = fresh_path(spark, "store")
+    db = f"published_{path[-8:]}"
+    df = spark.createDataFrame([("1", 1, 1.0, "a"), ("1", -2, 1.0, "z")], "id string, n long, x double, k string")
+    bundle.publish_tables({"tiny": df}, db, {"tiny": TINY}, path)
+    meta = lambda name: spark.table(f"{db}.meta_{name}").collect()
+    assert [(r.rows, r.fields) for r in meta("resources")] == [(2, 4)] and [(r.tables, r.rows) for r in meta("build")] == [(1, 2)]
+    assert {(r.field, r.type, r.required, r.in_key, r.allowed) for r in meta("descriptor")} == {
+        ("id", "string", True, True, None), ("n", "bigint", False, False, None), ("x", "double", False, False, None), ("k", "string", False, False, "a|b")}
+    assert {(r.field, r.rule) for r in meta("validations") if r.status == "FAIL"} == {("n", "minimum"), ("k", "enum"), ("id", "key_unique")}
+    assert {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {db}.tiny").collect()}["rows"] == "2"
+    assert {r.col_name: r.comment for r in spark.sql(f"DESCRIBE {db}.tiny").collect()}["id"] == "required"
+
+
 def test_null_and_marker_texts_differ(spark):
     hashes = [bundle.fingerprint(spark.createDataFrame([(v, "x")], "a string, b string"), "sha256").first().content_hash for v in (None, "\\N", "-", "")]
     assert len(set(hashes)) == 4
@@ -201,40 +289,53 @@ def test_preflight_reads_every_header(spark):
     assert delimited.preflight(spark, [TINY], root).first().header_ok is False
 
 
-def _bundle(*resources):
-    return json.dumps({"resourceType": "Bundle", "entry": [{"resource": r} for r in resources]})
+class Chart:
+    """Builds one bundle about one person, resource by resource."""
 
+    def __init__(self, person="p7", **fields):
+        self.person = person
+        self.resources = [{"resourceType": "Patient", "id": person, "gender": "male", "birthDate": "2010-06-15", **fields}]
 
-def _patient(**more):
-    return {"resourceType": "Patient", "id": "a", "gender": "female", "birthDate": "2001-01-01"} | more
+    def about(self, kind, number, **fields):
+        self.resources.append({"resourceType": kind, "id": f"{kind[0].lower()}{number}", "subject": {"reference": f"Patient/{self.person}"}, **fields})
+        return self
 
+    def measure(self, number, day, loinc=None, value=None, **fields):
+        if loinc:
+            fields["code"] = {"coding": [{"system": "http://loinc.org", "code": loinc}]}
+        if value is not None:
+            fields["valueQuantity"] = {"value": value}
+        return self.about("Observation", number, effectiveDateTime=day, **fields)
 
-def _observation(i, code, day, value=None, **more):
-    coded = {"code": {"coding": [{"system": "http://loinc.org", "code": code}]}} if code else {}
-    return {"resourceType": "Observation", "id": i, "subject": {"reference": "Patient/a"}, "effectiveDateTime": day} | coded | (
-        {"valueQuantity": {"value": value}} if value is not None else {}) | more
+    def line(self):
+        return json.dumps({"resourceType": "Bundle", "entry": [{"resource": r} for r in self.resources]})
 
 
-def _flat(spark, *lines):
-    path = fresh_path(spark, "fhir-in")
-    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
+def flattened(spark, *charts):
+    path = fresh_path(spark, "charts")
+    spark.createDataFrame([(c.line(),) for c in charts], "value string").write.text(path)
     return fhir.flatten_fhir(spark, path)
 
 
+HEIGHT = "8302-2"  # fixed value: body height
+
+
 def test_fhir_skips_other_observations_and_keeps_all_codes(spark):
-    race = {"extension": [{"url": "http://hl7.org/fhir/us/core/StructureDefinition/us-core-race", "extension": [{"url": "text", "valueString": "White"}]}]}
-    conditions = [{"resourceType": "Condition", "id": f"c{i}", "subject": {"reference": "Patient/a"}, "code": {"coding": [{"system": fhir.ICD10, "code": f"K{i:02}"}]}} for i in range(40)]
-    flat = _flat(spark, _bundle(_patient(**race), _observation("o1", "8302-2", "2004-01-01", 100.0), _observation("o2", "85354-9", "2004-01-01", 7.0), _observation("o3", None, "2004-01-01"),
-                                _observation("o4", "8302-2", "2004-01-01"), _observation("o5", "8302-2", "2004-01-01", 1.0, subject={"reference": "https://x.example/Patient/a"}), *conditions))
-    assert [r.value for r in flat["observations"].collect()] == [100.0]
+    race = {"url": "http://hl7.org/fhir/us/core/StructureDefinition/us-core-race", "extension": [{"url": "text", "valueString": "Asian"}]}
+    chart = Chart(extension=[race]).measure(1, "2014-03-02", HEIGHT, 88.5).measure(2, "2014-03-02", "2708-6", 97).measure(3, "2014-03-02").measure(4, "2014-03-02", HEIGHT)
+    chart.measure(5, "2014-03-02", HEIGHT, 2.0, subject={"reference": "https://elsewhere.example/Patient/p7"})
+    for i in range(37):
+        chart.about("Condition", i, code={"coding": [{"system": fhir.ICD10, "code": f"L{i:02}"}]})
+    flat = flattened(spark, chart)
+    assert [r.value for r in flat["observations"].collect()] == [88.5]
     person = flat["patients"].first()
-    assert (list(person.races), person.ethnicity) == (["White"], "Unknown")
+    assert (list(person.races), person.ethnicity) == (["Asian"], "Unknown")
     visit = fhir.fhir_to_visits(flat).first()
-    assert visit.n_codes == 40 and len(visit.codes) == 40
+    assert visit.n_codes == 37 and len(visit.codes) == 37
 
 
 def test_fhir_rejects_contradictions(spark):
     with pytest.raises(Exception, match="share an id"):
-        _flat(spark, _bundle(_patient()), _bundle(_patient(gender="male")))["patients"].collect()
+        flattened(spark, Chart(), Chart(gender="other"))["patients"].collect()
     with pytest.raises(Exception, match="before birth"):
-        fhir.fhir_to_visits(_flat(spark, _bundle(_patient(), _observation("o", "8302-2", "2000-01-01", 50.0)))).collect()
+        fhir.fhir_to_visits(flattened(spark, Chart().measure(1, "2009-12-31", HEIGHT, 50.0))).collect()
