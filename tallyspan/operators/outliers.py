@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,52 +80,78 @@ def slope_limit(age: str, thresholds) -> Column:
 
 # Peeling rounds in one plan; they share one shuffle and one written table.
 ROUNDS = 4
+# A removal changes the test of rows at most this many places away, and a test looks no further.
+REACH = 3
 
 
 def _peel(df: DataFrame, keys: list[str], age: str, value: str, tie: str, limit: Column | None, bounded: bool, number: int) -> DataFrame:
-    """One round: the peaks among the rows still alive get the round's number.
+    """One round: the peaks among the dirty rows still alive get the round's number.
 
     Removed rows stay in the frame under a series of their own, so the rows keep
     the partitioning by ``keys`` and no round shuffles again.
     """
     gone = F.col("round").isNotNull()
     marked = find_peaks(df.withColumn("__gone", gone), [*keys, "__gone"], age, value, tie, limit, bounded)
-    hit = F.col("peak") & ~F.col("__gone")
-    return marked.withColumns({"round": F.when(hit, F.lit(number)).otherwise(F.col("round")), "again": hit}).drop("peak", "__gone")
+    # Each round carries a change REACH places further.
+    hit = F.col("peak") & ~F.col("__gone") & (F.col("far") <= REACH * number)
+    return marked.withColumn("round", F.when(hit, F.lit(number)).otherwise(F.col("round"))).drop("peak", "__gone")
+
+
+def _worklist(df: DataFrame, keys: list[str], age: str, tie: str, rounds: int) -> DataFrame:
+    """Set ``far``: how many living rows lie between a living row and the nearest one removed in the last round; null where no later round of the next plan can look.
+
+    Places are counted among the living rows, so a row that only now comes near a removal is near it.
+    """
+    last, alive = F.col("round") == rounds, F.col("round").isNull()
+    order = [age, tie]
+    away = df
+    for name, by in (("__b", [F.asc(c) for c in order]), ("__f", [F.desc(c) for c in order])):
+        seen = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+        away = away.withColumn("__n", F.count_if(alive).over(seen)).withColumn(name, F.col("__n") - F.max(F.when(last, F.col("__n"))).over(seen))
+    far = F.least("__b", "__f")
+    return away.withColumn("far", F.when(alive & (far <= REACH * (ROUNDS + 1)), far)).drop("__n", "__b", "__f")
 
 
 def outlier_fixpoint(df: DataFrame, keys: list[str], age: str, value: str, tie: str, limit: Column | None = None,
                      bounded: bool = False) -> DataFrame:
     """Rows removed by the pre-clean (round 0) and by each peeling round.
 
-    Series are independent, so only those that lost a row in the last round are
-    read again.  A few rounds make one written table: the loop keeps no
-    lineage and survives lost executors.  It ends because each round removes
-    at least one row.
+    The first round tests every row.  Later ones work off a list: only rows within reach of a removal can have a
+    new result, so the next plan reads those and the few places around them that their test looks at, and writes
+    the removed rows and the next list.  A list shrinks with the removals, long series included; it ends
+    because each plan removes a row or ends it.  Where series are split over tasks the list holds whole
+    series.  Every list is a written table: the loop keeps no lineage and survives lost executors.
     """
     spark, columns = df.sparkSession, [*keys, age, tie, value]
     # The pre-clean reads the narrow series three times, so it is written once.
     rows = materialize(df.where(F.col(value).isNotNull() & F.col(age).isNotNull()).select(*columns), "series")
     cleaned = materialize(outlier_preclean(rows, keys, age, value, tie), "preclean")
-    active = cleaned.where(~F.col("flagged")).select(*columns)
+    active = cleaned.where(~F.col("flagged")).select(*columns, F.lit(0).cast("long").alias("far"))
     bounded = bounded or split_hot(active, keys)[1] is None
-    root, number, batch = fresh_path(spark, "peeling"), 0, 0
+    root, done = fresh_path(spark, "peeling"), []
     while True:
-        state = active.withColumn("round", F.lit(None).cast("int"))
-        for _ in range(ROUNDS if bounded else 1):
-            number += 1
+        state, rounds = active.withColumn("round", F.lit(None).cast("int")), ROUNDS if bounded and done else 1
+        for number in range(1, rounds + 1):
             state = _peel(state, keys, age, value, tie, limit, bounded, number)
-        if bounded:  # the window is over the partitioning the rows already have
-            state = state.withColumn("again", F.max("again").over(Window.partitionBy(*keys)))
+        if bounded:
+            state = _worklist(state, keys, age, tie, rounds)
         else:
-            state = join_on(state.drop("again"), state.where("again").select(*keys).distinct().withColumn("again", F.lit(True)), keys, "left").fillna(False, ["again"])
-        state.select(*columns, "round", "again").write.parquet(f"{root}/batch={batch}")
-        stored = spark.read.schema(state.select(*columns, "round", "again").schema).parquet(f"{root}/batch={batch}")
-        if stored.where("again").isEmpty():
-            peeled = spark.read.schema(stored.schema).parquet(*[f"{root}/batch={b}" for b in range(batch + 1)]).where("round is not null")
-            first = cleaned.where("flagged").select(*keys, age, tie, F.lit(0).alias("round"))
-            return first.unionByName(peeled.select(*keys, age, tie, "round"))
-        active, batch = stored.where("again and round is null").select(*columns), batch + 1
+            hit = state.where(F.col("round") == rounds).select(*keys).distinct().withColumn("__hit", F.lit(0).cast("long"))
+            state = join_on(state, hit, keys, "left").withColumn("far", F.when(F.col("round").isNull(), F.col("__hit")))
+        state = state.select(*columns, "far", "round").where("far IS NOT NULL OR round IS NOT NULL")
+        path = f"{root}/{len(done)}"
+        state.write.parquet(path)
+        stored = spark.read.schema(state.schema).parquet(path)
+        # Rounds are numbered within a plan, so later plans are the same and their compiled code is found again.
+        done.append((stored, rounds))
+        active = stored.where("far IS NOT NULL").select(*columns, "far")
+        if active.isEmpty():
+            break
+    before, parts = 0, [cleaned.where("flagged").select(*keys, age, tie, F.lit(0).alias("round"))]
+    for stored, rounds in done:
+        parts.append(stored.where("round IS NOT NULL").select(*keys, age, tie, (F.col("round") + before).alias("round")))
+        before += rounds
+    return reduce(DataFrame.unionByName, parts)
 
 
 def outlier_flags(df: DataFrame, pid: str, age: str, tie: str, specs: dict[str, tuple[str, tuple | None]],
