@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import all_bands
+from ..functions.keys import canonical
 from ..functions.stats import rank_auc, ratio
 
 # Causal order of event phases.
@@ -269,7 +270,7 @@ def _layer_digests(df: DataFrame, pid: str, layers: dict[str, list[str]], world:
     """Multiset digest of each layer per entity: counts and sums of row hashes."""
     aggs = []
     for name, cols in layers.items():
-        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in cols])
+        text = canonical(*cols)
         kept = F.coalesce(*[F.col(c).cast("string") for c in cols[1:]]).isNotNull() if len(cols) > 1 else F.lit(True)
         piece = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
         aggs.append(F.concat_ws(":", F.count_if(kept), F.sum(F.when(kept, piece)).cast("string")).alias(f"{world}_{name}"))

@@ -14,6 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import canonical, join_split
 from ..functions.ordering import running_totals
 from ..functions.stats import ratio, wilson_interval
 from ..functions.storage import join_on
@@ -39,7 +40,7 @@ def entity_profiles(entities: DataFrame, events: DataFrame, pid: str, demographi
     """
     value = lambda m: F.coalesce(F.round(F.col(m) * 1_000_000).cast("long").cast("string"), F.lit("-"))
     seen = F.coalesce(*[F.col(m) for m in measures]).isNotNull()
-    row = _pieces(F.concat_ws("|", F.col(age), *[value(m) for m in measures]))
+    row = _pieces(F.concat_ws("|", F.col(age), *[value(m) for m in measures]))  # numbers only: neither a bar nor a dash alone can be one
     day = _pieces(F.col(age).cast("string"))
     per = events.groupBy(pid).agg(
         F.count("*").alias("visit_count"), F.count_if(seen).alias("n_obs"),
@@ -119,7 +120,7 @@ def _subsets(components: list[str]) -> list[tuple[str, ...]]:
 
 def _subset_keys(components: list[str]) -> Column:
     """Array of (level, key) over all component subsets."""
-    return F.array(*[F.struct(F.lit(len(s)).alias("level"), F.md5(F.concat_ws("|", F.lit("+".join(s)), *s)).alias("key")) for s in _subsets(components)])
+    return F.array(*[F.struct(F.lit(len(s)).alias("level"), F.md5(canonical(F.lit("+".join(s)), *s)).alias("key")) for s in _subsets(components)])
 
 
 def subset_counts(reference: DataFrame, components: list[str], counts: dict[str, Column]) -> DataFrame:
@@ -138,7 +139,8 @@ def nearest_counts(queries: DataFrame, reference: DataFrame, components: list[st
     """
     kinds = queries.select(*components).distinct()
     keys = kinds.select(*components, F.explode(_subset_keys(components)).alias("s")).select(*components, "s.*")
-    found = keys.join(subset_counts(reference, components, counts), "key").groupBy(*components, "level").agg(*[F.sum(n).alias(n) for n in counts])
+    # A component of few values gives a few keys that hold most of the profiles.
+    found = join_split(keys, subset_counts(reference, components, counts), "key").groupBy(*components, "level").agg(*[F.sum(n).alias(n) for n in counts])
     best = found.groupBy(*components).agg(F.max(F.struct("level", *counts)).alias("b")).select(*components, "b.*")
     return kinds.join(best, components, "left").withColumn("level", F.coalesce("level", F.lit(0)))
 
@@ -184,7 +186,7 @@ def _permuted(reference: DataFrame, pid: str, components: list[str]) -> DataFram
 
 
 def _key_counts(df: DataFrame, selections: list[tuple[str, ...]], groups: list[str] = ()) -> DataFrame:
-    keys = F.array(*[F.struct(F.lit(i).alias("selection"), F.md5(F.concat_ws("|", *s)).alias("key")) for i, s in enumerate(selections)])
+    keys = F.array(*[F.struct(F.lit(i).alias("selection"), F.md5(canonical(*s)).alias("key")) for i, s in enumerate(selections)])
     return df.select(*groups, F.explode(keys).alias("k")).select(*groups, "k.*").groupBy(*groups, "selection", "key").agg(F.count("*").alias("n"))
 
 

@@ -70,6 +70,15 @@ def component_grain(df: DataFrame, pid: str, order: str, line: str, component: s
         "rows_per_order": ratio(F.col("rows"), F.col("orders")), "components_per_order": ratio(F.col("components"), F.col("resulted_orders"))})
 
 
+def top_procedures(df: DataFrame, pid: str, name: str, k: int = 25) -> DataFrame:
+    """The ``k`` most frequent procedures with their rows and entities, and how many procedures there are."""
+    counts = df.where(F.col(name).isNotNull()).groupBy(name, pid).agg(F.count("*").alias("n")).groupBy(name).agg(
+        F.sum("n").alias("procedure_rows"), F.count(pid).alias("procedure_entities"))
+    top = counts.orderBy(F.col("procedure_rows").desc(), name).limit(k)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("procedure_rows").desc(), name)))  # k rows
+    return ranked.crossJoin(counts.agg(F.count("*").alias("procedures")))  # one row
+
+
 def record_types(df: DataFrame, pid: str, kind: str, dates: list[str]) -> DataFrame:
     return df.groupBy(kind).agg(F.count("*").alias("rows"), F.countDistinct(pid).alias("entities"),
                                 *[(100.0 * F.count(d) / F.count("*")).alias(f"{d}_pct") for d in dates])

@@ -26,7 +26,7 @@ def e36(t: Tables) -> DataFrame:
     return op.lines_filled(t.visit_codes, [PID, "visit_id"])
 
 
-LOOKUP_CTE = """book AS (SELECT replace(code, '.', '') AS key, min(description) AS description FROM named_codes WHERE chronic = 1 GROUP BY 1)"""
+LOOKUP_CTE = """book AS (SELECT replace(code, '.', '') AS key, min(description) AS description FROM named_codes GROUP BY 1)"""
 
 
 def _top_codes_sql(source: str, code: str, kind: str) -> str:
@@ -40,8 +40,7 @@ def _top_codes_sql(source: str, code: str, kind: str) -> str:
 def e37(t: Tables) -> DataFrame:
     from ..sources.references import code_lookup
 
-    # The book lists chronic codes only, so some codes have no description.
-    book = code_lookup(t.named_codes.where("chronic = 1"), "code", "description")
+    book = code_lookup(t.named_codes, "code", "description")
     top = lambda df, c, kind: op.top_codes(df, PID, c, book).withColumn("kind", F.lit(kind))
     return top(t.visit_codes, F.col("code"), "slots").unionByName(top(t.problem_list, F.col("pl_diag"), "problems")).unionByName(
         top(pairs(t), F.substring("code", 1, 3), "categories"))
@@ -59,11 +58,14 @@ def e38(t: Tables) -> DataFrame:
 
 
 @query("e39_component_grain", with_roles("""
-    , g AS (SELECT lab_order_id, count(*) AS rows, count(component) AS c FROM labs GROUP BY 1)
-    SELECT cast(sum(rows) AS BIGINT) AS rows, count(*) AS orders, cast(sum(c) AS BIGINT) AS components, count(*) FILTER (c > 0) AS resulted_orders, count(*) FILTER (c = 0) AS empty_orders,
-      (SELECT count(DISTINCT patient_id) FROM labs) AS entities, sum(rows) / cast(count(*) AS DOUBLE) AS rows_per_order, sum(c) / cast(count(*) FILTER (c > 0) AS DOUBLE) AS components_per_order FROM g""", "labs"))
+    , g AS (SELECT lab_order_id, count(*) AS rows, count(component) AS c FROM labs GROUP BY 1),
+    p AS (SELECT procedure_name, count(*) AS procedure_rows, count(DISTINCT patient_id) AS procedure_entities, cast(row_number() OVER (ORDER BY count(*) DESC, procedure_name) AS INT) AS rank,
+      count(*) OVER () AS procedures FROM labs WHERE procedure_name IS NOT NULL GROUP BY 1 QUALIFY rank <= 25)
+    SELECT p.*, x.* FROM p CROSS JOIN (SELECT cast(sum(rows) AS BIGINT) AS rows, count(*) AS orders, cast(sum(c) AS BIGINT) AS components, count(*) FILTER (c > 0) AS resulted_orders, count(*) FILTER (c = 0) AS empty_orders,
+      (SELECT count(DISTINCT patient_id) FROM labs) AS entities, sum(rows) / cast(count(*) AS DOUBLE) AS rows_per_order, sum(c) / cast(count(*) FILTER (c > 0) AS DOUBLE) AS components_per_order FROM g) x""", "labs"))
 def e39(t: Tables) -> DataFrame:
-    return op.component_grain(t.labs, PID, "lab_order_id", "result_line_num", "component")
+    grain = op.component_grain(t.labs, PID, "lab_order_id", "result_line_num", "component")
+    return op.top_procedures(t.labs, PID, "procedure_name").crossJoin(grain)  # one row
 
 
 @query("e40_record_types", with_roles("""SELECT record_type, count(*) AS rows, count(DISTINCT patient_id) AS entities, 100e0 * count(start_age) / count(*) AS start_age_pct, 100e0 * count(end_age) / count(*) AS end_age_pct,

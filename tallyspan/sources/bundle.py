@@ -10,6 +10,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import canonical
 from ..functions.storage import broadcast_if_small, materialize
 from ..operators import integrity
 from .contract import Contract, contract_schema, contract_rules
@@ -19,10 +20,8 @@ FAN = 4096
 
 
 def _row_hash(columns: list[str]) -> Column:
-    """60 bits of SHA-256 over a canonical text of the row: each cell carries its length, and null has a form no text can take."""
-    cell = lambda c: F.concat(F.length(F.col(f"`{c}`").cast("string")), F.lit(":"), F.col(f"`{c}`").cast("string"))
-    text = F.concat(*[F.coalesce(cell(c), F.lit("-")) for c in columns])
-    return _sixty_bits(F.sha2(text, 256))
+    """60 bits of SHA-256 over the canonical text of the row."""
+    return _sixty_bits(F.sha2(canonical(*[F.col(f"`{c}`") for c in columns]), 256))
 
 
 def _sixty_bits(digest: Column) -> Column:
@@ -153,7 +152,7 @@ def _key_entries(name: str, contracts: dict[str, Contract]) -> list[Column]:
     if c is not None and c.primary_key:
         out.append(entry(name, "parent", text(c.primary_key[0])))
         if len(c.primary_key) > 1:
-            out.append(entry(name, "key", F.concat(*[F.concat(F.length(text(k)).cast("string"), F.lit(":"), text(k)) for k in c.primary_key])))
+            out.append(entry(name, "key", F.when(reduce(Column.__and__, [text(k).isNotNull() for k in c.primary_key]), canonical(*map(text, c.primary_key)))))
     for column, parent in c.links if c is not None else ():
         if parent in contracts and contracts[parent].primary_key:
             out.append(entry(parent, f"{name}.{column}", text(column)))

@@ -3,8 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspan.functions.keys import canonical, join_split
 from tallyspan.functions.storage import fresh_path
-from tallyspan.operators import assurance, explore, integrity, privacy, profiling, targets
+from tallyspan.operators import assurance, explore, integrity, privacy, profiling, screens, targets
 from tallyspan.sources import bundle, delimited, fhir
 from tallyspan.sources.contract import Contract, Field, contract_schema
 
@@ -115,6 +116,50 @@ def test_entry_mechanisms(spark):
     assert explore.FEET in got[1] and "cm" in got[2] and explore.SHIFT in got[3] and explore.SWAP in got[4] and explore.SHIFT in got[5]
 
 
+def test_cells_keep_their_borders(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "c"), ("-", "c"), ("", "c"), ("1:a", None), ("1", ":a-")], "a string, b string")
+    assert df.select(canonical("a", "b").alias("k")).distinct().count() == 7
+    a = spark.createDataFrame([(1, 5, None, "x"), (2, 5, "a|b", "c"), (3, 5, "a", "b")], "pid long, age long, p string, q string")
+    b = spark.createDataFrame([(1, 5, "-", "x"), (2, 5, "a", "b|c"), (3, 5, "a", "b")], "pid long, age long, p string, q string")
+    got = {r.pid: r.reason for r in assurance.layer_diff(a, b, "pid", {"cells": ["age", "p", "q"]}, [], ["cells"]).collect()}
+    assert got == {1: "OK", 2: "OK", 3: "UNCHANGED"}
+    keys = privacy.subset_counts(spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "c"), ("-", "c")], "p string, q string"), ["p", "q"], {"n": F.count("*")})
+    assert keys.where("n > 1").count() == 1  # only the last component alone repeats
+
+
+def test_distinct_counts_without_expanding_rows(spark):
+    df = spark.createDataFrame([(1, "a", 0.0, None), (1, "A", -0.0, None), (None, "", float("nan"), None), (2, None, float("nan"), None)], "i int, s string, x double, none string")
+    want = df.agg(*[F.countDistinct(c).alias(c) for c in df.columns]).first().asDict()
+    out = profiling.field_profile(df, {"i": "integer", "s": "string", "x": "number", "none": "string"}, ["i", "s", "x", "none"])
+    assert {r.field: r.distinct_values for r in out.collect()} == want == {"i": 2, "s": 3, "x": 2, "none": 0}
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    scan = profiling.column_scan({"t": df}, [])
+    assert {r.field: (r.present, r.distinct_values) for r in scan.collect()} == {"i": (3, 2), "s": (3, 3), "x": (4, 2), "none": (0, 0)}
+    assert "Expand" not in scan._jdf.queryExecution().executedPlan().toString()
+    assert [r.distinct_values for r in profiling.field_profile(df, {"i": "integer", "s": "string"}, ["s"]).orderBy("field").collect()] == [None, 3]
+
+
+def test_split_join_gives_the_plain_join(spark, hot):
+    left = spark.createDataFrame([(f"k{0 if i % 3 else i}", i) for i in range(300)], "key string, i long")
+    right = spark.createDataFrame([("k0", "hot"), ("k3", "x"), ("k9", "y"), ("none", "z")], "key string, v string")
+    got, want = join_split(left, right, "key"), left.join(right, "key")
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    assert "__part" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_splits_a_component_of_few_values(spark, hot):
+    test_nearest_matches_all_pairs(spark)
+
+
+def test_top_procedures_and_whole_lookup(spark):
+    labs = spark.createDataFrame([("a", "p1"), ("a", "p1"), ("b", "p1"), ("b", "p2"), ("b", None), ("c", "p3")], "pid string, name string")
+    assert [tuple(r[c] for c in ("rank", "name", "procedure_rows", "procedure_entities", "procedures")) for r in screens.top_procedures(labs, "pid", "name", 2).orderBy("rank").collect()] == [
+        (1, "p1", 3, 2, 3), (2, "p2", 1, 1, 3)]
+    book = spark.createDataFrame([("K1", "known")], "code string, description string")
+    codes = spark.createDataFrame([("a", "K.1"), ("a", "Z9")], "pid string, code string")
+    assert {r.code: r.description for r in screens.top_codes(codes, "pid", F.col("code"), book).collect()} == {"K.1": "known", "Z9": "[not in the lookup]"}
+
+
 def test_nearest_matches_all_pairs(spark):
     import itertools
     import random
