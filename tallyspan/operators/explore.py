@@ -465,12 +465,23 @@ def naive_velocity(df: DataFrame, pid: str, age: str, value: str, delta: str, to
 
 
 def cross_rule(df: DataFrame, pid: str, age: str, value: str, gap: str, rules: dict[str, tuple]) -> DataFrame:
-    """Rows whose published gap each rule reproduces: the cost of assuming the wrong one."""
-    parts = []
-    for name, rule in rules.items():
-        src = velocity_source(df, pid, age, value, rule, [gap]).where(F.col(gap).isNotNull())
-        parts.append(src.agg(F.lit(name).alias("rule"), F.count("*").alias("rows"), F.count_if(F.col(age) - F.col("p.a") == F.col(gap)).alias("matched")))
-    return reduce(DataFrame.unionByName, parts)
+    """Rows whose published gap each rule reproduces: the cost of assuming the wrong one.
+
+    Rows fold to one per entity, day and gap; one sort of these serves a range frame for each distinct
+    minimum of all rules, so a further rule costs no further pass.
+    """
+    cells = df.where(F.col(value).isNotNull()).groupBy(pid, age, gap).agg(F.count("*").alias("__n"))
+    by_day = Window.partitionBy(pid).orderBy(age)
+    least = sorted({g for steps, default in rules.values() for g in [default, *(g for _, g in steps)]})
+    cells = cells.withColumns({f"__day{g}": F.max(age).over(by_day.rangeBetween(Window.unboundedPreceding, -g)) for g in least})
+    counts = [F.coalesce(F.sum(F.when(F.col(gap).isNotNull(), F.col("__n"))), F.lit(0)).alias("rows")]
+    for i, (steps, default) in enumerate(rules.values()):
+        row_gap, prior = step_value(F.col(age), steps, default), F.lit(None).cast("long")
+        for g in least:
+            prior = F.when(row_gap == g, F.col(f"__day{g}")).otherwise(prior)
+        counts.append(F.coalesce(F.sum(F.when(F.col(age) - prior == F.col(gap), F.col("__n"))), F.lit(0)).alias(f"m{i}"))
+    return cells.agg(*counts).select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("rule"), "rows", F.col(f"m{i}").alias("matched")) for i, name in enumerate(rules)])).alias("r")).select("r.*")
 
 
 def smallest_gap(df: DataFrame, age: str, gap: str, bands) -> DataFrame:

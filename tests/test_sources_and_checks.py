@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,24 @@ def test_distinct_counts_without_expanding_rows(spark):
     assert [r.distinct_values for r in profiling.field_profile(df, {"i": "integer", "s": "string"}, ["s"]).orderBy("field").collect()] == [None, 3]
 
 
+def test_cross_rule_sorts_once_for_all_rules(spark):
+    rules = {"short": ([(100, 10)], 20), "long": ([], 35), "mixed": ([(60, 20)], 35)}
+    rng = random.Random(6)
+    data = [(f"p{rng.randrange(3)}", rng.randrange(200), rng.choice([1.0, None, 2.0]), rng.choice([None, 10, 20, 21, 35, 40])) for _ in range(160)]
+    data += data[:20]
+    df = spark.createDataFrame(data, "pid string, age long, v double, gap long")
+    out = explore.cross_rule(df, "pid", "age", "v", "gap", rules)
+    want = {}
+    for name, (steps, default) in rules.items():
+        rows = [r for r in data if r[2] is not None and r[3] is not None]
+        least = lambda age: next((g for below, g in steps if age <= below), default)
+        prior = lambda r: max((o[1] for o in data if o[0] == r[0] and o[2] is not None and o[1] <= r[1] - least(r[1])), default=None)
+        want[name] = (len(rows), sum(prior(r) is not None and r[1] - prior(r) == r[3] for r in rows))
+    assert {r.rule: (r.rows, r.matched) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
+
+
 def test_split_join_gives_the_plain_join(spark, hot):
     left = spark.createDataFrame([(f"k{0 if i % 3 else i}", i) for i in range(300)], "key string, i long")
     right = spark.createDataFrame([("k0", "hot"), ("k3", "x"), ("k9", "y"), ("none", "z")], "key string, v string")
