@@ -44,12 +44,13 @@ def exact_quantiles(df: DataFrame, by: list[str], values: dict[str, Column], pro
     return both.groupBy(*keys).agg(F.max("__total").alias("n"), *out)
 
 
-def rank_auc(df: DataFrame, by: list[str], label: str, score: str = "value") -> DataFrame:
-    """Mid-rank AUC per group from counts per distinct score, plus separation."""
+def rank_auc(df: DataFrame, by: list[str], label: str, score: str = "value", weight: str | None = None) -> DataFrame:
+    """Mid-rank AUC per group from counts per distinct score, plus separation; ``weight`` is how many rows a row stands for."""
+    n = F.lit(1) if weight is None else F.col(weight)
     counts = (
         df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
         .groupBy(*by, score)
-        .agg(F.sum(F.col(label).cast("long")).alias("__pos"), F.count("*").alias("__all"))
+        .agg(F.sum(F.col(label).cast("long") * n).alias("__pos"), F.sum(n.cast("long")).alias("__all"))
     )
     ranked = running_totals(counts, by, [score], {"__before": "__all"})
     midrank = F.col("__before") + (F.col("__all") + 1) / 2.0

@@ -99,15 +99,16 @@ def event_timing(records: DataFrame, windows: DataFrame, pid: str, age: str) ->
 
 
 def cells_of(df: DataFrame, by: str) -> DataFrame:
+    """Every row once overall and once in its group; callers fold their rows before."""
     return df.withColumn("cell", F.explode(F.array(F.lit("overall"), F.concat(F.lit(f"{by}="), F.col(by)))))
 
 
 def decision_metrics(pred: DataFrame, label: str, decision: str, by: str) -> DataFrame:
-    """Confusion counts and rates overall and per group in one aggregate; missing decisions counted."""
+    """Confusion counts and rates per group and, from their sums, overall; missing decisions counted."""
     y, d = F.col(label) == 1, F.col(decision)
-    agg = cells_of(pred, by).groupBy("cell").agg(
-        F.count("*").alias("members"), F.count(d).alias("evaluable"), F.count_if(y & d).alias("tp"), F.count_if(~y & ~d).alias("tn"),
-        F.count_if(~y & d).alias("fp"), F.count_if(y & ~d).alias("fn"))
+    counts = {"members": F.count("*"), "evaluable": F.count(d), "tp": F.count_if(y & d), "tn": F.count_if(~y & ~d), "fp": F.count_if(~y & d), "fn": F.count_if(y & ~d)}
+    folded = pred.groupBy(by).agg(*[c.alias(n) for n, c in counts.items()])
+    agg = cells_of(folded, by).groupBy("cell").agg(*[F.sum(n).alias(n) for n in counts])
     pos, neg = F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp")
     sens, spec = ratio(F.col("tp"), pos), ratio(F.col("tn"), neg)
     return agg.withColumns({"positives": pos, "negatives": neg, "missing": F.col("members") - F.col("evaluable"), "sensitivity": sens, "specificity": spec,
@@ -116,9 +117,12 @@ def decision_metrics(pred: DataFrame, label: str, decision: str, by: str) -> Dat
 
 def score_metrics(pred: DataFrame, label: str, decision: str, score: str, by: str) -> DataFrame:
     """Mid-rank AUROC and Brier mean per cell over members with a decision."""
-    rows = cells_of(pred.where(F.col(decision).isNotNull()), by).select("cell", F.col(label).alias("label"), F.col(score).alias("value"))
-    auc = rank_auc(rows, ["cell"], "label").select("cell", F.col("auc").alias("auroc"))
-    brier = rows.groupBy("cell").agg(F.avg(F.pow(F.col("value") - F.col("label"), 2)).alias("brier"), F.count_if(F.col("value").isNull()).alias("missing_scores"))
+    folded = pred.where(F.col(decision).isNotNull()).groupBy(by, F.col(label).alias("label"), F.col(score).alias("value")).agg(F.count("*").alias("n"))
+    rows = cells_of(folded, by).select("cell", "label", "value", "n")
+    auc = rank_auc(rows, ["cell"], "label", weight="n").select("cell", F.col("auc").alias("auroc"))
+    scored = F.when(F.col("value").isNotNull() & F.col("label").isNotNull(), F.col("n"))
+    brier = rows.groupBy("cell").agg(ratio(F.sum(F.pow(F.col("value") - F.col("label"), 2) * scored), F.sum(scored)).alias("brier"),
+                                     F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing_scores"))
     whole = F.col("missing_scores") == 0
     return brier.join(auc, "cell", "left").select("cell", "missing_scores", F.when(whole, F.col("auroc")).alias("auroc"), F.when(whole, F.col("brier")).alias("brier"))
 
