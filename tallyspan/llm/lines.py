@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join; only DataFrame functions are used.
 
-A line is the set of its words, A-Z lower-cased.  A line goes if an earlier line (smaller doc_id, then line
+A line is the set of its words in lower case.  A line goes if an earlier line (smaller doc_id, then line
 number) has an equal set or one with a Jaccard similarity of ``threshold`` or more, whether or not that
 one stays itself.
 
@@ -10,11 +10,13 @@ one stays itself.
 2. Equal sets are folded, with the place of their first line.
 3. Each set enters the index under its prefix, the rarest words, as many as the threshold asks for.  Sets
    of so few words that only an equal one is similar need no index.
-4. A set goes as soon as *one* earlier set is similar, so no family of similar lines is listed pair by pair.  In
-   each list a set first meets the first set of the list and the one before it: two candidates a list, however long it is.  Only sets
-   that these do not settle meet the rest of their lists, by size classes.
+4. A set goes as soon as *one* earlier set is similar, so no family of similar lines is listed pair by pair.  By
+   the middle and the last word of its prefix (a changed word is often a rare one, so the rarest would part
+   a family) a set first meets, among the sets of its size, the first one and the one before it: at most four
+   candidates a set, however long the lists are.  Only sets that these do not settle look through their lists.
 5. Candidates must pass the length and the positional filter and a parity bitmap whose differing bits bound
-   the sets' difference from below.  What passes is verified on the words themselves.
+   the sets' difference from below.  What passes is verified on the words themselves; an index entry may therefore hold
+   four bytes of a word's hash.
 
 Folding and counts are combined before each shuffle, so a line that stands everywhere is one row per task.
 
@@ -26,21 +28,32 @@ table gives an empty result; extra columns are carried untouched, whatever they
 from __future__ import annotations
 
 import math
-import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspan.functions.storage import fresh_path, scratch
+
 from .common import materialize, text_key, unused
 
 THRESHOLD, BITS = 0.8, 13
+LONG = 64  # sets of more words fill 64 bits and get three parts of the bitmap besides
+PARTS = ("m1", "m2", "m3")
 BROADCAST_DOCUMENTS = 100_000  # keys of 16 bytes: a few megabytes
 _LOW = (1 << 56) - 1
-_FOLD = (string.ascii_uppercase + "\t\v\f\r", string.ascii_lowercase + " " * 4)
+
+
+def _split(line: Column, white: str = "\t\v\f\r") -> Column:
+    """Parts between single white-space characters, in lower case; some are empty."""
+    line = F.lower(line)
+    for c in white:
+        line = F.replace(line, F.lit(c), F.lit(" "))
+    return F.split(line, " ")
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, *_FOLD), " "), "")
+    return F.array_remove(_split(line), "")
 
 
 def _place() -> Column:
@@ -58,8 +71,8 @@ def raw_lines(docs: DataFrame) -> DataFrame:
 
 def frequency_classes(docs: DataFrame, bits: int) -> list[int]:
     """Frequency class (0-126, four steps to a doubling) of each of ``2**bits`` counters of words."""
-    words = docs.select(F.explode(F.split(F.translate(F.col("text").cast("string"), _FOLD[0] + "\n", _FOLD[1] + " "), " ")).alias("w")).where("w <> ''")
-    rows = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(1 << bits)).alias("b")).count().collect()
+    words = docs.select(F.explode(_split(F.col("text").cast("string"), "\n\t\v\f\r")).alias("w")).where("w <> ''")
+    rows = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).alias("b")).count().collect()
     out = [0] * (1 << bits)
     for r in rows:
         out[r["b"]] = min(126, round(4 * math.log2(1 + r["count"])))
@@ -70,16 +83,17 @@ def ordered_sets(lines: DataFrame, classes: list[int], bits: int) -> DataFrame:
     """Lines that have a word, with ``ids``, the hashes of their words in order of rarity, in place of the text."""
     keep = [c for c in lines.columns if c != "raw"]
     table = F.from_json(F.lit(str(classes)), "array<tinyint>")  # folded into one constant of fixed size
-    # The generators keep arrays as columns; as expressions they would be worked out anew by each use.
-    hashed = lines.select(*keep, F.explode(F.array(F.array_distinct(F.transform(_words(F.col("raw")), lambda w: F.xxhash64(w))))).alias("hs")).where(F.size("hs") > 0)
-    ids = F.sort_array(F.transform("hs", lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(1 << bits)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))))
-    return hashed.select(*keep, F.explode(F.array(ids)).alias("ids"))
+    ids = F.array_distinct(F.sort_array(F.transform(_words(F.col("raw")), lambda w: F.shiftleft(
+        F.get(table, F.xxhash64(w).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")).cast("long"), 56).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_LOW))))))
+    # The generator keeps the array as a column; as an expression it would be worked out anew by each use.
+    return lines.select(*keep, F.explode(F.array(ids)).alias("ids")).where(F.size("ids") > 0)
 
 
-def _bitmap(ids: Column) -> Column:
-    """Bit b is the parity of the number of words that fall on b."""
-    ones = F.array(*[F.lit((1 << b) - (1 << 64) * (b == 63)) for b in range(64)])
-    return F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.element_at(ones, (F.pmod(x, F.lit(64)) + 1).cast("int"))))
+def _bitmap(ids: str, part: int | None = None) -> Column:
+    """Bit b is the parity of the number of words that fall on b; ``part`` takes one word in four, so four parts make up the whole."""
+    bit = "shiftleft(1L, cast(x & 63 AS INT))"
+    bit = bit if part is None else f"if((shiftright(x, 6) & 3) = {part}, {bit}, 0L)"
+    return F.expr(f"aggregate({ids}, 0L, (a, x) -> a ^ {bit})")
 
 
 def _needed(a: Column, b: Column, threshold: float) -> Column:
@@ -100,63 +114,65 @@ def indexed_lines(sets: DataFrame, threshold: float) -> DataFrame:
     n, few = F.size("ids"), _smallest_with_others(threshold)
     prefix = F.slice("ids", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
     return sets.select("doc_id", "tid", "line", "place", F.xxhash64("ids").alias("s1"), F.xxhash64(F.reverse("ids")).alias("s2"), n.alias("n"),
-                       F.when(n >= few, _bitmap(F.col("ids"))).alias("map"), F.when(n >= few, prefix).alias("prefix"))
+                       F.when(n >= few, _bitmap("ids")).alias("map"), *[F.when(n > LONG, _bitmap("ids", k)).alias(m) for k, m in enumerate(PARTS)], F.when(n >= few, F.transform(prefix, lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))).alias("prefix"))
 
 
 def _compatible(x: str, y: str, threshold: float) -> Column:
     """The filters on two postings, given by the prefixes of their columns."""
     c = lambda side, name: F.col(side + name)
     need = _needed(c(x, "n"), c(y, "n"), threshold)
+    differ = c(x, "n") + c(y, "n") - 2 * need
+    apart = {m: c(x, m).bitwiseXOR(c(y, m)) for m in ("map", *PARTS)}
+    rest = reduce(Column.bitwiseXOR, apart.values())  # the fourth part
     return ((F.least(c(x, "n"), c(y, "n")) >= F.lit(threshold) * F.greatest(c(x, "n"), c(y, "n")) - 1e-9)  # length
             & (F.least(c(x, "n") - c(x, "at"), c(y, "n") - c(y, "at")) >= need)  # position
-            & (F.bit_count(c(x, "map").bitwiseXOR(c(y, "map"))) <= c(x, "n") + c(y, "n") - 2 * need))  # difference
+            & (F.bit_count(apart["map"]) <= differ)  # difference, by the whole bitmap and by its parts where both sets have them
+            & F.coalesce(F.bit_count(rest) + sum((F.bit_count(apart[m]) for m in PARTS), F.lit(0)) <= differ, F.lit(True)))
 
 
-def _size_class(n: Column, threshold: float) -> Column:
-    """Sizes within the threshold of each other lie in the same class or in neighbouring ones."""
-    return F.floor(F.log(n.cast("double")) / -math.log(threshold) + 1e-9).cast("int")
+def similar_sets(pairs: DataFrame, folded: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(node) of the pairs (node, other) that are similar, each verified on the words of a line of either set."""
+    path = fresh_path(docs.sparkSession, "line-similar")
+    with scratch(docs.sparkSession):  # the words of the candidates are needed no longer
+        found = _verified(pairs, folded, docs, threshold)
+        found.write.parquet(path)
+    return docs.sparkSession.read.schema(found.schema).parquet(path)
 
 
-def similar_sets(pairs: DataFrame, folded: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """(s1, s2) of the pairs (s1, s2, o1, o2) that are similar, each verified on the words of a line of either set."""
+def _verified(pairs: DataFrame, folded: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     pairs = materialize(pairs.distinct(), "line-pairs")
-    ends = pairs.select("s1", "s2").union(pairs.select("o1", "o2")).distinct()
-    wanted = materialize(folded.select("s1", "s2", "first", "tid").join(ends, ["s1", "s2"], "left_semi"), "line-wanted")
-    last = F.lit((1 << 63) - 1)
-    owners = wanted.select(F.floor(F.col("first") / F.lit(1 << 31)).cast("long").alias("owner")).distinct()
+    ends = pairs.select("node").union(pairs.select("other")).distinct()
+    wanted = materialize(folded.select("node", F.col("first").alias("place"), "tid").join(ends, "node", "left_semi"), "line-wanted")
+    owners = wanted.select(F.floor(F.col("place") / F.lit(1 << 31)).cast("long").alias("owner")).distinct()
     few = owners.limit(BROADCAST_DOCUMENTS + 1).count() <= BROADCAST_DOCUMENTS
-    id_of = F.coalesce(F.col("doc_id").cast("long"), last)
+    id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     chosen = docs.join(F.broadcast(owners) if few else owners, id_of == F.col("owner"), "left_semi")
     # Rows of one id tie in place; the text tells which of them is meant.
-    lines = raw_lines(chosen).select("place", "raw", "tid").join(wanted.withColumnRenamed("first", "place"), ["place", "tid"])
-    whole = lines.select("s1", "s2", F.explode(F.array(F.array_distinct(_words(F.col("raw"))))).alias("ws"))
-    whole = materialize(whole, "line-words")
-    col = F.col
-    both = pairs.join(whole.select("s1", "s2", col("ws").alias("x")), ["s1", "s2"]).join(whole.select(col("s1").alias("o1"), col("s2").alias("o2"), col("ws").alias("y")), ["o1", "o2"])
-    return materialize(both.where(F.size(F.array_intersect("x", "y")) >= _needed(F.size("x"), F.size("y"), threshold)).select("s1", "s2").distinct(), "line-similar")
+    lines = raw_lines(chosen).select("place", "raw", "tid").join(wanted, ["place", "tid"])
+    whole = materialize(lines.select("node", F.explode(F.array(F.array_distinct(_words(F.col("raw"))))).alias("ws")), "line-words")
+    both = pairs.join(whole.withColumnRenamed("ws", "x"), "node").join(whole.select(F.col("node").alias("other"), F.col("ws").alias("y")), "other")
+    return both.where(F.size(F.array_intersect("x", "y")) >= _needed(F.size("x"), F.size("y"), threshold)).select("node").distinct()
 
 
 def covered_sets(folded: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """(s1, s2) of the sets that resemble a set with an earlier first line."""
-    postings = folded.where("prefix IS NOT NULL").select("s1", "s2", "first", "n", "map", F.posexplode("prefix").alias("at", "token"))
-    mine = F.struct("s1", "s2", "n", "map", "at")
-    # Sets of one place (equal ids) are no reason for each other; they are sorted out below by ``first``.
-    by_place = Window.partitionBy("token").orderBy("first", "s1", "s2")
-    seen = materialize(postings.withColumns({
-        "nth": F.row_number().over(by_place), "head": F.first(F.struct("first", mine.alias("set"))).over(by_place),
-        "prior": F.lag(F.struct("first", mine.alias("set"))).over(by_place)}).where("nth > 1"), "line-postings")
-    met = []
-    for side in ("head", "prior"):
-        o = seen.select("s1", "s2", "first", "n", "map", "at", F.col(f"{side}.first").alias("o_first"), *[F.col(f"{side}.set.{c}").alias(f"o_{c}") for c in ("s1", "s2", "n", "map", "at")])
-        met.append(o.where((F.col("o_first") < F.col("first")) & _compatible("", "o_", threshold)).select("s1", "s2", F.col("o_s1").alias("o1"), F.col("o_s2").alias("o2")))
-    settled = similar_sets(met[0].union(met[1]), folded, docs, threshold)
-    # The rest looks through its whole lists; a set that is second in a list has met all of it.
-    open_ = seen.where("nth > 2").select("s1", "s2", "first", "n", "map", "at", "token").join(settled, ["s1", "s2"], "left_anti")
-    low, high = F.ceil(F.col("n") * F.lit(threshold) - 1e-9), F.floor(F.col("n") / F.lit(threshold) + 1e-9)
-    asked = open_.withColumn("size", F.explode(F.sequence(_size_class(low, threshold), _size_class(high, threshold))))
-    index = postings.select(*[F.col(c).alias(f"o_{c}") for c in ("s1", "s2", "first", "n", "map", "at", "token")], _size_class(F.col("n"), threshold).alias("o_size"))
-    more = asked.join(index, (F.col("token") == F.col("o_token")) & (F.col("size") == F.col("o_size")) & (F.col("o_first") < F.col("first")) & _compatible("", "o_", threshold))
-    return settled.union(similar_sets(more.select("s1", "s2", F.col("o_s1").alias("o1"), F.col("o_s2").alias("o2")), folded, docs, threshold))
+    """(node) of the sets that resemble a set with an earlier first line."""
+    postings = lambda sets, prefix: sets.where("prefix IS NOT NULL").select("node", "first", "n", "map", *PARTS, F.posexplode(prefix).alias("at", "token"))
+    by_place = Window.partitionBy("token", "n").orderBy("first", "node")
+    mine = F.struct("first", "node", "n", "map", *PARTS, "at")
+    # Sets of one place (rows of one id) are no reason for each other, hence the strict order of places.
+    earlier = (F.col("o.first") < F.col("first")) & _compatible("", "o.", threshold)
+    last = F.size("prefix")
+    some = F.array_distinct(F.array(F.get("prefix", (last / 2).cast("int")), F.get("prefix", last - 1)))
+    met = postings(folded, some).withColumn("at", F.lit(0)).withColumns({"head": F.first(mine).over(by_place), "prior": F.lag(mine).over(by_place)})
+    met = met.select("node", "first", "n", "map", *PARTS, "at", F.explode(F.array("head", "prior")).alias("o")).where(earlier)
+    settled = similar_sets(met.select("node", F.col("o.node").alias("other")), folded, docs, threshold)
+    # The rest looks through its whole lists.  Both sides of the join are the same postings, shuffled once: a
+    # condition on one side alone would be pushed below the exchange and make two of it, so it names both.
+    open_ = folded.join(settled.withColumn("done", F.lit(True)), "node", "left").withColumn("open", F.when(F.col("done").isNull(), 1).otherwise(0))
+    every = open_.where("prefix IS NOT NULL").select("node", "first", "n", "map", *PARTS, "open", F.posexplode("prefix").alias("at", "token"))
+    a, o = every.alias("a"), every.alias("o")
+    more = a.join(o, (F.col("a.token") == F.col("o.token")) & (F.col("a.open") + 0 * F.col("o.open") == 1) & (F.col("o.first") < F.col("a.first")) & _compatible("a.", "o.", threshold))
+    return settled.union(similar_sets(more.select(F.col("a.node").alias("node"), F.col("o.node").alias("other")), folded, docs, threshold))
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
@@ -164,10 +180,10 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BIT
     docs = docs.select("doc_id", "text")
     indexed = materialize(indexed_lines(ordered_sets(raw_lines(docs), frequency_classes(docs, bits), bits), threshold), "lines")
     folded = materialize(indexed.groupBy("s1", "s2").agg(
-        F.min(F.struct("place", "tid")).alias("f"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("prefix").alias("prefix")).select(
-        "s1", "s2", F.col("f.place").alias("first"), F.col("f.tid").alias("tid"), "n", "map", "prefix"), "line-sets")
+        F.min(F.struct("place", "tid")).alias("f"), F.first("n").alias("n"), F.first("map").alias("map"), *[F.first(m).alias(m) for m in PARTS], F.first("prefix").alias("prefix")).select(
+        "s1", "s2", F.col("f.place").alias("first"), F.col("f.tid").alias("tid"), "n", "map", *PARTS, "prefix", F.monotonically_increasing_id().alias("node")), "line-sets")
     covered = covered_sets(folded, docs, threshold).withColumn("covered", F.lit(True))
-    first = folded.select("s1", "s2", "first").join(covered, ["s1", "s2"], "left")
+    first = folded.select("s1", "s2", "first", "node").join(covered, "node", "left").drop("node")
     late = indexed.select("doc_id", "tid", "line", "place", "s1", "s2").join(first, ["s1", "s2"]).where("covered OR place > first")
     return late.groupBy("doc_id", "tid").agg(F.collect_set("line").alias("gone"))
 

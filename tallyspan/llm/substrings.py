@@ -66,6 +66,9 @@ def anchors(words: list[bytes], length: int, seed: int) -> tuple[np.ndarray, np.
     return h[at[first]], at[first], first, np.diff(np.append(first, len(at)))
 
 
+_ODD = np.random.default_rng(1).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def deep_nodes(suffixes: np.ndarray, depth: int) -> np.ndarray:
     """Size of the deepest node of at least ``depth`` words above each suffix (row), else 1.
 
@@ -74,13 +77,24 @@ def deep_nodes(suffixes: np.ndarray, depth: int) -> np.ndarray:
     """
     if not len(suffixes):
         return np.zeros(0, np.int64)
-    rows = np.ascontiguousarray(suffixes.astype(">u4"))
-    order = np.argsort(rows.view(f"V{rows.dtype.itemsize * rows.shape[1]}").ravel(), kind="stable")
-    ranked = suffixes[order]
-    differ = ranked[1:] != ranked[:-1]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
-    node = np.concatenate(([0], np.cumsum(common < depth)))
-    size = np.empty(len(rows), np.int64)
+    width, apart = suffixes.shape[1], None
+    if depth >= width:  # only equal rows hang together: a mix of their words brings them next to each other, in less time than their order
+        mix = np.zeros(len(suffixes), np.uint64)
+        for k in range(width):
+            mix += suffixes[:, k] * _ODD[k % len(_ODD)]
+        order = np.argsort(mix, kind="stable")
+        ranked = suffixes[order]
+        apart = (ranked[1:] != ranked[:-1]).any(axis=1)
+        if (apart & (mix[order][1:] == mix[order][:-1])).any():  # different rows of one mix: take the order itself
+            apart = None
+    if apart is None:
+        rows = np.ascontiguousarray(suffixes.astype(">u4"))
+        order = np.argsort(rows.view(f"V{4 * width}").ravel(), kind="stable")
+        ranked = suffixes[order]
+        differ = ranked[1:] != ranked[:-1]
+        apart = np.where(differ.any(axis=1), differ.argmax(axis=1), width) < depth
+    node = np.concatenate(([0], np.cumsum(apart)))
+    size = np.empty(len(suffixes), np.int64)
     size[order] = np.bincount(node)[node]
     return size
 
@@ -152,21 +166,18 @@ def subtree_spans(groups: DataFrame, length: int) -> DataFrame:
     schema = arrow_schema("tid binary, first int, stop int")
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        ids: dict = {}
         out = ([], [], [])
-        matrix, owner = [], []
-        group, last = 0, None
-        for i, (prefix, _, _, n, words) in enumerate(rows):
-            group += prefix != last
-            last = prefix
-            line = np.array([ids.setdefault(w, len(ids)) for w in words.split(b" ")], np.uint32)
-            view = np.lib.stride_tricks.sliding_window_view(line, length)[:n]
-            matrix.append(np.column_stack((np.full(n, group, np.uint32), view)))
-            owner.append(np.full(n, i))
         if rows:
-            owners = np.concatenate(owner)
-            hit = deep_nodes(np.concatenate(matrix), length + 1) > 1
-            place = np.arange(len(owners)) - np.searchsorted(owners, owners)
+            parts = b" ".join(r[4] for r in rows).split(b" ")  # a row of n windows holds n + length - 1 words
+            ids = {w: i for i, w in enumerate(dict.fromkeys(parts))}
+            line = np.fromiter(map(ids.__getitem__, parts), np.uint32, len(parts))
+            windows = np.array([r[3] for r in rows], np.int64)
+            group = np.cumsum([0] + [x[0] != y[0] for x, y in zip(rows, rows[1:])])
+            owners = np.repeat(np.arange(len(rows)), windows)
+            place = np.arange(len(owners)) - np.repeat(np.cumsum(windows) - windows, windows)
+            begin = np.repeat(np.cumsum(windows + length - 1) - (windows + length - 1), windows) + place
+            suffixes = np.column_stack((group[owners].astype(np.uint32), line[begin[:, None] + np.arange(length)]))
+            hit = deep_nodes(suffixes, length + 1) > 1
             at = np.flatnonzero(hit)
             if len(at):
                 begins = np.concatenate(([True], (np.diff(at) != 1) | (owners[at[1:]] != owners[at[:-1]])))

@@ -73,6 +73,14 @@ def test_deep_nodes_are_equal_suffixes():
     x = rng.integers(0, 2, (300, 5)).astype(np.uint32)
     seen = Counter(map(tuple, x.tolist()))
     assert substrings.deep_nodes(x, 5).tolist() == [seen[tuple(r)] for r in x.tolist()]
+    seen = Counter(tuple(r[:3]) for r in x.tolist())
+    assert substrings.deep_nodes(x, 3).tolist() == [seen[tuple(r[:3])] for r in x.tolist()]
+
+
+def test_deep_nodes_with_colliding_mixes(monkeypatch):
+    monkeypatch.setattr(substrings, "_ODD", np.ones(1, np.uint64))
+    x = np.array([[1, 2], [2, 1], [1, 2], [3, 0], [2, 1], [2, 1]], np.uint32)
+    assert substrings.deep_nodes(x, 2).tolist() == [2, 3, 2, 1, 3, 3]
 
 
 # ---- 2
