@@ -169,7 +169,9 @@ def covered_sets(folded: DataFrame, docs: DataFrame, threshold: float) -> DataFr
     # The rest looks through its whole lists.  Both sides of the join are the same postings, shuffled once: a
     # condition on one side alone would be pushed below the exchange and make two of it, so it names both.
     open_ = folded.join(settled.withColumn("done", F.lit(True)), "node", "left").withColumn("open", F.when(F.col("done").isNull(), 1).otherwise(0))
-    every = open_.where("prefix IS NOT NULL").select("node", "first", "n", "map", *PARTS, "open", F.posexplode("prefix").alias("at", "token"))
+    # Written first: over a join of their own the two sides would be planned apart.
+    index = materialize(open_.select("node", "first", "n", "map", *PARTS, "prefix", "open"), "line-index")
+    every = index.where("prefix IS NOT NULL").select("node", "first", "n", "map", *PARTS, "open", F.posexplode("prefix").alias("at", "token"))
     a, o = every.alias("a"), every.alias("o")
     more = a.join(o, (F.col("a.token") == F.col("o.token")) & (F.col("a.open") + 0 * F.col("o.open") == 1) & (F.col("o.first") < F.col("a.first")) & _compatible("a.", "o.", threshold))
     return settled.union(similar_sets(more.select(F.col("a.node").alias("node"), F.col("o.node").alias("other")), folded, docs, threshold))
