@@ -82,8 +82,10 @@ def suppress(n: Column, below: int = 10) -> Column:
 
 
 def stabilize(c: Column, digits: int = 8) -> Column:
-    """Keep ``digits`` significant digits, so that summation order does not show."""
-    return F.format_string(f"%.{digits - 1}e", c.cast("double")).cast("double")
+    """Keep ``digits`` significant digits, so that summation order does not show; null stays null."""
+    x = c.cast("double")
+    # A null is formatted as the word null, which is no number.
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits - 1}e", x)).cast("double")
 
 
 # Rational approximation of the normal tail (Hart's algorithm 5666), highest power first.

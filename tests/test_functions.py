@@ -134,6 +134,12 @@ def test_suppress_and_stabilize(spark):
     assert got[1].x == pytest.approx(1.2345679, abs=1e-12) and got[3].x == 0.0
 
 
+def test_stabilize_keeps_null_and_special_values(spark):
+    df = spark.createDataFrame([(0, None), (1, 2.5), (2, float("inf")), (3, float("nan"))], "k int, x double")
+    got = [r.x for r in df.orderBy("k").select(stats.stabilize(F.col("x")).alias("x")).collect()]
+    assert got[:3] == [None, 2.5, float("inf")] and got[3] != got[3]
+
+
 def test_wilson_interval_edges(spark):
     df = spark.createDataFrame([(0, 0), (0, 10), (10, 10), (3, 10)], "k int, n int")
     lo, hi = stats.wilson_interval(F.col("k"), F.col("n"))
