@@ -380,18 +380,27 @@ def source_cte(rule, name: str) -> str:
 PUB_CTE = velocity_cte("visits", "height_in", derive.HEIGHT_GAPS, "h")
 
 
-@query("e30_reproduce_velocity", with_roles("""
+def half_up(e: str) -> str:
+    """Spark's ``round`` to six digits, half away from zero on the number as written; DuckDB's own rounds the binary product with 10**6, which moves ties."""
+    return f"cast(round(cast(cast({e} AS VARCHAR) AS DECIMAL(38, 24)), 6) AS DOUBLE)"
+
+
+_E30_CTES = f"""{velocity_cte("visits", "height_in", derive.HEIGHT_GAPS, "h0")},
+    h AS (SELECT * REPLACE ({half_up('raw')} AS delta, {half_up('raw / gap * 365')} AS velocity) FROM h0), {source_cte(derive.HEIGHT_GAPS, 's')}"""
+
+
+@query("e30_reproduce_velocity", with_roles(f"""
     , dup AS (SELECT patient_id, age_in_days FROM h WHERE v IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1),
     r AS (SELECT *, (SELECT max(q.v) FROM h q WHERE q.patient_id = s.patient_id AND q.age_in_days = s.prev_age) AS prev_v,
       EXISTS (SELECT 1 FROM dup d WHERE d.patient_id = s.patient_id AND d.age_in_days IN (s.age_in_days, s.prev_age)) AS isdup FROM s WHERE delta IS NOT NULL AND prev_age IS NOT NULL),
-    x AS (SELECT *, abs(round(v - prev_v, 6) - delta) AS diff FROM r)
+    x AS (SELECT *, abs({half_up('v - prev_v')} - delta) AS diff FROM r)
     SELECT count(*) AS n, (SELECT count(delta) FROM h) AS published, count(*) FILTER (age_in_days - prev_age = gap) AS gap_match, count(*) FILTER (diff < 1e-9) AS exact,
       count(*) FILTER (diff < 0.0101e0) AS within, count(*) FILTER (diff >= 0.0101e0) AS off, count(*) FILTER (diff >= 0.0101e0 AND isdup) AS off_on_repeated_days,
-      count(*) FILTER (round((v - prev_v) / (age_in_days - prev_age) * 365, 6) = velocity) AS velocity_from_source,
-      count(*) FILTER (round(delta / gap * 365, 6) = velocity) AS velocity_from_published, count(*) FILTER (round(delta / gap * 365.25e0, 6) = velocity) AS velocity_other_year,
+      count(*) FILTER ({half_up('(v - prev_v) / (age_in_days - prev_age) * 365')} = velocity) AS velocity_from_source,
+      count(*) FILTER ({half_up('delta / gap * 365')} = velocity) AS velocity_from_published, count(*) FILTER ({half_up('delta / gap * 365.25e0')} = velocity) AS velocity_other_year,
       CASE WHEN count(*) = (SELECT count(delta) FROM h) THEN 'PASS' ELSE 'FAIL' END AS status,
       (SELECT count(*) FROM (SELECT max(v) - lag(max(v)) OVER (PARTITION BY patient_id ORDER BY age_in_days) AS dv, max(delta) AS d FROM h WHERE v IS NOT NULL GROUP BY patient_id, age_in_days) l
-        WHERE abs(dv - d) < 0.0101e0) AS lag1 FROM x""", "visits", ctes=f"{PUB_CTE}, {source_cte(derive.HEIGHT_GAPS, 's')}"))
+        WHERE abs(dv - d) < 0.0101e0) AS lag1 FROM x""", "visits", ctes=_E30_CTES))
 def e30(t: Tables) -> DataFrame:
     pub = published(t)
     naive = op.naive_velocity(pub, PID, AGE, "height_in", "delta_h").select("lag1")

@@ -42,6 +42,19 @@ def test_query_equals_sql(spark, con, name):
     assert got == want
 
 
+def test_reproduced_velocity_counts_ties_as_its_sql_does(spark, tmp_path):
+    # Published -27.69 over 1248 days: the two ways to the velocity lie on both sides of a tie at the sixth digit.
+    old = duckdb.connect()
+    old.execute(f"""COPY (SELECT * FROM (VALUES (3168311, 323370, TIMESTAMP '1997-12-22', '3-MEDIUM', 'F', 219948.86e0), (3186921, 323370, TIMESTAMP '1996-11-04', '2-HIGH', 'F', 418761.72e0),
+        (3198436, 323370, TIMESTAMP '1995-07-04', '4-NOT SPECIFIED', 'P', 496115.7e0), (3212577, 323370, TIMESTAMP '1995-09-15', '5-LOW', 'P', 168794.73e0))
+        o(o_orderkey, o_custkey, o_orderdate, o_orderpriority, o_orderstatus, o_totalprice)) TO '{tmp_path}/orders.parquet'""")
+    old.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    got = entry.queries()["e30_reproduce_velocity"](spark, str(tmp_path))
+    want = old.execute(entry.oracle_sql()["e30_reproduce_velocity"])
+    want = dict(zip([c[0] for c in want.description], want.fetchone()))
+    assert got.first().asDict() == want
+
+
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "velocity_height" in df.columns
