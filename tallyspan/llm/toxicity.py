@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, as_bytes, held_out, map_batches
+from .common import alnum_words, arrow_schema, as_bytes, held_out, map_batches, reachable
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -128,9 +128,26 @@ def labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, bits: int = 20, **options) -> Model:
-    """Fit on at most ``max_rows`` labelled documents; the driver gets their feature numbers, not their texts."""
-    rows = map_batches(labelled(docs, labels, max_rows), lambda texts, ys: {"x": [row_features(t, bits).tobytes() for t in texts], "y": ys}, "x binary, y int")
-    return fit_rows([(np.frombuffer(r.x, np.int32), r.y) for r in rows.toLocalIterator()], bits, **options)
+    """Fit on at most ``max_rows`` labelled documents, in the one task that holds them; the driver gets the sparse weights alone."""
+    reachable(docs.sparkSession)
+    ddl = "size long, index binary, weight binary, bias double, scale double, shift double"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        rows = []
+        for batch in batches:
+            for text, y in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.append((row_features(text, bits), y))
+        m = fit_rows(rows, bits, **options)
+        cells = (len(rows), m.index.astype(np.int64).tobytes(), m.weight.tobytes(), m.bias, m.scale, m.shift)
+        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, schema)], schema=schema)
+
+    # The sample leaves its sort as one ordered partition; without any partition there is nothing to fit.
+    found = [r for r in labelled(docs, labels, max_rows).coalesce(1).mapInArrow(run, ddl).collect() if r["size"]]
+    if not found:
+        return fit_rows([], bits, **options)
+    m = found[0]
+    return Model(bits, np.frombuffer(m["index"], np.int64), np.frombuffer(m["weight"], np.float32), m["bias"], m["scale"], m["shift"])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -409,6 +410,13 @@ def test_language_model(spark):
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in out), key=repr) == want
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = table(spark, [(i, f"scum {i}" if i % 2 else f"kind {i}", "", "", 0) for i in range(40)])
+    monkeypatch.setattr(toxicity, "fit_rows", lambda rows, bits: toxicity.Model(bits, np.zeros(0, np.int64), np.zeros(0, np.float32), float(os.getpid())))
+    assert toxicity.train(docs, labels).bias not in (0.0, float(os.getpid()))
+
+
 # ---- 9
 
 def test_neighbours(spark):
