@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.bands import band_label, closed_bands, step_value
 from ..functions.ordering import running_totals
 from ..functions.stats import exact_quantiles, ratio, suppress
-from ..functions.storage import join_on
+from ..functions.storage import deal, join_on
 from .derive import as_of
 
 MEDIAN_P95 = {"median": 0.5, "p95": 0.95}
@@ -97,20 +97,28 @@ def spread_by_band(df: DataFrame, pid: str, age: str, value: str, bands) -> Data
     return join_on(counts, q, ["band"], "left")
 
 
-def entity_codes(coded: list[DataFrame]) -> DataFrame:
-    """Distinct (entity, code) over all coded sources, blanks excluded."""
-    return reduce(DataFrame.unionByName, coded).where(F.trim("code") != "").distinct()
+def entity_codes(coded: list[DataFrame], parts: int | None = None) -> DataFrame:
+    """Distinct (entity, code) over all coded sources, blanks excluded; ``parts`` tasks hold the distinct rows."""
+    rows = reduce(DataFrame.unionByName, coded).where(F.trim("code") != "")
+    return deal(rows, parts, *rows.columns).distinct()
 
 
-def code_hierarchy(pairs: DataFrame, pid: str, shape: str) -> DataFrame:
+def entity_counts(pairs: DataFrame, by: Column, name: str, pid: str, parts: int | None = None) -> DataFrame:
+    """Entities per value: (value, entity) folds first, over ``parts`` tasks, and the counts leave these tasks."""
+    held = pairs.select(by.alias(name), pid)
+    return deal(held, parts, name, pid).distinct().groupBy(name).agg(F.count(pid).alias("n"))
+
+
+def code_hierarchy(pairs: DataFrame, pid: str, shape: str, parts: int | None = None) -> DataFrame:
     """Codes, three-character categories, silent categories and the roll-up ratio."""
     cat, shaped = F.substring("code", 1, 3), F.col("code").rlike(shape)
     vocabulary = pairs.select("code").distinct()
     head = vocabulary.agg(
         F.count_if(shaped).alias("codes"), F.count_if(shaped & (F.length("code") == 3)).alias("bare_codes"),
         F.countDistinct(F.when(shaped, cat)).alias("categories"), F.count_if(~shaped).alias("unshaped"))
-    per = pairs.where(shaped).groupBy(cat.alias("cat")).agg(
-        F.countDistinct(pid).alias("sub"), F.countDistinct(F.when(F.col("code") == cat, F.col(pid))).alias("lit"))
+    held = pairs.where(shaped & F.col(pid).isNotNull()).select(cat.alias("cat"), pid, (F.col("code") == cat).alias("bare"))
+    per = deal(held, parts, "cat", pid).groupBy("cat", pid).agg(F.max("bare").alias("bare")).groupBy("cat").agg(
+        F.count("*").alias("sub"), F.count_if("bare").alias("lit"))
     share = F.when(F.col("lit") > 0, F.col("sub") / F.col("lit"))
     # Categories are at most 36^3, so this aggregate is small.
     tail = per.agg(F.count_if(F.col("lit") == 0).alias("silent"), F.count_if(F.col("lit") > 0).alias("visible"),
@@ -123,16 +131,16 @@ def _top(counts: DataFrame, name: str, k: int) -> DataFrame:
     return counts.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
 
 
-def literal_vs_rolled(pairs: DataFrame, pid: str, k: int = 6) -> DataFrame:
+def literal_vs_rolled(pairs: DataFrame, pid: str, k: int = 6, parts: int | None = None) -> DataFrame:
     """Most frequent literal codes beside the most frequent categories, by rank."""
-    literal = _top(pairs.groupBy("code").agg(F.countDistinct(pid).alias("n")), "code", k)
-    rolled = _top(pairs.groupBy(F.substring("code", 1, 3).alias("category")).agg(F.countDistinct(pid).alias("n")), "category", k)
+    literal = _top(entity_counts(pairs, F.col("code"), "code", pid, parts), "code", k)
+    rolled = _top(entity_counts(pairs, F.substring("code", 1, 3), "category", pid, parts), "category", k)
     return literal.withColumnRenamed("n", "code_n").join(rolled.withColumnRenamed("n", "category_n"), "rank", "full")
 
 
-def subtree(pairs: DataFrame, pid: str, category: str, k: int = 5) -> DataFrame:
+def subtree(pairs: DataFrame, pid: str, category: str, k: int = 5, parts: int | None = None) -> DataFrame:
     """Entities under one category and its largest members."""
-    return _top(pairs.where(F.col("code").startswith(category)).groupBy("code").agg(F.countDistinct(pid).alias("n")), "code", k)
+    return _top(entity_counts(pairs.where(F.col("code").startswith(category)), F.col("code"), "code", pid, parts), "code", k)
 
 
 def grain_check(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import band_label, closed_bands
 from ..functions.stats import rank_auc, ratio, stabilize, suppress
-from ..functions.storage import join_on
+from ..functions.storage import deal, join_on
 
 from .rollup import events_before_index, matched_prefixes
 
@@ -37,10 +37,14 @@ def lines_filled(lines: DataFrame, by: list[str]) -> DataFrame:
     return counts.withColumn("slots", F.col("filled") * F.col("rows"))
 
 
-def top_codes(codes: DataFrame, pid: str, code: Column, lookup: DataFrame, k: int = 25) -> DataFrame:
-    """Most frequent codes with descriptions; the limit precedes the dictionary join."""
-    top = codes.select(pid, code.alias("code")).where(F.trim("code") != "").groupBy("code").agg(
-        F.count("*").alias("n"), F.countDistinct(pid).alias("entities")).orderBy(F.col("n").desc(), "code").limit(k)
+def top_codes(codes: DataFrame, pid: str, code: Column, lookup: DataFrame, k: int = 25, parts: int | None = None) -> DataFrame:
+    """Most frequent codes with descriptions; the limit precedes the dictionary join.
+
+    Rows fold to (code, entity) first, over ``parts`` tasks; counts alone leave these tasks.
+    """
+    rows = codes.select(pid, code.alias("code")).where(F.trim("code") != "")
+    top = deal(rows, parts, "code", pid).groupBy("code", pid).agg(F.count("*").alias("n")).groupBy("code").agg(
+        F.sum("n").alias("n"), F.count(pid).alias("entities")).orderBy(F.col("n").desc(), "code").limit(k)
     key = F.replace(F.col("code"), F.lit("."), F.lit(""))
     book = lookup.select(F.col("code").alias("__key"), "description")
     # The left side is at most k rows, so it is the one to broadcast.
@@ -146,10 +150,11 @@ def recover_threshold(df: DataFrame, value: str, flag: str) -> DataFrame:
         F.min(F.when(on, F.col(value))).alias("min_flagged"), F.max(F.when(off, F.col(value))).alias("max_unflagged"))
 
 
-def tracked_codes(pairs: DataFrame, pid: str, prefixes: list[str], derived: DataFrame) -> DataFrame:
+def tracked_codes(pairs: DataFrame, pid: str, prefixes: list[str], derived: DataFrame, parts: int | None = None) -> DataFrame:
     """Literal, subtree and derived entity counts per tracked code; ``derived``: (prefix, derived)."""
-    hit = matched_prefixes(pairs, prefixes)
-    counts = hit.groupBy("prefix").agg(F.countDistinct(F.when(F.col("code") == F.col("prefix"), F.col(pid))).alias("literal"), F.countDistinct(pid).alias("subtree"))
+    hit = matched_prefixes(pairs, prefixes).where(F.col(pid).isNotNull()).select("prefix", pid, (F.col("code") == F.col("prefix")).alias("literal"))
+    counts = deal(hit, parts, "prefix", pid).groupBy("prefix", pid).agg(F.max("literal").alias("literal")).groupBy("prefix").agg(
+        F.count_if("literal").alias("literal"), F.count("*").alias("subtree"))
     out = derived.join(F.broadcast(counts), "prefix", "left").fillna(0, ["literal", "subtree"])  # one row per prefix
     return out.withColumns({
         "hierarchical": F.col("derived") == F.col("subtree"),
@@ -304,8 +309,9 @@ def prior_by_presence(prior: DataFrame, action: DataFrame, pid: str) -> DataFram
                                       (100.0 * F.count_if(F.col("n_before") >= 2) / F.count("*")).alias("two_or_more"), F.percentile("n_before", 0.5).alias("median_before"))
 
 
-def _scored(pairs: DataFrame, labels: DataFrame, pid: str, keys: list[str], label: str, second: str, below: int, withheld: Column) -> DataFrame:
-    rows = pairs.join(labels.select(pid, label, second), pid).groupBy(*keys).agg(
+def _scored(pairs: DataFrame, labels: DataFrame, pid: str, keys: list[str], label: str, second: str, below: int, withheld: Column,
+            parts: int | None = None) -> DataFrame:
+    rows = deal(pairs, parts, pid).join(labels.select(pid, label, second), pid).groupBy(*keys).agg(
         F.count("*").alias("entities"), F.sum(F.col(label).cast("long")).alias("labelled"), F.sum(F.col(second).cast("long")).alias("__second"))
     share = 100.0 * F.col("labelled") / F.col("entities")
     second_lift = F.when((F.col("__second") >= below) & ~withheld, 100.0 * F.col("__second") / F.col("entities") / F.col(f"base_{second}"))
@@ -314,12 +320,12 @@ def _scored(pairs: DataFrame, labels: DataFrame, pid: str, keys: list[str], labe
 
 
 def value_screen(sources: dict[str, DataFrame], labels: DataFrame, pid: str, label: str, second: str, support: int = 200, k: int = 5,
-                 index_terms: list[str] = (), below: int = 10) -> DataFrame:
-    """Every value of every field with enough entities, scored against both labels; top k per field."""
+                 index_terms: list[str] = (), below: int = 10, parts: int | None = None) -> DataFrame:
+    """Every value of every field with enough entities, scored against both labels; top k per field.  ``parts`` tasks hold the distinct cells."""
     cells = reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("field"), pid, F.col("value").cast("string").alias("value")) for n, df in sources.items()])
-    pairs = cells.where(F.trim("value") != "").distinct()
+    pairs = deal(cells.where(F.trim("value") != ""), parts, "field", pid, "value").distinct()
     defines = reduce(Column.__or__, [F.upper("value").contains(x) for x in index_terms], F.lit(False))
-    scored = _scored(pairs, labels, pid, ["field", "value"], label, second, below, defines).where(F.col("entities") >= support)
+    scored = _scored(pairs, labels, pid, ["field", "value"], label, second, below, defines, parts).where(F.col("entities") >= support)
     w = Window.partitionBy("field").orderBy(stabilize(F.col("lift")).desc(), "value")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -330,9 +336,10 @@ def cohort_score(cohorts: dict[str, DataFrame], labels: DataFrame, pid: str, lab
     return _scored(pairs, labels, pid, ["cohort"], label, second, below, F.lit(False)).withColumn("entities", suppress(F.col("entities"), below))
 
 
-def code_screen(pairs: DataFrame, labels: DataFrame, pid: str, label: str, second: str, prefixes: list[str], support: int = 200) -> DataFrame:
+def code_screen(pairs: DataFrame, labels: DataFrame, pid: str, label: str, second: str, prefixes: list[str], support: int = 200,
+                parts: int | None = None) -> DataFrame:
     """Codes with enough entities, split by whether the code is part of the label."""
-    scored = _scored(pairs, labels, pid, ["code"], label, second, 10, F.lit(False)).where(F.col("entities") >= support)
+    scored = _scored(pairs, labels, pid, ["code"], label, second, 10, F.lit(False), parts).where(F.col("entities") >= support)
     tracked = reduce(Column.__or__, [F.col("code").startswith(p) for p in prefixes])
     return scored.withColumns({"is_label": tracked, "perfect": tracked & (F.col("share") >= 100)})
 

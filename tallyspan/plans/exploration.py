@@ -89,7 +89,7 @@ PAIRS_CTE = """pairs AS (SELECT DISTINCT patient_id, code FROM (SELECT patient_i
 
 
 def pairs(t: Tables) -> DataFrame:
-    return op.entity_codes([t.visit_codes.select(PID, "code"), t.problem_list.select(PID, F.col("pl_diag").alias("code"))])
+    return op.entity_codes([t.visit_codes.select(PID, "code"), t.problem_list.select(PID, F.col("pl_diag").alias("code"))], t.tasks("lineitem"))
 
 
 @query("e06_entity_codes", with_roles("SELECT * FROM pairs", "visit_codes", "problem_list", ctes=PAIRS_CTE))
@@ -111,7 +111,7 @@ SHAPE = "^[E-P][0-9][0-9]"
       round(max(times), 6) AS ratio_max FROM spread""",
     "visit_codes", "problem_list", ctes=PAIRS_CTE))
 def e07(t: Tables) -> DataFrame:
-    return rounded(op.code_hierarchy(pairs(t), PID, SHAPE), "ratio_p50", "ratio_p90", "ratio_max")
+    return rounded(op.code_hierarchy(pairs(t), PID, SHAPE, t.tasks("lineitem")), "ratio_p50", "ratio_p90", "ratio_max")
 
 
 def _top_sql(expr: str, name: str, k: int, where: str = "true") -> str:
@@ -123,9 +123,9 @@ def _top_sql(expr: str, name: str, k: int, where: str = "true") -> str:
     FROM {_top_sql('code', 'code', 6)} a JOIN {_top_sql('substr(code, 1, 3)', 'category', 6)} b USING (rank)
     LEFT JOIN {_top_sql('code', 'code', 5, "starts_with(code, 'E34')")} c USING (rank)""", "visit_codes", "problem_list", ctes=PAIRS_CTE))
 def e08(t: Tables) -> DataFrame:
-    p = pairs(t)
-    member = op.subtree(p, PID, "E34").select("rank", F.col("code").alias("member"), F.col("n").alias("member_n"))
-    return op.literal_vs_rolled(p, PID).join(member, "rank", "left")
+    p, parts = pairs(t), t.tasks("lineitem")
+    member = op.subtree(p, PID, "E34", parts=parts).select("rank", F.col("code").alias("member"), F.col("n").alias("member_n"))
+    return op.literal_vs_rolled(p, PID, parts=parts).join(member, "rank", "left")
 
 
 @query("e09_grain_check", with_roles("""SELECT count(*) AS groups, count(*) FILTER (n > 1) AS repeated, cast(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS rows_in_repeated, max(n) AS largest

@@ -10,7 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.storage import deal, task_count
+
 BASE = "region nation customer supplier part orders lineitem events documents labels".split()
+# Sides of the joins of lines, with the key they meet on.
+JOINED = {"orders": "o_orderkey", "part": "p_partkey"}
 # Columns of the wide layout at rest, as the reference has them; nothing is derived from it.
 SLOTS = 33
 
@@ -204,15 +208,23 @@ class Tables:
     """Lazy access to the base tables and the role views of one folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.folder, self._tasks = spark, folder.rstrip("/"), {}
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def tasks(self, name: str) -> int | None:
+        """Tasks that work per row of a base table needs; the rows are counted once, from the footers of its files."""
+        if name not in self._tasks:
+            self._tasks[name] = task_count(self.spark, self.base(name).count())
+        return self._tasks[name]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in ROLES:
             text = ROLES[name](_SPARK)
             used = {b: self.base(b) for b in BASE if "{" + b + "}" in text}
+            # The joins of lines take the number of tasks from this side.
+            used |= {b: deal(used[b], self.tasks("lineitem"), key) for b, key in JOINED.items() if b in used and "lineitem" in used}
             return self.spark.sql(text.replace("VARCHAR(20)", "STRING").replace("VARCHAR(8)", "STRING")
                                   .replace("VARCHAR(4)", "STRING").replace("VARCHAR(2)", "STRING"), **used)
         if name in BASE:

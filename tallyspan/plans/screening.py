@@ -41,7 +41,7 @@ def e37(t: Tables) -> DataFrame:
     from ..sources.references import code_lookup
 
     book = code_lookup(t.named_codes, "code", "description")
-    top = lambda df, c, kind: op.top_codes(df, PID, c, book).withColumn("kind", F.lit(kind))
+    top = lambda df, c, kind: op.top_codes(df, PID, c, book, parts=t.tasks("lineitem")).withColumn("kind", F.lit(kind))
     return top(t.visit_codes, F.col("code"), "slots").unionByName(top(t.problem_list, F.col("pl_diag"), "problems")).unionByName(
         top(pairs(t), F.substring("code", 1, 3), "categories"))
 
@@ -130,7 +130,7 @@ def e45(t: Tables) -> DataFrame:
     first = rollup.first_age_by_prefix(codes(t), PID, "age_in_years", PREFIXES)
     row = first.agg(*[F.count(rollup.prefix_column(p)).alias(p.replace(".", "#")) for p in PREFIXES])
     derived = row.unpivot([], row.columns, "prefix", "derived").withColumn("prefix", F.replace(F.col("prefix"), F.lit("#"), F.lit(".")))
-    return op.tracked_codes(pairs(t), PID, PREFIXES, derived)
+    return op.tracked_codes(pairs(t), PID, PREFIXES, derived, t.tasks("lineitem"))
 
 
 FAMILIES = {"economy": ["economy%"], "brand one": ["%brand#1%"], "large": ["%large%", "%standard%"]}
@@ -315,7 +315,7 @@ _SCORE = """count(*) AS entities, cast(sum(label) AS BIGINT) AS labelled, round(
 def e58(t: Tables) -> DataFrame:
     as_value = lambda df, c: df.select(PID, F.col(c).alias("value"))
     sources = {"medication": as_value(t.medications, "generic_name"), "specialty": as_value(t.referrals, "specialty"), "encounter": as_value(t.visits, "encounter_type")}
-    return rounded(op.value_screen(sources, labels(t), PID, "label", "label2", 20, 5, ["RING"]), "share", "lift", "second_lift")
+    return rounded(op.value_screen(sources, labels(t), PID, "label", "label2", 20, 5, ["RING"], parts=t.tasks("lineitem")), "share", "lift", "second_lift")
 
 
 @query("e59_cohort_score", with_roles(f"""SELECT cohort, {_SCORE.format(extra='')} FROM (SELECT DISTINCT 'legacy' AS cohort, patient_id FROM visits WHERE source_yn <> 'Y' UNION
@@ -334,7 +334,7 @@ _LABEL_CODES = ["E10", "K50", "Q7"]
 @query("e60_code_screen", with_roles(f"""SELECT code, {_SCORE.format(extra='')}, {' OR '.join(f"starts_with(code, '{p}')" for p in _LABEL_CODES)} AS is_label, ({' OR '.join(f"starts_with(code, '{p}')" for p in _LABEL_CODES)}) AND sum(label) = count(*) AS perfect
     FROM pairs JOIN lab USING (patient_id) GROUP BY code HAVING count(*) >= 50""", "patients", "medications", "referrals", "visits", "visit_codes", "problem_list", ctes=f"{SCREEN_CTE}, {PAIRS_CTE}"))
 def e60(t: Tables) -> DataFrame:
-    return rounded(op.code_screen(pairs(t), labels(t), PID, "label", "label2", _LABEL_CODES, 50), "share", "lift", "second_lift")
+    return rounded(op.code_screen(pairs(t), labels(t), PID, "label", "label2", _LABEL_CODES, 50, t.tasks("lineitem")), "share", "lift", "second_lift")
 
 
 @query("e61_leak_test", with_roles("""

@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import pytest
@@ -403,3 +404,23 @@ def test_fhir_rejects_contradictions(spark):
         flattened(spark, Chart(), Chart(gender="other"))["patients"].collect()
     with pytest.raises(Exception, match="before birth"):
         fhir.fhir_to_visits(flattened(spark, Chart().measure(1, "2009-12-31", HEIGHT, 50.0))).collect()
+
+
+def test_code_tasks_grow_with_the_lines(spark, tmp_path):
+    from tallyspan.functions import storage
+    from tallyspan.plans import exploration, screening
+    from tallyspan.plans.roles import Tables
+
+    folder = os.environ.get("TALLYSPAN_DATA", "/root/testdata/sf0.001")
+    queries = [exploration.e06, exploration.e07, exploration.e08, screening.e37, screening.e45, screening.e58, screening.e60]
+    flat = lambda df: sorted(map(str, df.collect()))
+    assert Tables(spark, folder).tasks("lineitem") is None  # small tables are left to the session
+    plain = [flat(q(Tables(spark, folder))) for q in queries]
+    spark.conf.set(storage.TASK_ROWS_KEY, "500")
+    try:
+        t = Tables(spark, folder)
+        assert t.tasks("lineitem") == -(-t.lineitem.count() // 500) > 4
+        assert exploration.e06(t).rdd.getNumPartitions() == t.tasks("lineitem")
+        assert [flat(q(t)) for q in queries] == plain
+    finally:
+        spark.conf.unset(storage.TASK_ROWS_KEY)
