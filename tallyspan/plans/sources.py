@@ -254,8 +254,11 @@ def a11(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
+BUNDLES_A_FILE = 50_000
+
+
 def bundles(t: Tables) -> str:
-    """One FHIR bundle per visit, written as JSON lines from the visit table."""
+    """One FHIR bundle per visit, written as packed JSON lines from the visit table."""
     ref = lambda kind, c: F.struct(F.concat(F.lit(kind + "/"), c).alias("reference"))
     coded = lambda system, code: F.struct(F.array(F.struct(F.lit(system).alias("system"), code.alias("code"))).alias("coding"))
     pid, vid, day = F.concat(F.lit("p"), F.col("patient_id")), F.concat(F.lit("e"), F.col("visit_id")), F.date_add(
@@ -295,7 +298,8 @@ def bundles(t: Tables) -> str:
                     F.concat_ws(",", F.transform(text, lambda r: F.concat(F.lit('{"resource":'), r, F.lit("}")))),
                     F.lit("]}"))
     path = fresh_path(t.spark, "fhir")
-    t.visits.select(line.alias("value")).write.text(path)
+    # The same field names stand in every bundle. A packed file is one split, so each holds a bounded number of bundles.
+    t.visits.select(line.alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", BUNDLES_A_FILE).text(path)
     return path
 
 

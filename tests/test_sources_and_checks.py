@@ -424,3 +424,15 @@ def test_code_tasks_grow_with_the_lines(spark, tmp_path):
         assert [flat(q(t)) for q in queries] == plain
     finally:
         spark.conf.unset(storage.TASK_ROWS_KEY)
+
+
+def test_bundles_are_packed_in_bounded_files(spark, monkeypatch):
+    from tallyspan.plans import sources
+    from tallyspan.plans.roles import Tables
+
+    t = Tables(spark, os.environ.get("TALLYSPAN_DATA", "/root/testdata/sf0.001"))
+    monkeypatch.setattr(sources, "BUNDLES_A_FILE", 400)
+    lines = spark.read.text(sources.bundles(t)).select("value", F.input_file_name().alias("f"))
+    files = lines.groupBy("f").count().collect()
+    assert all(r.f.endswith(".gz") and r["count"] <= 400 for r in files)
+    assert sum(r["count"] for r in files) == t.visits.count() > 400
