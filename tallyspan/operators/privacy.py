@@ -119,8 +119,8 @@ def _subsets(components: list[str]) -> list[tuple[str, ...]]:
 
 
 def _subset_keys(components: list[str]) -> Column:
-    """Array of (level, key) over all component subsets."""
-    return F.array(*[F.struct(F.lit(len(s)).alias("level"), F.md5(canonical(F.lit("+".join(s)), *s)).alias("key")) for s in _subsets(components)])
+    """Array of (level, key) over all component subsets; a key is 16 bytes."""
+    return F.array(*[F.struct(F.lit(len(s)).alias("level"), F.unhex(F.md5(canonical(F.lit("+".join(s)), *s))).alias("key")) for s in _subsets(components)])
 
 
 def subset_counts(reference: DataFrame, components: list[str], counts: dict[str, Column]) -> DataFrame:
@@ -135,14 +135,14 @@ def nearest_counts(queries: DataFrame, reference: DataFrame, components: list[st
 
     A candidate at the highest level matches exactly one subset of that size,
     so the candidate count is the sum over subsets; candidates themselves are
-    never listed.
+    never listed.  A profile is known by 16 bytes while its subsets travel.
     """
-    kinds = queries.select(*components).distinct()
-    keys = kinds.select(*components, F.explode(_subset_keys(components)).alias("s")).select(*components, "s.*")
+    kinds = queries.select(*components).distinct().withColumn("__kind", F.unhex(F.md5(canonical(*components))))
+    keys = kinds.select("__kind", F.explode(_subset_keys(components)).alias("s")).select("__kind", "s.*")
     # A component of few values gives a few keys that hold most of the profiles.
-    found = join_split(keys, subset_counts(reference, components, counts), "key").groupBy(*components, "level").agg(*[F.sum(n).alias(n) for n in counts])
-    best = found.groupBy(*components).agg(F.max(F.struct("level", *counts)).alias("b")).select(*components, "b.*")
-    return kinds.join(best, components, "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    found = join_split(keys, subset_counts(reference, components, counts), "key").groupBy("__kind", "level").agg(*[F.sum(n).alias(n) for n in counts])
+    best = found.groupBy("__kind").agg(F.max(F.struct("level", *counts)).alias("b")).select("__kind", "b.*")
+    return kinds.join(best, "__kind", "left").withColumn("level", F.coalesce("level", F.lit(0))).drop("__kind")
 
 
 def nearest_outcomes(queries: DataFrame, reference: DataFrame, components: list[str] = COMPONENTS) -> DataFrame:

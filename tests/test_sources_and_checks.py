@@ -436,3 +436,13 @@ def test_bundles_are_packed_in_bounded_files(spark, monkeypatch):
     files = lines.groupBy("f").count().collect()
     assert all(r.f.endswith(".gz") and r["count"] <= 400 for r in files)
     assert sum(r["count"] for r in files) == t.visits.count() > 400
+
+
+def test_subsets_of_a_profile_travel_as_short_keys(spark, monkeypatch):
+    long = [(f"{i % 3}" * 64, f"{i % 5}" * 64) for i in range(30)]
+    df = spark.createDataFrame(long, "a string, b string")
+    seen = []
+    monkeypatch.setattr(privacy, "join_split", lambda left, right, key: seen.append(left) or join_split(left, right, key))
+    out = {(r.a[0], r.b[0]): (r.level, r.n) for r in privacy.nearest_counts(df, df.where(F.col("a") != "2" * 64), ["a", "b"], {"n": F.count("*")}).collect()}
+    assert dict(seen[0].dtypes) == {"__kind": "binary", "level": "int", "key": "binary"}
+    assert out == {(str(i % 3), str(i % 5)): (2, 2) if i % 3 < 2 else (1, 4) for i in range(30)}
