@@ -319,8 +319,8 @@ def _substitutions(text: Column) -> Column:
 
 
 def _reaches(candidates: Column, value: Column, expected: Column, tol: Column, allow_same: bool = False) -> Column:
-    number = lambda c: c.try_cast("double")
-    return F.exists(candidates, lambda c: (number(c) > 0) & (F.lit(allow_same) | (number(c) != value)) & (F.abs(number(c) - expected) <= tol))
+    numbers = F.transform(candidates, lambda c: c.try_cast("double"))
+    return F.exists(numbers, lambda c: (c > 0) & (F.lit(allow_same) | (c != value)) & (F.abs(c - expected) <= tol))
 
 
 def entry_mechanisms(df: DataFrame, value: str, expected: str, tol: Column, scales: list[tuple[str, float]], feet: bool = False) -> DataFrame:
@@ -331,14 +331,15 @@ def entry_mechanisms(df: DataFrame, value: str, expected: str, tol: Column, scal
     """
     v, e = F.col(value), F.col(expected)
     near = lambda factor: F.abs(v * factor - e) <= tol
-    text = typed_text(v)
+    # A column of its own: inside the lambdas the text would be formatted anew for each candidate.
+    df, text = df.withColumn("__text", typed_text(v)), F.col("__text")
     tests = [(name, near(k)) for name, k in scales]
     if feet:
         tests.append((FEET, (v == F.floor(v)) & v.between(1, 6) & (F.floor(e / 12) == v)))
     tests.append((SHIFT, reduce(Column.__or__, [near(k) for k in SHIFTS])))
     tests += [(SWAP, _reaches(swaps(text), v, e, tol)), (OMIT, _reaches(_insertions(text), v, e, tol)),
               (CALIBRATION, _reaches(_substitutions(text), v, e, tol, True))]
-    return df.withColumn("hits", F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests])))
+    return df.withColumn("hits", F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests]))).drop("__text")
 
 
 def mechanism_null(anomalies: DataFrame, key: str, value: str, expected: str, age: str, score, reps: int = 20, seed: str = "null") -> DataFrame:
