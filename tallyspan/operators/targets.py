@@ -23,10 +23,16 @@ def assign_partition(df: DataFrame, pid: str, key: bytes, basis_points: int) ->
     return df.withColumn("partition", partition_label(F.col(pid), key, basis_points))
 
 
-def partition_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows per table and partition; partial counts leave the tasks, not rows."""
+def mark_partition(df: DataFrame, pid: str, key: bytes, basis_points: int) -> DataFrame:
+    """The same as ``assign_partition``, for tables of many rows per entity: each id is hashed once and joined back."""
+    return join_on(df, assign_partition(df.select(pid).distinct(), pid, key, basis_points), [pid], "left")
+
+
+def partition_counts(tables: dict[str, DataFrame], pid: str, label: Column) -> DataFrame:
+    """Rows per table and partition; ``label`` is worked out once per entity, of whom one count each leaves the tasks."""
     return reduce(DataFrame.unionByName, [
-        df.groupBy("partition").agg(F.count("*").alias("rows")).select(F.lit(n).alias("table_name"), "partition", "rows") for n, df in tables.items()])
+        df.groupBy(pid).agg(F.count("*").alias("rows")).groupBy(label.alias("partition")).agg(F.sum("rows").alias("rows")).select(
+            F.lit(n).alias("table_name"), "partition", "rows") for n, df in tables.items()])
 
 
 def _target(name: str, family: str, statistic: str, value: Column, support: Column, denominator: Column | None = None) -> Column:
@@ -89,14 +95,18 @@ def use_targets(entities: DataFrame, events: DataFrame, pid: str, age: str, kind
     return _rows(use, F.lit("all"), targets).unionByName(_rows(mix, F.lit("all"), shares))
 
 
-def link_targets(tables: dict[str, DataFrame], events: DataFrame, pid: str, vid: str) -> DataFrame:
-    """Share of rows whose (entity, visit) link resolves, per table."""
+def link_targets(tables: dict[str, DataFrame], events: DataFrame, pid: str, vid: str, label: Column) -> DataFrame:
+    """Share of rows whose (entity, visit) link resolves, per table.
+
+    Rows fold to their links, and links to entities, before ``label`` gives the partition of an entity.
+    """
     known = events.select(pid, vid).distinct().withColumn("__hit", F.lit(1))
     parts = []
     for name, df in tables.items():
-        keys = df.groupBy("partition", pid, vid).agg(F.count("*").alias("__n"))
-        agg = keys.join(known, [pid, vid], "left").groupBy("partition").agg(
+        keys = df.groupBy(pid, vid).agg(F.count("*").alias("__n"))
+        per = keys.join(known, [pid, vid], "left").groupBy(pid).agg(
             F.sum("__n").alias("n"), F.coalesce(F.sum(F.when(F.col("__hit").isNotNull(), F.col("__n"))), F.lit(0)).alias("k"))
+        agg = per.groupBy(label.alias("partition")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
         parts.append(_rows(agg, F.lit("all"), [_proportion(f"{name}_link", "observation", "k", "n")]))
     return reduce(DataFrame.unionByName, parts)
 

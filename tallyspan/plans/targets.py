@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.partition import _pads
+from ..functions.partition import _pads, partition_label
 from ..functions.stats import stabilize, suppress
 from ..functions.storage import materialize
 from ..operators import derive, targets as op
@@ -28,6 +28,14 @@ def part(df: DataFrame) -> DataFrame:
     return op.assign_partition(df, PID, KEY, POINTS)
 
 
+def label() -> Column:
+    return partition_label(F.col(PID), KEY, POINTS)
+
+
+def visits(t: Tables) -> DataFrame:
+    return op.mark_partition(t.visits, PID, KEY, POINTS)
+
+
 def rounded_targets(df: DataFrame) -> DataFrame:
     return df.select(*op.COLUMNS).withColumn("value", F.round("value", 6))
 
@@ -49,7 +57,7 @@ def f01(t: Tables) -> DataFrame:
 @query("f02_partition_counts", with_roles(" UNION ALL ".join(f"SELECT '{n}' AS table_name, partition, count(*) AS rows FROM {n} JOIN parts USING (patient_id) GROUP BY 2" for n in ("visits", "medications", "labs")),
                                           "patients", "visits", "medications", "labs", ctes=PART_CTE))
 def f02(t: Tables) -> DataFrame:
-    return op.partition_counts({n: part(getattr(t, n)) for n in ("visits", "medications", "labs")})
+    return op.partition_counts({n: getattr(t, n) for n in ("visits", "medications", "labs")}, PID, label())
 
 
 PEOPLE = "(SELECT * FROM patients JOIN parts USING (patient_id)) p"
@@ -90,13 +98,13 @@ USE_SQL = " UNION ALL ".join(
     + [prop(f"kind_{op._slug(k)}", "utilization", f"encounter_type = '{k}'", _VIS) for k in KINDS] + [prop("source_share", "utilization", "source_yn = 'Y'", _VIS)])
 
 
-def use(t: Tables) -> DataFrame:
-    return op.use_targets(part(t.patients), part(t.visits), PID, AGE, "encounter_type", KINDS, "source_yn")
+def use(t: Tables, events: DataFrame) -> DataFrame:
+    return op.use_targets(part(t.patients), events, PID, AGE, "encounter_type", KINDS, "source_yn")
 
 
 @query("f05_use_targets", with_roles(USE_SQL, "patients", "visits", ctes=PART_CTE))
 def f05(t: Tables) -> DataFrame:
-    return rounded_targets(use(t))
+    return rounded_targets(use(t, visits(t)))
 
 
 LINK_SQL = " UNION ALL ".join(
@@ -104,13 +112,13 @@ LINK_SQL = " UNION ALL ".join(
     for n in ("labs", "medications"))
 
 
-def links(t: Tables) -> DataFrame:
-    return op.link_targets({n: part(getattr(t, n)) for n in ("labs", "medications")}, t.visits, PID, VID)
+def links(t: Tables, events: DataFrame) -> DataFrame:
+    return op.link_targets({n: getattr(t, n) for n in ("labs", "medications")}, events, PID, VID, label())
 
 
 @query("f06_link_targets", with_roles(LINK_SQL, "patients", "visits", "labs", "medications", ctes=PART_CTE))
 def f06(t: Tables) -> DataFrame:
-    return rounded_targets(links(t))
+    return rounded_targets(links(t, t.visits))
 
 
 _WINDOW_CTE = "win AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {lo}, {hi})" for n, lo, hi in WINDOWS) + ") w(win, lo, hi))"
@@ -120,13 +128,13 @@ _WVIS = "(SELECT v.*, partition, win FROM visits v JOIN parts USING (patient_id)
 AVAILABLE_SQL = " UNION ALL ".join(prop(f"{c}_available", "observation", f"{c} IS NOT NULL", _WVIS, "win", "partition, win") for c in ("height_in", "weight_oz", "head_circ_cm"))
 
 
-def availability(t: Tables) -> DataFrame:
-    return op.availability_targets(part(t.visits), AGE, WINDOWS, ["height_in", "weight_oz", "head_circ_cm"])
+def availability(events: DataFrame) -> DataFrame:
+    return op.availability_targets(events, AGE, WINDOWS, ["height_in", "weight_oz", "head_circ_cm"])
 
 
 @query("f07_availability_targets", with_roles(AVAILABLE_SQL, "patients", "visits", ctes=f"{PART_CTE}, {_WINDOW_CTE}"))
 def f07(t: Tables) -> DataFrame:
-    return rounded_targets(availability(t))
+    return rounded_targets(availability(visits(t)))
 
 
 _GAPS = "(SELECT partition, win, cast(gap AS DOUBLE) AS gap FROM (SELECT patient_id, age_in_days, age_in_days - lag(age_in_days) OVER (PARTITION BY patient_id ORDER BY age_in_days, visit_id) AS gap FROM visits) v JOIN parts USING (patient_id) JOIN win ON age_in_days >= lo AND age_in_days < hi WHERE gap IS NOT NULL) x"
@@ -136,13 +144,13 @@ INTERVAL_SQL = " UNION ALL ".join(stat(f"interval_days_{s}", "utilization", k, e
     ("mean", "mean", "avg(gap)"), ("q50", "quantile", "quantile_cont(gap, 0.5)"), ("q90", "quantile", "quantile_cont(gap, 0.9)")])
 
 
-def intervals(t: Tables) -> DataFrame:
-    return op.interval_targets(part(t.visits), PID, AGE, WINDOWS)
+def intervals(events: DataFrame) -> DataFrame:
+    return op.interval_targets(events, PID, AGE, WINDOWS)
 
 
 @query("f08_interval_targets", with_roles(INTERVAL_SQL, "patients", "visits", ctes=f"{PART_CTE}, {_WINDOW_CTE}"))
 def f08(t: Tables) -> DataFrame:
-    return rounded_targets(intervals(t))
+    return rounded_targets(intervals(visits(t)))
 
 
 _METRICS = {"height_in": ["flag"], "bmi": ["flag", "flag2"]}
@@ -151,16 +159,16 @@ PHYS_SQL = "SELECT * FROM (" + " UNION ALL ".join(stat(f"{m}_{s}", "physiology",
     ("mean", "mean", "avg({m})"), ("sd", "sd", "stddev_samp({m})"), ("q10", "quantile", "quantile_cont({m}, 0.1)"), ("q50", "quantile", "quantile_cont({m}, 0.5)"), ("q90", "quantile", "quantile_cont({m}, 0.9)")]) + ") z WHERE support >= 2"
 
 
-def physiology(t: Tables) -> DataFrame:
+def physiology(t: Tables, events: DataFrame) -> DataFrame:
     k = F.col("k")
-    events = derive.attach_entity(t.visits, t.patients, PID, ["sex"]).withColumns({
+    events = derive.attach_entity(events, t.patients, PID, ["sex"]).withColumns({
         "flag": F.when(k % 5 > 0, F.floor(k % 7 / 6)), "flag2": F.floor(k % 9 / 8)})
-    return op.physiology_targets(part(events), AGE, "sex", WINDOWS, _METRICS)
+    return op.physiology_targets(events, AGE, "sex", WINDOWS, _METRICS)
 
 
 @query("f09_physiology_targets", with_roles(PHYS_SQL, "patients", "visits", ctes=f"{PART_CTE}, {_WINDOW_CTE}"))
 def f09(t: Tables) -> DataFrame:
-    return rounded_targets(physiology(t))
+    return rounded_targets(physiology(t, visits(t)))
 
 
 # The seven builders, in the order of the target table.
@@ -171,7 +179,9 @@ _ALL_ROLES = ("patients", "visits", "labs", "medications")
 
 
 def every(t: Tables) -> DataFrame:
-    return op.raw_targets([f(t) for f in (demographics, outcomes, use, links, availability, intervals, physiology)])
+    # Five of the builders read the visits; what they read of them is worked out and written once.
+    events = materialize(visits(t).select("partition", PID, VID, AGE, "encounter_type", "source_yn", "height_in", "weight_oz", "head_circ_cm", "bmi", "k"), "target-visits")
+    return op.raw_targets([demographics(t), outcomes(t), use(t, events), links(t, events), availability(events), intervals(events), physiology(t, events)])
 
 
 @query("f10_raw_targets", with_roles("SELECT *, (SELECT count(*) FROM (SELECT 1 FROM targets GROUP BY partition, stratum, name, statistic HAVING count(*) > 1) d) AS duplicates FROM targets", *_ALL_ROLES, ctes=_ALL_CTES))

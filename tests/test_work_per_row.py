@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tallyspan.operators import explore
+from tallyspan.functions.partition import partition_label
+from tallyspan.operators import explore, targets
 
 
 def optimized(df) -> str:
@@ -17,3 +18,36 @@ def test_entry_mechanisms_format_the_value_once(spark):
     got = {r.i: r.hits for r in out.collect()}
     assert explore.SWAP in got[1] and explore.OMIT in got[2] and explore.SHIFT not in got[2]
     assert got[3] == []
+
+
+KEY = b"sixteen bytes or more"
+
+
+def hashed_by(df) -> str:
+    """The first step that hashes ids: its results are formed once per group."""
+    return next(line for line in optimized(df).splitlines() if "sha2(" in line)
+
+
+def test_partition_of_many_rows_is_hashed_once_per_entity(spark):
+    events = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4), ("", 5)], "id string, n int").repartition(2)
+    marked = targets.mark_partition(events, "id", KEY, 5000)
+    assert "Aggregate [id" in hashed_by(marked)
+    want = sorted(targets.assign_partition(events, "id", KEY, 5000).select("n", "partition").collect())
+    assert sorted(marked.select("n", "partition").collect()) == want
+
+
+def test_links_fold_to_entities_before_their_partition(spark):
+    events = spark.createDataFrame([("a", "1"), ("b", "2")], "id string, visit string")
+    rows = spark.createDataFrame([("a", "1"), ("a", "1"), ("a", "x"), ("b", None), (None, "1")], "id string, visit string").repartition(2)
+    label = partition_label(F.col("id"), KEY, 5000)
+    out = targets.link_targets({"t": rows}, events, "id", "visit", label)
+    assert "Aggregate [id" in hashed_by(out)
+    of = {r.id: r.p for r in rows.select("id", label.alias("p")).distinct().collect()}
+    want = {p: [0, 0] for p in of.values()}
+    for pid, hit in [("a", 1), ("a", 1), ("a", 0), ("b", 0), (None, 0)]:
+        want[of[pid]][0] += hit
+        want[of[pid]][1] += 1
+    assert {r.partition: [r.support, r.denominator] for r in out.collect()} == want
+    counts = targets.partition_counts({"t": rows}, "id", label)
+    assert "Aggregate [id" in hashed_by(counts)
+    assert {r.partition: r.rows for r in counts.collect()} == {p: n for p, (_, n) in want.items()}
