@@ -56,9 +56,19 @@ def conditional_zscore(df: DataFrame, value: str, key: str, sex: str, lo: float,
     return lms_zscore(df, value, key, sex, grid, grid_key, name, when=F.col(key).between(lo, hi))
 
 
+def cut_code(df: DataFrame) -> DataFrame:
+    """The same rows in the same tasks, with generated code that starts anew.
+
+    Scores on a wide table chain joins and projections; from a certain length on the JVM interprets their code
+    instead of compiling it.  Coalescing to more tasks than there are moves nothing and ends the chain.  The tasks
+    are no longer known to hold whole entities, so it comes after the windows.
+    """
+    return df.coalesce(1 << 30)
+
+
 def channel_zscores(df: DataFrame, sex: str, channels: list[tuple[str, str, DataFrame, str, str]]) -> DataFrame:
     """Several scores in a row: (value, key, grid, grid key, name)."""
-    return reduce(lambda d, c: lms_zscore(d, c[0], c[1], sex, c[2], c[3], c[4]), channels, df)
+    return reduce(lambda d, c: cut_code(lms_zscore(d, c[0], c[1], sex, c[2], c[3], c[4])), channels, df)
 
 
 def bin_category(col: Column, edges: list[float], labels: list[str]) -> Column:
@@ -147,7 +157,7 @@ def velocity_zscores(df: DataFrame, velocity: str, years: str, sex: str, grids:
     for suffix, grid in grids.items():
         z = f"{velocity}_z_score{suffix}"
         df = lms_zscore(df, velocity, years, sex, grid, "Ageyrs", z)
-        df = df.withColumn(f"{velocity}_percentile{suffix}", percentile_from_z(F.col(z)))
+        df = cut_code(df.withColumn(f"{velocity}_percentile{suffix}", percentile_from_z(F.col(z))))
     return df
 
 
@@ -173,17 +183,21 @@ def derive_visits(visits: DataFrame, patients: DataFrame, grids: dict[str, DataF
     d = lms_zscore(d, "height_cm", "age_in_months", "sex", grids["height_age"], "Agemos", "height_z_score")
     if filter_errors:
         d = filter_implausible(d, "height_cm", "height_z_score", -5, 3)
-    d = add_bmi(d, "weight_kg", "height_cm", "age_in_months")
+    before = d.columns
+    # The velocities need nothing that follows; here the rows still lie by entity.
+    d = min_gap_velocity(d, "patient_id", "age_in_days", "visit_id", {
+        "weight": ("weight_kg", WEIGHT_GAPS), "height": ("height_cm", HEIGHT_GAPS)}, bounded=bounded)
+    velocities = [c for c in d.columns if c not in before]
+    d = cut_code(add_bmi(d, "weight_kg", "height_cm", "age_in_months"))
     d = channel_zscores(d, "sex", [
         ("bmi", "age_in_months", grids["bmi_age"], "Agemos", "bmi_z_score"),
         ("head_circ_cm", "age_in_months", grids["head_age"], "Agemos", "head_circ_z_score")])
-    d = conditional_zscore(d, "weight_kg", "height_cm", "sex", 45, 103.5, grids["weight_length"], "Length", "weight_for_length_z_score")
-    d = conditional_zscore(d, "weight_kg", "height_cm", "sex", 77, 121.5, grids["weight_stature"], "Height", "weight_for_stature_z_score")
+    d = cut_code(conditional_zscore(d, "weight_kg", "height_cm", "sex", 45, 103.5, grids["weight_length"], "Length", "weight_for_length_z_score"))
+    d = cut_code(conditional_zscore(d, "weight_kg", "height_cm", "sex", 77, 121.5, grids["weight_stature"], "Height", "weight_for_stature_z_score"))
     for c in ["weight", "height", "bmi", "head_circ", "weight_for_length", "weight_for_stature"]:
-        d = d.withColumn(f"{c}_percentile", percentile_from_z(F.col(f"{c}_z_score")))
+        d = cut_code(d.withColumn(f"{c}_percentile", percentile_from_z(F.col(f"{c}_z_score"))))
     d = d.withColumn("bmi_category", bin_category(F.col("bmi_percentile"), BMI_EDGES, BMI_LABELS))
     d = add_flags(d, growth_flags())
-    d = min_gap_velocity(d, "patient_id", "age_in_days", "visit_id", {
-        "weight": ("weight_kg", WEIGHT_GAPS), "height": ("height_cm", HEIGHT_GAPS)}, bounded=bounded)
+    d = d.select(*[c for c in d.columns if c not in velocities], *velocities)  # the order of the layer
     return velocity_zscores(d, "velocity_height", "age_in_years", "sex", {
         "": grids["velocity_no"], "_ep": grids["velocity_early"], "_ap": grids["velocity_average"], "_lp": grids["velocity_late"]})

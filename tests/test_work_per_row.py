@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from tallyspan.functions.partition import partition_label
-from tallyspan.operators import explore, targets
+from tallyspan.operators import derive, explore, targets
+from tallyspan.plans.derivation import grids
+from tallyspan.plans.roles import Tables
 
 
 def optimized(df) -> str:
@@ -51,3 +53,12 @@ def test_links_fold_to_entities_before_their_partition(spark):
     counts = targets.partition_counts({"t": rows}, "id", label)
     assert "Aggregate [id" in hashed_by(counts)
     assert {r.partition: r.rows for r in counts.collect()} == {p: n for p, (_, n) in want.items()}
+
+
+def test_scores_are_cut_into_pieces_that_compile(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    out = derive.derive_visits(t.visits, t.patients, grids(t))
+    joins = [piece.count("Join LeftOuter") for piece in optimized(out).split("Repartition 1073741824, false")]
+    assert len(joins) > 8 and max(joins) <= 8
+    assert out.columns[-8:-6] == ["velocity_height_z_score", "velocity_height_percentile"]
+    assert out.columns.index("velocity_height") == out.columns.index("velocity_height_z_score") - 1
