@@ -10,10 +10,10 @@ one stays itself.
 2. Equal sets are folded, with the place of their first line.
 3. Each set enters the index under its prefix, the rarest words, as many as the threshold asks for.  Sets
    of so few words that only an equal one is similar need no index.
-4. A set goes as soon as *one* earlier set is similar, so no family of similar lines is listed pair by pair.  By
-   the middle and the last word of its prefix (a changed word is often a rare one, so the rarest would part
-   a family) a set first meets, among the sets of its size, the first one and the one before it: at most four
-   candidates a set, however long the lists are.  Only sets that these do not settle look through their lists.
+4. A set goes as soon as *one* earlier set is similar, so no family of similar lines is listed pair by pair.  A
+   semi-join over the lists keeps the index entries that have a candidate at all and stops at the first one.  These
+   entries then meet their lists in turns: the earliest set of each size band, the next 7, the next 56 and so on
+   to the end.  What a turn settles leaves, so only sets without a similar one meet all of their candidates.
 5. Candidates must pass the length and the positional filter and a parity bitmap whose differing bits bound
    the sets' difference from below.  What passes is verified on the words themselves; an index entry may therefore hold
    four bytes of a word's hash.
@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspan.functions.storage import fresh_path, scratch
+from tallyspan.functions.storage import broadcast_if_small, fresh_path, scratch
 
 from .common import materialize, text_key, unused
 
@@ -41,6 +41,8 @@ THRESHOLD, BITS = 0.8, 13
 LONG = 64  # sets of more words fill 64 bits and get three parts of the bitmap besides
 PARTS = ("m1", "m2", "m3")
 BROADCAST_DOCUMENTS = 100_000  # keys of 16 bytes: a few megabytes
+BROADCAST_TOKENS = 1_000_000  # of four bytes each
+TURNS = 8  # each turn goes so many times further down the lists
 _LOW = (1 << 56) - 1
 
 
@@ -56,17 +58,15 @@ def _words(line: Column) -> Column:
     return F.array_remove(_split(line), "")
 
 
-def _place() -> Column:
-    """Order of a line over the whole table; rows without an id come last."""
-    doc = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).cast("decimal(20,0)")
-    return (doc * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line")).cast("decimal(38,0)")
+def _doc() -> Column:
+    """Order of a row over the whole table; rows without an id come last."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
 
 
 def raw_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, tid, line, place, raw) of every line."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tid"),
-                        F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line", "raw"))
-    return lines.withColumn("place", _place())
+    """(doc_id, doc, tid, line, raw) of every line; (doc, line) is its place."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _doc().alias("doc"), text_key().alias("tid"),
+                       F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line", "raw"))
 
 
 def frequency_classes(docs: DataFrame, bits: int) -> list[int]:
@@ -113,7 +113,7 @@ def indexed_lines(sets: DataFrame, threshold: float) -> DataFrame:
     """Per line what the index needs: set key, size, parity bitmap and prefix (none where only equal sets are similar)."""
     n, few = F.size("ids"), _smallest_with_others(threshold)
     prefix = F.slice("ids", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
-    return sets.select("doc_id", "tid", "line", "place", F.xxhash64("ids").alias("s1"), F.xxhash64(F.reverse("ids")).alias("s2"), n.alias("n"),
+    return sets.select("doc_id", "doc", "tid", "line", F.xxhash64("ids").alias("s1"), F.xxhash64(F.reverse("ids")).alias("s2"), n.alias("n"),
                        F.when(n >= few, _bitmap("ids")).alias("map"), *[F.when(n > LONG, _bitmap("ids", k)).alias(m) for k, m in enumerate(PARTS)], F.when(n >= few, F.transform(prefix, lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))).alias("prefix"))
 
 
@@ -142,13 +142,12 @@ def similar_sets(pairs: DataFrame, folded: DataFrame, docs: DataFrame, threshold
 def _verified(pairs: DataFrame, folded: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     pairs = materialize(pairs.distinct(), "line-pairs")
     ends = pairs.select("node").union(pairs.select("other")).distinct()
-    wanted = materialize(folded.select("node", F.col("first").alias("place"), "tid").join(ends, "node", "left_semi"), "line-wanted")
-    owners = wanted.select(F.floor(F.col("place") / F.lit(1 << 31)).cast("long").alias("owner")).distinct()
+    wanted = materialize(folded.select("node", "doc", "line", "tid").join(ends, "node", "left_semi"), "line-wanted")
+    owners = wanted.select(F.col("doc").alias("owner")).distinct()
     few = owners.limit(BROADCAST_DOCUMENTS + 1).count() <= BROADCAST_DOCUMENTS
-    id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    chosen = docs.join(F.broadcast(owners) if few else owners, id_of == F.col("owner"), "left_semi")
+    chosen = docs.join(F.broadcast(owners) if few else owners, _doc() == F.col("owner"), "left_semi")
     # Rows of one id tie in place; the text tells which of them is meant.
-    lines = raw_lines(chosen).select("place", "raw", "tid").join(wanted, ["place", "tid"])
+    lines = raw_lines(chosen).select("doc", "line", "raw", "tid").join(wanted, ["doc", "line", "tid"])
     whole = materialize(lines.select("node", F.explode(F.array(F.array_distinct(_words(F.col("raw"))))).alias("ws")), "line-words")
     both = pairs.join(whole.withColumnRenamed("ws", "x"), "node").join(whole.select(F.col("node").alias("other"), F.col("ws").alias("y")), "other")
     return both.where(F.size(F.array_intersect("x", "y")) >= _needed(F.size("x"), F.size("y"), threshold)).select("node").distinct()
@@ -156,25 +155,29 @@ def _verified(pairs: DataFrame, folded: DataFrame, docs: DataFrame, threshold: f
 
 def covered_sets(folded: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """(node) of the sets that resemble a set with an earlier first line."""
-    postings = lambda sets, prefix: sets.where("prefix IS NOT NULL").select("node", "first", "n", "map", *PARTS, F.posexplode(prefix).alias("at", "token"))
-    by_place = Window.partitionBy("token", "n").orderBy("first", "node")
-    mine = F.struct("first", "node", "n", "map", *PARTS, "at")
+    # In the order of the table: a projection on one side alone would make two exchanges of the one both sides share.
+    about = [c for c in folded.columns if c in ("doc", "line", "n", "map", *PARTS, "node")]
+    every = folded.where("prefix IS NOT NULL").select(*about, F.posexplode("prefix").alias("at", "token"))
     # Sets of one place (rows of one id) are no reason for each other, hence the strict order of places.
-    earlier = (F.col("o.first") < F.col("first")) & _compatible("", "o.", threshold)
-    last = F.size("prefix")
-    some = F.array_distinct(F.array(F.get("prefix", (last / 2).cast("int")), F.get("prefix", last - 1)))
-    met = postings(folded, some).withColumn("at", F.lit(0)).withColumns({"head": F.first(mine).over(by_place), "prior": F.lag(mine).over(by_place)})
-    met = met.select("node", "first", "n", "map", *PARTS, "at", F.explode(F.array("head", "prior")).alias("o")).where(earlier)
-    settled = similar_sets(met.select("node", F.col("o.node").alias("other")), folded, docs, threshold)
-    # The rest looks through its whole lists.  Both sides of the join are the same postings, shuffled once: a
-    # condition on one side alone would be pushed below the exchange and make two of it, so it names both.
-    open_ = folded.join(settled.withColumn("done", F.lit(True)), "node", "left").withColumn("open", F.when(F.col("done").isNull(), 1).otherwise(0))
-    # Written first: over a join of their own the two sides would be planned apart.
-    index = materialize(open_.select("node", "first", "n", "map", *PARTS, "prefix", "open"), "line-index")
-    every = index.where("prefix IS NOT NULL").select("node", "first", "n", "map", *PARTS, "open", F.posexplode("prefix").alias("at", "token"))
-    a, o = every.alias("a"), every.alias("o")
-    more = a.join(o, (F.col("a.token") == F.col("o.token")) & (F.col("a.open") + 0 * F.col("o.open") == 1) & (F.col("o.first") < F.col("a.first")) & _compatible("a.", "o.", threshold))
-    return settled.union(similar_sets(more.select(F.col("a.node").alias("node"), F.col("o.node").alias("other")), folded, docs, threshold))
+    candidate = lambda x, y: (F.col(y + "node") != F.col(x + "node")) & (
+        (F.col(y + "doc") < F.col(x + "doc")) | ((F.col(y + "doc") == F.col(x + "doc")) & (F.col(y + "line") < F.col(x + "line")))) & _compatible(x, y, threshold)
+    # Both sides are the same entries with the same columns, so they are shuffled once.
+    same = F.col("a.token") == F.col("o.token")
+    alive = materialize(every.alias("a").join(every.alias("o"), same & candidate("a.", "o."), "left_semi"), "line-alive")
+    tokens = broadcast_if_small(alive.select("token").distinct(), BROADCAST_TOKENS)
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.1))
+    by_place = Window.partitionBy("token", "band").orderBy("doc", "line", "node")
+    lists = every.join(tokens, "token", "left_semi").withColumn("band", band).withColumn("turn", F.row_number().over(by_place)).drop("band")
+    lists = materialize(lists, "line-lists")
+    longest, done, start, stop = lists.agg(F.max("turn")).first()[0] or 0, [], 1, 1
+    while start <= longest:
+        part = lists.where(F.col("turn").between(start, stop))
+        pairs = alive.alias("a").join(part.alias("o"), same & candidate("a.", "o.")).select(F.col("a.node").alias("node"), F.col("o.node").alias("other"))
+        done.append(similar_sets(pairs, folded, docs, threshold))
+        start, stop = stop + 1, stop * TURNS
+        if start <= longest:
+            alive = materialize(alive.join(done[-1], "node", "left_anti"), "line-alive")
+    return reduce(DataFrame.union, done) if done else alive.select("node")
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
@@ -182,11 +185,11 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BIT
     docs = docs.select("doc_id", "text")
     indexed = materialize(indexed_lines(ordered_sets(raw_lines(docs), frequency_classes(docs, bits), bits), threshold), "lines")
     folded = materialize(indexed.groupBy("s1", "s2").agg(
-        F.min(F.struct("place", "tid")).alias("f"), F.first("n").alias("n"), F.first("map").alias("map"), *[F.first(m).alias(m) for m in PARTS], F.first("prefix").alias("prefix")).select(
-        "s1", "s2", F.col("f.place").alias("first"), F.col("f.tid").alias("tid"), "n", "map", *PARTS, "prefix", F.monotonically_increasing_id().alias("node")), "line-sets")
+        F.min(F.struct("doc", "line", "tid")).alias("f"), F.first("n").alias("n"), F.first("map").alias("map"), *[F.first(m).alias(m) for m in PARTS], F.first("prefix").alias("prefix")).select(
+        "s1", "s2", "f.*", "n", "map", *PARTS, "prefix", F.monotonically_increasing_id().alias("node")), "line-sets")
     covered = covered_sets(folded, docs, threshold).withColumn("covered", F.lit(True))
-    first = folded.select("s1", "s2", "first", "node").join(covered, "node", "left").drop("node")
-    late = indexed.select("doc_id", "tid", "line", "place", "s1", "s2").join(first, ["s1", "s2"]).where("covered OR place > first")
+    first = folded.select("s1", "s2", F.col("doc").alias("d"), F.col("line").alias("l"), "node").join(covered, "node", "left").drop("node")
+    late = indexed.select("doc_id", "doc", "tid", "line", "s1", "s2").join(first, ["s1", "s2"]).where("covered OR doc > d OR (doc = d AND line > l)")
     return late.groupBy("doc_id", "tid").agg(F.collect_set("line").alias("gone"))
 
 

@@ -287,6 +287,27 @@ def test_lines(spark, seed, bits, threshold):
     assert got(lines.digest(table(spark, rows), threshold=threshold, bits=bits), "doc_id", "n_lines", "n_removed", "kept_sha256") == sorted(want, key=repr)
 
 
+def test_pairs_of_a_family_grow_with_its_lines(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(50)]
+
+    def family(size):
+        rows, made, inner = [], [], lines.similar_sets
+        for i in range(size):
+            w = list(base)
+            for at in rng.sample(range(50), 2 if i % 2 else 4):  # two lines share 42 to 47 words where 45 are asked for
+                w[at] = f"x{rng.randrange(10**6)}"
+            rows.append((i, " ".join(w), "", "", 0))
+        with monkeypatch.context() as m:
+            m.setattr(lines, "similar_sets", lambda pairs, *a: made.append(pairs.count()) or inner(pairs, *a))
+            gone = lines.digest(table(spark, rows)).where("n_removed > 0").count()
+        assert gone == len(brute_lines(rows, 0.8))
+        return sum(made)
+
+    small, large = family(60), family(480)
+    assert large <= 3 * 8 * small  # 56 times when every line met its whole lists
+
+
 # ---- 6
 
 def test_secrets(spark):
