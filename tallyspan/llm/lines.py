@@ -11,9 +11,10 @@ one stays itself.
 3. Each set enters the index under its prefix, the rarest words, as many as the threshold asks for.  Sets
    of so few words that only an equal one is similar need no index.
 4. A set goes as soon as *one* earlier set is similar, so no family of similar lines is listed pair by pair.  A
-   semi-join over the lists keeps the index entries that have a candidate at all and stops at the first one.  These
-   entries then meet their lists in turns: the earliest set of each size band, the next 7, the next 56 and so on
-   to the end.  What a turn settles leaves, so only sets without a similar one meet all of their candidates.
+   semi-join over the lists keeps the index entries that have a candidate at all and stops at the first one.  By the
+   rarest of its entries a set meets the first four sets of each size band.  What stays open meets the lists of all its
+   entries in turns: the first 8 sets of each size band, the next 56, the next 448 and so on to the end.  What a turn
+   settles leaves, so only sets without a similar one meet all of their candidates.
 5. Candidates must pass the length and the positional filter and a parity bitmap whose differing bits bound
    the sets' difference from below.  What passes is verified on the words themselves; an index entry may therefore hold
    four bytes of a word's hash.
@@ -42,7 +43,7 @@ LONG = 64  # sets of more words fill 64 bits and get three parts of the bitmap b
 PARTS = ("m1", "m2", "m3")
 BROADCAST_DOCUMENTS = 100_000  # keys of 16 bytes: a few megabytes
 BROADCAST_TOKENS = 1_000_000  # of four bytes each
-TURNS = 8  # each turn goes so many times further down the lists
+FIRST, TURNS = 4, 8  # sets of the first meeting; each turn goes eight times further down the lists
 _LOW = (1 << 56) - 1
 
 
@@ -164,20 +165,29 @@ def covered_sets(folded: DataFrame, docs: DataFrame, threshold: float) -> DataFr
     # Both sides are the same entries with the same columns, so they are shuffled once.
     same = F.col("a.token") == F.col("o.token")
     alive = materialize(every.alias("a").join(every.alias("o"), same & candidate("a.", "o."), "left_semi"), "line-alive")
-    tokens = broadcast_if_small(alive.select("token").distinct(), BROADCAST_TOKENS)
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.1))
     by_place = Window.partitionBy("token", "band").orderBy("doc", "line", "node")
-    lists = every.join(tokens, "token", "left_semi").withColumn("band", band).withColumn("turn", F.row_number().over(by_place)).drop("band")
-    lists = materialize(lists, "line-lists")
-    longest, done, start, stop = lists.agg(F.max("turn")).first()[0] or 0, [], 1, 1
+
+    def lists(entries):
+        """The lists of these entries' words; ``turn`` counts the sets of a size band by place."""
+        tokens = broadcast_if_small(entries.select("token").distinct(), BROADCAST_TOKENS)
+        return every.join(tokens, "token", "left_semi").withColumn("band", band).withColumn("turn", F.row_number().over(by_place)).drop("band")
+
+    def settle(entries, part):
+        pairs = entries.alias("a").join(part.alias("o"), same & candidate("a.", "o."))
+        return similar_sets(pairs.select(F.col("a.node").alias("node"), F.col("o.node").alias("other")), folded, docs, threshold)
+
+    rarest = alive.join(alive.groupBy("node").agg(F.min("at").alias("at")), ["node", "at"], "left_semi")
+    done = [settle(rarest, lists(rarest).where(F.col("turn") <= FIRST))]
+    alive = materialize(alive.join(done[0], "node", "left_anti"), "line-alive")
+    rest = materialize(lists(alive), "line-lists")
+    longest, start, stop = rest.agg(F.max("turn")).first()[0] or 0, 1, TURNS
     while start <= longest:
-        part = lists.where(F.col("turn").between(start, stop))
-        pairs = alive.alias("a").join(part.alias("o"), same & candidate("a.", "o.")).select(F.col("a.node").alias("node"), F.col("o.node").alias("other"))
-        done.append(similar_sets(pairs, folded, docs, threshold))
+        done.append(settle(alive, rest.where(F.col("turn").between(start, stop))))
         start, stop = stop + 1, stop * TURNS
         if start <= longest:
             alive = materialize(alive.join(done[-1], "node", "left_anti"), "line-alive")
-    return reduce(DataFrame.union, done) if done else alive.select("node")
+    return reduce(DataFrame.union, done)
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
