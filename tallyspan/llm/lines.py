@@ -12,9 +12,8 @@ one stays itself.
    of so few words that only an equal one is similar need no index.
 4. A set goes as soon as *one* earlier set is similar, so no family of similar lines is listed pair by pair.  A
    semi-join over the lists keeps the index entries that have a candidate at all and stops at the first one.  By the
-   rarest of its entries a set meets the first four sets of each size band.  What stays open meets the lists of all its
-   entries in turns: the first 8 sets of each size band, the next 56, the next 448 and so on to the end.  What a turn
-   settles leaves, so only sets without a similar one meet all of their candidates.
+   rarest of its entries a set meets the first four sets of each size band.  What stays open meets a sixteenth of the
+   sets in the lists of all its entries, and what is open then meets all others.
 5. Candidates must pass the length and the positional filter and a parity bitmap whose differing bits bound
    the sets' difference from below.  What passes is verified on the words themselves; an index entry may therefore hold
    four bytes of a word's hash.
@@ -43,7 +42,7 @@ LONG = 64  # sets of more words fill 64 bits and get three parts of the bitmap b
 PARTS = ("m1", "m2", "m3")
 BROADCAST_DOCUMENTS = 100_000  # keys of 16 bytes: a few megabytes
 BROADCAST_TOKENS = 1_000_000  # of four bytes each
-FIRST, TURNS = 4, 8  # sets of the first meeting; each turn goes eight times further down the lists
+FIRST, SHARES = 4, 16  # sets of the first meeting; the second is with one set in so many
 _LOW = (1 << 56) - 1
 
 
@@ -179,14 +178,10 @@ def covered_sets(folded: DataFrame, docs: DataFrame, threshold: float) -> DataFr
 
     rarest = alive.join(alive.groupBy("node").agg(F.min("at").alias("at")), ["node", "at"], "left_semi")
     done = [settle(rarest, lists(rarest).where(F.col("turn") <= FIRST))]
-    alive = materialize(alive.join(done[0], "node", "left_anti"), "line-alive")
-    rest = materialize(lists(alive), "line-lists")
-    longest, start, stop = rest.agg(F.max("turn")).first()[0] or 0, 1, TURNS
-    while start <= longest:
-        done.append(settle(alive, rest.where(F.col("turn").between(start, stop))))
-        start, stop = stop + 1, stop * TURNS
-        if start <= longest:
-            alive = materialize(alive.join(done[-1], "node", "left_anti"), "line-alive")
+    share = F.pmod(F.xxhash64("node"), F.lit(SHARES))
+    for part in (every.where(share == 0), every.where(share != 0)):
+        alive = materialize(alive.join(done[-1], "node", "left_anti"), "line-alive")
+        done.append(settle(broadcast_if_small(alive), part))
     return reduce(DataFrame.union, done)
 
 
