@@ -365,6 +365,30 @@ def test_runs_with_and_without_digits_are_scanned(spark):
     assert views and not any("9fK2mQx7Lr4TzW8pBn" in v[secrets.BEFORE:-secrets.AFTER] for v in views)
 
 
+def test_all_findings_are_fitted_and_calibrated(spark):
+    rng = random.Random(14)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([24, 30, 90])))
+    word = lambda: "".join(rng.choice(["er", "th", "an", "on", "ing"]) for _ in range(rng.choice([9, 24])))
+    texts = [f"go {key()} on {word()} {word()} then {word()} or {word()} and {word()}" for _ in range(200)]
+    docs = table(spark, [(i, t, "", "", 0) for i, t in enumerate(texts + texts[:50] + texts[:50])])
+    want = []
+    for t in texts + texts[:50] + texts[:50]:
+        want += [(v, 1) for a, _, b in secrets.exact_spans(t) for v in secrets.windows(t, a, b)]
+        want += [(v, 0) for a, b in secrets.candidates(t, secrets.exact_spans(t)) for v in secrets.windows(t, a, b)]
+    views = secrets.labelled_views(docs).collect()
+    assert sorted((r.view, r.y) for r in views) == sorted(want)
+    net = secrets.train(docs, max_rows=40, epochs=4)  # many shards
+    again = secrets.train(docs.repartition(5), max_rows=40, epochs=4)
+    assert np.array_equal(net.conv, again.conv) and np.isclose(net.threshold, again.threshold, rtol=1e-9)
+    p = net.probability(net.logits([r.view for r in views]))
+    y, held = np.array([r.y for r in views]), np.array([r.key % 4 == 0 for r in views])
+    found = np.sort(p[held & (y == 1)])
+    assert np.isclose(net.threshold, found[int(0.02 * len(found))], rtol=1e-9)
+    assert np.mean((p >= net.threshold) == y) > 0.95
+    # Platt scaling of the whole part: the mean score is the share of findings
+    assert abs(p[held].mean() - y[held].mean()) < 1e-3
+
+
 # ---- 7
 
 def test_toxicity(spark):
