@@ -455,6 +455,17 @@ def test_language_model(spark):
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in out), key=repr) == want
 
 
+@pytest.mark.parametrize("prune", [0, 4, 18])
+def test_rare_contexts_count(spark, prune):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 9)))
+    rows = corpus(seed=8, vocabulary=40) + [(1000 + i, " ".join(word() for _ in range(30)), "", "", 0) for i in range(40)]
+    own = [(r[0], words(r[1], lower=True) + [b""]) for r in rows]
+    ppm = brute_ppm(Counter(w for i, ws in own if i is None or zlib.crc32(str(i).encode()) % 5 != 1 for w in ws), 4)
+    out = language_model.score(table(spark, rows), prune=prune).collect()
+    assert sorted(((r.doc_id, round(r.score, 5)) for r in out), key=repr) == sorted(((i, round(sum(map(ppm, ws)), 5)) for i, ws in own), key=repr)
+
+
 def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
     labels = spark.createDataFrame([(i, 0, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
     docs = table(spark, [(i, f"scum {i}" if i % 2 else f"kind {i}", "", "", 0) for i in range(40)])
