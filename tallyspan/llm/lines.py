@@ -37,7 +37,7 @@ from tallyspan.functions.storage import broadcast_if_small, fresh_path, scratch
 
 from .common import materialize, text_key, unused
 
-THRESHOLD, BITS = 0.8, 13
+THRESHOLD, BITS = 0.8, 16
 LONG = 64  # sets of more words fill 64 bits and get three parts of the bitmap besides
 PARTS = ("m1", "m2", "m3")
 BROADCAST_DOCUMENTS = 100_000  # keys of 16 bytes: a few megabytes
@@ -65,8 +65,9 @@ def _doc() -> Column:
 
 def raw_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, doc, tid, line, raw) of every line; (doc, line) is its place."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _doc().alias("doc"), text_key().alias("tid"),
-                       F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line", "raw"))
+    # Beside the generator the key would be worked out from the whole text for each of its lines.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _doc().alias("doc"), text_key().alias("tid"), F.col("text").cast("string").alias("text"))
+    return texts.select("doc_id", "doc", "tid", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
 
 
 def frequency_classes(docs: DataFrame, bits: int) -> list[int]:
@@ -83,8 +84,9 @@ def ordered_sets(lines: DataFrame, classes: list[int], bits: int) -> DataFrame:
     """Lines that have a word, with ``ids``, the hashes of their words in order of rarity, in place of the text."""
     keep = [c for c in lines.columns if c != "raw"]
     table = F.from_json(F.lit(str(classes)), "array<tinyint>")  # folded into one constant of fixed size
-    ids = F.array_distinct(F.sort_array(F.transform(_words(F.col("raw")), lambda w: F.shiftleft(
-        F.get(table, F.xxhash64(w).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")).cast("long"), 56).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_LOW))))))
+    hashes = F.transform(_words(F.col("raw")), lambda w: F.xxhash64(w))
+    ids = F.array_distinct(F.sort_array(F.transform(hashes, lambda h: F.shiftleft(
+        F.get(table, h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))))
     # The generator keeps the array as a column; as an expression it would be worked out anew by each use.
     return lines.select(*keep, F.explode(F.array(ids)).alias("ids")).where(F.size("ids") > 0)
 
@@ -159,8 +161,8 @@ def covered_sets(folded: DataFrame, docs: DataFrame, threshold: float) -> DataFr
     about = [c for c in folded.columns if c in ("doc", "line", "n", "map", *PARTS, "node")]
     every = folded.where("prefix IS NOT NULL").select(*about, F.posexplode("prefix").alias("at", "token"))
     # Sets of one place (rows of one id) are no reason for each other, hence the strict order of places.
-    candidate = lambda x, y: (F.col(y + "node") != F.col(x + "node")) & (
-        (F.col(y + "doc") < F.col(x + "doc")) | ((F.col(y + "doc") == F.col(x + "doc")) & (F.col(y + "line") < F.col(x + "line")))) & _compatible(x, y, threshold)
+    candidate = lambda x, y: _compatible(x, y, threshold) & (F.col(y + "node") != F.col(x + "node")) & (
+        (F.col(y + "doc") < F.col(x + "doc")) | ((F.col(y + "doc") == F.col(x + "doc")) & (F.col(y + "line") < F.col(x + "line"))))
     # Both sides are the same entries with the same columns, so they are shuffled once.
     same = F.col("a.token") == F.col("o.token")
     alive = materialize(every.alias("a").join(every.alias("o"), same & candidate("a.", "o."), "left_semi"), "line-alive")

@@ -308,6 +308,11 @@ def test_pairs_of_a_family_grow_with_its_lines(spark, monkeypatch):
     assert large <= 3 * 8 * small  # 56 times when every line met its whole lists
 
 
+def test_lines_do_not_hash_their_text_again(spark):
+    plan = lines.raw_lines(table(spark, [(1, "a\nb", "", "", 0)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan[plan.index("Generate"):] and "sha2" not in plan[:plan.index("Generate")]
+
+
 # ---- 6
 
 def test_secrets(spark):
